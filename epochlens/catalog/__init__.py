@@ -1,6 +1,6 @@
 """All named queries."""
 
-from epochlens.catalog import content, device, relational  # noqa: F401
+from epochlens.catalog import content, device, formats, relational  # noqa: F401
 from epochlens.catalog.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
