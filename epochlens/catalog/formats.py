@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epochlens.catalog import samples
 from epochlens.catalog.registry import query, table
-from epochlens.formats import ooxml
+from epochlens.formats import ooxml, pdf
 from epochlens.formats import zip as ziparchive
 from epochlens.operators.fileaware import file_decisions
 
@@ -55,3 +55,22 @@ def _(spark, d):
 def _(spark, d):
     v = ooxml.ooxml_verdicts(samples.docx_files(spark, d))
     return _with_doc(v).select("doc_id", "verdict", "note")
+
+
+@query("pdf_verdict", """
+    SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN 'encrypted' ELSE 'benign' END AS verdict,
+           CAST(7 AS BIGINT) AS num_windows,
+           CASE lang WHEN 'de' THEN 'filter_decode_exception:FlateDecode'
+                     WHEN 'fr' THEN 'missing_%%EOF_in_tail' ELSE 'all_components_ok' END AS note
+    FROM documents""")
+def _(spark, d):
+    v = pdf.pdf_verdicts(samples.pdf_files(spark, d))
+    return _with_doc(v).select("doc_id", "verdict", "num_windows", "note")
+
+
+@query("pdf_whitelist", """
+    SELECT doc_id, CAST(5 AS BIGINT) AS obj, 'image' AS kind,
+           256 + least(256, octet_length(encode(text))) AS length FROM documents""")
+def _(spark, d):
+    w = pdf.stream_whitelist(samples.pdf_files(spark, d)).withColumnRenamed("pdf_path", "file_path")
+    return _with_doc(w).select("doc_id", "obj", "kind", "length")

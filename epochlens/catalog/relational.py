@@ -149,8 +149,7 @@ def _(spark, d):
                  span_start AS gap_end FROM m)
     SELECT k, gap_start, gap_end FROM g WHERE gap_start < gap_end""")
 def _(spark, d):
-    merged = islands.merge_spans(_spans(spark, d), ["k"], "s", "e", bucket=1024)
-    return islands.gap_spans(merged, ["k"], bucket=1024)
+    return islands.gap_spans(_spans(spark, d), ["k"], "s", "e", bucket=1024)
 
 
 @query("interval_stab", """

@@ -119,7 +119,7 @@ def reachable(edges: DataFrame, files: DataFrame, max_depth: int = 16) -> DataFr
     joins the frontier with the edges and keeps parts not seen before."""
     seen = cut_lineage(files.select("file_path", F.lit("").alias("part"), F.lit(0).alias("depth")))
     frontier = seen
-    links = edges.select("file_path", F.col("source").alias("part"), "target").distinct()
+    links = cut_lineage(edges.select("file_path", F.col("source").alias("part"), "target").distinct())
     for depth in range(1, max_depth + 1):
         step = (
             frontier.select("file_path", "part").join(links, ["file_path", "part"])
@@ -160,9 +160,10 @@ def package_problems(parts: DataFrame, cfg: OoxmlConfig = OoxmlConfig()) -> Data
         "file_path", "part", source_of_rels(F.col("part")).alias("source"), F.explode("rels").alias("r")
     ).select("file_path", "part", "source", "r.*")
     raw_problem = target_problem(F.col("target"))
-    edges = rel.withColumn("why", raw_problem).withColumn(
+    # Read by most checks and by every search round, and slim: resolved once.
+    edges = cut_lineage(rel.withColumn("why", raw_problem).withColumn(
         "resolved", F.when(F.col("why").isNull(), resolve_target(F.col("source"), F.col("target")))
-    ).withColumn("why", F.coalesce("why", resolved_problem(F.col("resolved"))))
+    ).withColumn("why", F.coalesce("why", resolved_problem(F.col("resolved")))))
 
     root = edges.filter(F.col("part") == ROOT_RELS)
     office = per_file.select("file_path", "ext").join(root.groupBy("file_path").agg(

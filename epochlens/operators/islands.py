@@ -61,57 +61,64 @@ def contiguous_runs(
     )
 
 
-def merge_spans(
-    df: DataFrame, keys: list[str], start: str, end: str, bucket: int = BUCKET,
-) -> DataFrame:
-    """Union of half-open spans per key; touching spans merge: (keys, span_start, span_end)."""
+def _with_reach(
+    df: DataFrame, keys: list[str], start: str, end: str, bucket: int | None,
+) -> tuple[DataFrame, list[str]]:
+    """Non-empty spans, one per (keys, start), with ``_prev``: the furthest end of all spans that
+    start earlier. Also returns the columns its windows are partitioned by."""
     spans = (
         df.select(*keys, F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"))
         .filter(F.col("_e") > F.col("_s"))
         .groupBy(*keys, "_s").agg(F.max("_e").alias("_e"))
-        .withColumn("_b", _bucket("_s", bucket))
     )
+    part = list(keys)
+    if bucket is not None:
+        spans = spans.withColumn("_b", _bucket("_s", bucket))
+        part.append("_b")
+    before = Window.partitionBy(*part).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    prev = F.max("_e").over(before)
+    if bucket is None:
+        return spans.withColumn("_prev", prev), part
     reach = prefix_max(spans, keys, "_b", "_e", "_reach")
-    before = (
-        Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    upto = (
-        Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    marked = (
-        spans.join(reach, [*keys, "_b"])
-        .withColumn("_prev", F.greatest(F.col("_reach"), F.max("_e").over(before)))
-        .withColumn(
-            "_head",
-            F.when(F.col("_prev").isNull() | (F.col("_s") > F.col("_prev")), F.col("_s")),
-        )
-        .withColumn("_local", F.max("_head").over(upto))
-        .groupBy(*keys, "_b", "_local").agg(F.max("_e").alias("_e"))
+    joined = spans.join(reach, part).withColumn("_prev", F.greatest(F.col("_reach"), prev))
+    return joined, part
+
+
+def merge_spans(
+    df: DataFrame, keys: list[str], start: str, end: str, bucket: int | None = BUCKET,
+) -> DataFrame:
+    """Union of half-open spans per key; touching spans merge: (keys, span_start, span_end).
+    ``bucket=None`` sorts a whole key in one task: only for keys with a proven row bound."""
+    spans, part = _with_reach(df, keys, start, end, bucket)
+    upto = Window.partitionBy(*part).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.when(F.col("_prev").isNull() | (F.col("_s") > F.col("_prev")), F.col("_s"))
+    local = (
+        spans.withColumn("_head", head).withColumn("_local", F.max("_head").over(upto))
+        .groupBy(*part, "_local").agg(F.max("_e").alias("_e"))
     )
-    heads = prefix_max(marked, keys, "_b", "_local", "_carried")
+    if bucket is None:
+        return local.select(*keys, F.col("_local").alias("span_start"), F.col("_e").alias("span_end"))
+    heads = prefix_max(local, keys, "_b", "_local", "_carried")
     return (
-        marked.join(heads, [*keys, "_b"])
+        local.join(heads, part)
         .groupBy(*keys, F.coalesce("_local", "_carried").alias("span_start"))
         .agg(F.max("_e").alias("span_end"))
     )
 
 
 def gap_spans(
-    merged: DataFrame, keys: list[str], bucket: int = BUCKET, origin: int | None = None,
+    df: DataFrame, keys: list[str], start: str, end: str, bucket: int | None = BUCKET,
+    origin: int | None = None,
 ) -> DataFrame:
-    """Gaps between merged spans: (keys, gap_start, gap_end). With ``origin`` the stretch from it
-    to the first span counts as a gap too."""
-    spans = merged.withColumn("_b", _bucket("span_start", bucket))
-    reach = prefix_max(spans, keys, "_b", "span_end", "_reach")
-    w = Window.partitionBy(*keys, "_b").orderBy("span_start")
-    prev = F.coalesce(F.lag("span_end").over(w), F.col("_reach"))
+    """Stretches between spans that no span covers: (keys, gap_start, gap_end). With ``origin``
+    the stretch from it to the first span counts too. Spans need not be merged first."""
+    spans, _ = _with_reach(df, keys, start, end, bucket)
+    since = F.col("_prev")
     if origin is not None:
-        prev = F.coalesce(prev, F.lit(origin).cast("bigint"))
+        since = F.coalesce(since, F.lit(origin).cast("bigint"))
     return (
-        spans.join(reach, [*keys, "_b"])
-        .withColumn("gap_start", prev)
-        .filter(F.col("gap_start") < F.col("span_start"))
-        .select(*keys, "gap_start", F.col("span_start").alias("gap_end"))
+        spans.withColumn("gap_start", since).filter(F.col("gap_start") < F.col("_s"))
+        .select(*keys, "gap_start", F.col("_s").alias("gap_end"))
     )
 
 
