@@ -9,6 +9,7 @@ from epochlens.functions.bytestats import byte_chi2, byte_entropy, byte_stats, p
 from epochlens.functions.text import TEXT_PUNCTUATION, utf8_error_count
 from epochlens.operators.scan import ScanConfig, scan_content
 from epochlens.operators.windows import content_verdicts, text_verdicts
+from epochlens.session import spread
 
 HIST = """
     b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents),
@@ -16,7 +17,8 @@ HIST = """
 
 
 def _files(spark, d):
-    return table(spark, d, "documents").select("doc_id", utf8_bytes(F.col("text")).alias("content"))
+    docs = table(spark, d, "documents").select("doc_id", utf8_bytes(F.col("text")).alias("content"))
+    return spread(docs)
 
 
 @query("byte_chi2", f"""

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from epochlens.catalog import samples
 from epochlens.catalog.registry import query, table
-from epochlens.formats import ooxml, pdf
+from epochlens.formats import ooxml, ooxml_ranges, pdf, pdf_ranges
 from epochlens.formats import zip as ziparchive
 from epochlens.operators.fileaware import file_decisions
+from epochlens.operators.manifest import build_manifest
 
 
 def _with_doc(df):
@@ -38,12 +39,8 @@ def _(spark, d):
     SELECT '/s/' || doc_id || '.zip' AS file_path, lang = 'de' AS keep_file FROM documents""")
 def _(spark, d):
     files = samples.zip_files(spark, d)
-    n = F.floor((F.length("content") + 511) / 512)
-    ranges = files.select("file_path", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("i")).select(
-        "file_path", (F.col("i") * 512).alias("start"), (F.col("i") * 512 + 511).alias("end")
-    )
     trusted = table(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"))
-    dec = ziparchive.zip_decisions(ranges, files, trusted)
+    dec = ziparchive.zip_decisions(_all_blocks(files), files, trusted)
     return file_decisions(dec).select("file_path", "keep_file")
 
 
@@ -74,3 +71,45 @@ def _(spark, d):
 def _(spark, d):
     w = pdf.stream_whitelist(samples.pdf_files(spark, d)).withColumnRenamed("pdf_path", "file_path")
     return _with_doc(w).select("doc_id", "obj", "kind", "length")
+
+
+def _all_blocks(files):
+    n = F.floor((F.length("content") + 511) / 512)
+    return files.select("file_path", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("i")).select(
+        "file_path", (F.col("i") * 512).alias("start"), (F.col("i") * 512 + 511).alias("end")
+    )
+
+
+# The image part of every package is listed as trusted; the document part is damaged in German ones.
+@query("ooxml_decisions", """
+    SELECT '/s/' || doc_id || '.docx' AS file_path, lang = 'de' AS keep_file FROM documents""")
+def _(spark, d):
+    files = samples.docx_files(spark, d)
+    media = table(spark, d, "documents").select(F.sha2(samples.image_bytes(), 256).alias("sha256"))
+    return file_decisions(ooxml_ranges.ooxml_decisions(_all_blocks(files), files, media)).select(
+        "file_path", "keep_file"
+    )
+
+
+@query("pdf_decisions", """
+    SELECT '/s/' || doc_id || '.pdf' AS file_path, lang IN ('de', 'fr') AS keep_file,
+           CASE lang WHEN 'de' THEN 'pdf: nested metadata encrypted'
+                     WHEN 'fr' THEN 'pdf: metadata encrypted (missing EOF)'
+                     ELSE 'pdf: all regions benign' END AS fileaware_reason
+    FROM documents""")
+def _(spark, d):
+    files = samples.pdf_files(spark, d)
+    images = table(spark, d, "documents").select(F.sha2(samples.pdf_image_bytes(), 256).alias("sha256"))
+    return file_decisions(pdf_ranges.pdf_decisions(_all_blocks(files), files, images))
+
+
+@query("trusted_manifest", """
+    SELECT '/s/' || doc_id || '.pdf' AS container, 'pdf' AS source FROM documents
+    UNION ALL SELECT '/m/' || page_id || '.svg', 'file' FROM pages""")
+def _(spark, d):
+    pages = table(spark, d, "pages").select(
+        F.concat(F.lit("/m/"), F.col("page_id").cast("string"), F.lit(".svg")).alias("file_path"),
+        F.encode("html", "UTF-8").alias("content"),
+    )
+    files = samples.pdf_files(spark, d).select("file_path", "content").unionByName(pages)
+    return build_manifest(files).select("container", "source")

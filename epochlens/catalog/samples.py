@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
 
@@ -14,7 +15,9 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from epochlens.catalog.registry import table
 from epochlens.functions.bytestats import utf8_bytes
+from epochlens.session import spread
 
+PDF_IMAGE_HEAD = bytes(range(1, 256)) + b"!"
 _STAMP = (2024, 1, 1, 0, 0, 0)
 
 
@@ -50,7 +53,8 @@ def build_docx(text: str) -> bytes:
         'Target="media/a.bin"/><Relationship Id="r2" Type="{office}/hyperlink" '
         'Target="https://example.com/" TargetMode="External"/></Relationships>'
     )
-    body = f'<w:document xmlns:w="urn:w"><w:t>{safe}</w:t></w:document>'
+    runs = "".join(f"<w:p><w:r><w:t>{line}</w:t></w:r></w:p>" for line in re.split(r"(?<=[ \n])", safe))
+    body = f'<w:document xmlns:w="urn:w">{runs}</w:document>'
     return build_zip([
         ("[Content_Types].xml", types.encode(), zipfile.ZIP_DEFLATED),
         ("_rels/.rels", root.encode(), zipfile.ZIP_DEFLATED),
@@ -62,7 +66,7 @@ def build_docx(text: str) -> bytes:
 
 def build_pdf(text: str) -> bytes:
     body = zlib.compress(b"BT /F1 12 Tf 72 712 Td (" + text.encode("ascii", "ignore").translate(None, b"()\\") + b") Tj ET")
-    image = bytes(range(256)) + text.encode()[:256]
+    image = PDF_IMAGE_HEAD + text.encode()[:256]
     objs = [
         b"<< /Type /Catalog /Pages 2 0 R >>",
         b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
@@ -108,8 +112,20 @@ def stamp(content: Column, pos: Column, size: int) -> Column:
     return F.overlay(content, F.unhex(F.repeat(F.lit("FF"), size)), pos.cast("int"), F.lit(size))
 
 
+def image_bytes() -> Column:
+    """The media part of a derived package."""
+    head = F.substring(utf8_bytes(F.col("text")), 1, 64)
+    return F.when(F.length(head) > 0, head).otherwise(F.lit(b"-"))
+
+
+def pdf_image_bytes() -> Column:
+    """The image stream of a derived PDF file as read back: one line end before its keyword goes."""
+    body = F.concat(F.lit(PDF_IMAGE_HEAD), F.substring(utf8_bytes(F.col("text")), 1, 256))
+    return body
+
+
 def _files(spark, d, build, ext: str):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text"))
     return docs.select(
         "doc_id", "lang", F.concat(F.lit("/s/"), F.col("doc_id").cast("string"), F.lit(ext)).alias("file_path"),
         build(F.col("text")).alias("content"),
@@ -127,8 +143,7 @@ def zip_files(spark, d):
 
 
 def docx_files(spark, d):
-    """German packages have broken document bytes, French ones a dangling image target, Spanish
-    ones an unreferenced part name."""
+    """German packages have broken document bytes."""
     c = F.col("content")
     return _files(spark, d, _docx, ".docx").withColumn(
         "content",
@@ -144,6 +159,3 @@ def pdf_files(spark, d):
         F.when(F.col("lang") == "de", stamp(c, at(c, "stream\n") + len("stream\n"), 16))
         .when(F.col("lang") == "fr", F.substring(c, F.lit(1), F.length(c) - 8)).otherwise(c),
     )
-
-
-__all__ = ["zip_files", "docx_files", "pdf_files", "utf8_bytes"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,5 +40,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, os.cpu_count() or 1)
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when the scan yields fewer partitions than there are. Inputs
+    with enough splits, which is every large one, pass through without a shuffle."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
