@@ -34,7 +34,7 @@ def build_zip(entries: list[tuple[str, bytes, int]]) -> bytes:
 def build_docx(text: str) -> bytes:
     from xml.sax.saxutils import escape
 
-    safe = escape("".join(c for c in text if c >= " " or c in "\n\t"))
+    safe = "".join(c for c in text if c >= " " or c in "\n\t")
     ns = "http://schemas.openxmlformats.org/package/2006"
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     main = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
@@ -53,7 +53,7 @@ def build_docx(text: str) -> bytes:
         'Target="media/a.bin"/><Relationship Id="r2" Type="{office}/hyperlink" '
         'Target="https://example.com/" TargetMode="External"/></Relationships>'
     )
-    runs = "".join(f"<w:p><w:r><w:t>{line}</w:t></w:r></w:p>" for line in re.split(r"(?<=[ \n])", safe))
+    runs = "".join(f"<w:p>{escape(part)}</w:p>" for part in re.findall(r"(?s).{1,60}", safe))
     body = f'<w:document xmlns:w="urn:w">{runs}</w:document>'
     return build_zip([
         ("[Content_Types].xml", types.encode(), zipfile.ZIP_DEFLATED),

@@ -7,6 +7,7 @@ frontier with the relationship table. The checks are joins and aggregates over r
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,8 +111,14 @@ def _parts(rows: DataFrame, cfg: OoxmlConfig) -> DataFrame:
     )
 
 
-def _problem(df: DataFrame, order: int, component: str, reason: Column) -> DataFrame:
-    return df.select("file_path", F.lit(order).alias("o"), F.lit(component).alias("component"), reason.alias("reason"))
+def _problems(df: DataFrame, *checks: tuple[int, Column, Column | str]) -> DataFrame:
+    """(file_path, o, reason) of the failed checks of every row; a check is its order, its failure
+    condition and its wording. All checks of a table are made in one pass over it."""
+    told = F.array(*[
+        F.when(bad, F.struct(F.lit(o).alias("o"), (F.lit(why) if isinstance(why, str) else why).alias("reason")))
+        for o, bad, why in checks
+    ])
+    return df.select("file_path", F.explode(F.filter(told, lambda p: p.isNotNull())).alias("p")).select("file_path", "p.*")
 
 
 def reachable(edges: DataFrame, files: DataFrame, max_depth: int = 16) -> DataFrame:
@@ -133,152 +140,133 @@ def reachable(edges: DataFrame, files: DataFrame, max_depth: int = 16) -> DataFr
     return seen
 
 
+def _text(*items) -> Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in items])
+
+
 def package_problems(parts: DataFrame, cfg: OoxmlConfig = OoxmlConfig()) -> DataFrame:
-    """(file_path, o, component, reason): every failed check of every package, ``o`` giving the
-    order in which a sequential validator would meet them."""
+    """(file_path, o, reason): every failed check of every package, ``o`` giving the order in which
+    a sequential validator would meet them."""
+    col = F.col
     per_file = parts.groupBy("file_path").agg(
         F.count("*").alias("n"), F.count_distinct("part").alias("nd"),
-        F.min(F.when(bad_entry_name(F.col("part")), F.col("part"))).alias("odd"),
-        F.bool_or(F.col("part") == CONTENT_TYPES_PART).alias("has_ct"),
-        F.bool_or(F.col("part") == ROOT_RELS).alias("has_rels"),
-        F.bool_or((F.col("part") == CONTENT_TYPES_PART) & F.col("types").isNull()).alias("bad_ct"),
-        F.bool_or((F.col("part") == ROOT_RELS) & F.col("rels").isNull()).alias("bad_rels"),
-    ).withColumn("ext", extension(F.col("file_path")))
-    found = [
-        _problem(per_file.filter(F.col("n") > cfg.max_entries), 1, "ooxml_budget",
-                 F.concat(F.lit("ooxml_budget_exceeded:max_zip_entries="), F.col("n").cast("string"))),
-        _problem(per_file.filter("nd < n"), 2, "ooxml_required_parts", F.lit("ooxml_duplicate_entry_names")),
-        _problem(per_file.filter("odd IS NOT NULL"), 3, "ooxml_path_policy",
-                 F.concat(F.lit("ooxml_path_suspicious:where=zip_entry,value="), F.col("odd"))),
-        _problem(per_file.filter("NOT has_ct"), 4, "ooxml_required_parts", F.lit("ooxml_missing_content_types")),
-        _problem(per_file.filter("NOT has_rels"), 5, "ooxml_required_parts", F.lit("ooxml_missing_root_rels")),
-        _problem(per_file.filter("bad_ct"), 6, "ooxml_content_types", F.lit("ooxml_ct_xml_parse_fail")),
-        _problem(per_file.filter("bad_rels"), 7, "ooxml_rels_root", F.lit("ooxml_rels_xml_parse_fail")),
-    ]
-
-    rel = parts.filter(F.col("part").endswith(".rels")).select(
-        "file_path", "part", source_of_rels(F.col("part")).alias("source"), F.explode("rels").alias("r")
+        F.min(F.when(bad_entry_name(col("part")), col("part"))).alias("odd"),
+        F.bool_or(col("part") == CONTENT_TYPES_PART).alias("has_ct"),
+        F.bool_or(col("part") == ROOT_RELS).alias("has_rels"),
+        F.bool_or((col("part") == CONTENT_TYPES_PART) & col("types").isNull()).alias("bad_ct"),
+        F.bool_or((col("part") == ROOT_RELS) & col("rels").isNull()).alias("bad_rels"),
+    )
+    found = [_problems(
+        per_file,
+        (1, col("n") > cfg.max_entries, _text("ooxml_budget_exceeded:max_zip_entries=", col("n"))),
+        (2, col("nd") < col("n"), "ooxml_duplicate_entry_names"),
+        (3, col("odd").isNotNull(), _text("ooxml_path_suspicious:where=zip_entry,value=", col("odd"))),
+        (4, ~col("has_ct"), "ooxml_missing_content_types"), (5, ~col("has_rels"), "ooxml_missing_root_rels"),
+        (6, col("bad_ct"), "ooxml_ct_xml_parse_fail"), (7, col("bad_rels"), "ooxml_rels_xml_parse_fail"),
+    )]
+
+    rel = parts.filter(col("part").endswith(".rels")).select(
+        "file_path", "part", source_of_rels(col("part")).alias("source"), F.explode("rels").alias("r")
     ).select("file_path", "part", "source", "r.*")
-    raw_problem = target_problem(F.col("target"))
     # Read by most checks and by every search round, and slim: resolved once.
-    edges = cut_lineage(rel.withColumn("why", raw_problem).withColumn(
-        "resolved", F.when(F.col("why").isNull(), resolve_target(F.col("source"), F.col("target")))
-    ).withColumn("why", F.coalesce("why", resolved_problem(F.col("resolved")))))
-
-    root = edges.filter(F.col("part") == ROOT_RELS)
-    office = per_file.select("file_path", "ext").join(root.groupBy("file_path").agg(
-        F.count_if(F.col("type") == OFFICE_DOCUMENT).alias("exact"),
-        F.count_if(F.col("type").endswith("/officeDocument")).alias("alike"),
-        F.min(F.when(F.col("type") == OFFICE_DOCUMENT, F.struct("external", "why", "resolved", "target"))).alias("m1"),
-        F.min(F.when(F.col("type").endswith("/officeDocument"), F.struct("external", "why", "resolved", "target"))).alias("m2"),
-    ), "file_path", "left").select(
-        "file_path", "ext",
-        F.coalesce(F.when(F.col("exact") > 0, F.col("exact")).otherwise(F.col("alike")), F.lit(0)).alias("k"),
-        F.coalesce("m1", "m2").alias("m"),
-    )
-    names = parts.select("file_path", "part").distinct()
-    main = office.filter("k = 1").select("file_path", "ext", "m.*").join(
-        names.withColumnRenamed("part", "resolved").withColumn("present", F.lit(True)),
-        ["file_path", "resolved"], "left",
-    )
-    wanted = F.create_map(*[F.lit(x) for kv in MAIN_PART.items() for x in kv])
-    wanted_type = F.create_map(*[F.lit(x) for kv in MAIN_TYPE.items() for x in kv])
-    intended = F.col("ext").isin(list(MAIN_PART))
-    usable = main.filter("NOT external AND why IS NULL AND present")
-    slash = lambda c: F.concat(F.lit("/"), F.col(c))
-    found += [
-        _problem(office.filter("k <> 1"), 8, "ooxml_rels_root",
-                 F.concat(F.lit("ooxml_rels_officeDocument_count:k="), F.col("k").cast("string"))),
-        _problem(main.filter("external"), 9, "ooxml_rels_root",
-                 F.lit("ooxml_officeDocument_external_target_forbidden")),
-        _problem(main.filter("NOT external AND why IS NOT NULL"), 10, "ooxml_path_policy",
-                 F.concat(F.lit("ooxml_path_suspicious:where=rels_target,value="), F.col("target"),
-                          F.lit(",why="), F.col("why"))),
-        _problem(main.filter("NOT external AND why IS NULL AND present IS NULL"), 11, "ooxml_required_parts",
-                 F.concat(F.lit("ooxml_missing_main_part:target="), slash("resolved"))),
-        _problem(usable.filter(intended & (F.col("resolved") != wanted[F.col("ext")])), 12, "ooxml_required_parts",
-                 F.concat(F.lit("ooxml_type_mismatch:ext="), F.col("ext"), F.lit(",target="), slash("resolved"))),
-    ]
-
-    types = parts.filter(F.col("types").isNotNull()).select("file_path", F.explode("types").alias("t")).select("file_path", "t.*")
-    override = types.filter("override").groupBy("file_path", F.col("name").alias("part")).agg(F.max("type").alias("o_type"))
-    default = types.filter("NOT override").groupBy("file_path", F.col("name").alias("x")).agg(F.max("type").alias("d_type"))
-    last_ext = F.when(F.col("part").contains("."), F.lower(F.substring_index("part", ".", -1))).otherwise("")
-    typed = (
+    edges = cut_lineage(rel.withColumn("why", target_problem(col("target"))).withColumn(
+        "resolved", F.when(col("why").isNull(), resolve_target(col("source"), col("target")))
+    ).withColumn("why", F.coalesce("why", resolved_problem(col("resolved")))))
+
+    types = parts.filter(col("types").isNotNull()).select("file_path", F.explode("types").alias("t")).select("file_path", "t.*")
+    override = types.filter("override").groupBy("file_path", col("name").alias("part")).agg(F.max("type").alias("o_type"))
+    default = types.filter("NOT override").groupBy("file_path", col("name").alias("x")).agg(F.max("type").alias("d_type"))
+    last_ext = F.when(col("part").contains("."), F.lower(F.substring_index("part", ".", -1))).otherwise("")
+    typed = cut_lineage(
         parts.select("file_path", "part", "size", "well_formed").dropDuplicates(["file_path", "part"])
         .withColumn("x", last_ext)
         .join(override, ["file_path", "part"], "left").join(default, ["file_path", "x"], "left")
         .select("file_path", "part", "size", "well_formed", F.coalesce("o_type", "d_type").alias("ctype"))
     )
-    main_typed = usable.filter(intended).select("file_path", "ext", F.col("resolved").alias("part")).join(
-        typed, ["file_path", "part"]
-    )
-    found += [
-        _problem(main_typed.filter("ctype IS NULL"), 13, "ooxml_content_types",
-                 F.concat(F.lit("ooxml_ct_undetermined:part="), slash("part"))),
-        _problem(main_typed.filter(F.trim("ctype") != wanted_type[F.col("ext")]), 14, "ooxml_content_types",
-                 F.concat(F.lit("ooxml_main_ct_mismatch:part="), slash("part"), F.lit(",ct="), F.col("ctype"))),
-        _problem(override.join(names, ["file_path", "part"], "left_anti"), 15, "ooxml_content_types",
-                 F.concat(F.lit("ooxml_ct_override_missing_part:part="), slash("part"))),
-    ]
-
-    internal = edges.filter("NOT external AND why IS NULL").select("file_path", "source", F.col("resolved").alias("target"))
-    present = internal.join(names.withColumnRenamed("part", "target"), ["file_path", "target"], "left_semi")
-    reach = reachable(present, per_file, cfg.max_depth)
-    live = edges.join(reach.withColumnRenamed("part", "source"), ["file_path", "source"])
-    dangling = live.filter("NOT external AND why IS NULL").select(
-        "file_path", F.col("resolved").alias("part"), "depth"
-    ).distinct()
-    reached = reach.filter("depth > 0").select("file_path", "part")
-    reached_typed = typed.join(reached, ["file_path", "part"], "left_semi")
+    names = typed.select("file_path", "part")
+
+    facts = F.struct("external", "why", "resolved", "target")
+    exact, alike = col("type") == OFFICE_DOCUMENT, col("type").endswith("/officeDocument")
+    office = per_file.select("file_path").join(
+        edges.filter(col("part") == ROOT_RELS).groupBy("file_path").agg(
+            F.count_if(exact).alias("exact"), F.count_if(alike).alias("alike"),
+            F.min(F.when(exact, facts)).alias("m1"), F.min(F.when(alike, facts)).alias("m2"),
+        ), "file_path", "left",
+    ).select(
+        "file_path", extension(col("file_path")).alias("ext"),
+        F.coalesce(F.when(col("exact") > 0, col("exact")).otherwise(col("alike")), F.lit(0)).alias("k"),
+        F.coalesce("m1", "m2").alias("m"),
+    ).select("file_path", "ext", "k", "m.*").withColumnRenamed("resolved", "part")
+    main = office.join(typed, ["file_path", "part"], "left")
+    wanted = F.create_map(*[F.lit(x) for kv in MAIN_PART.items() for x in kv])[col("ext")]
+    wanted_type = F.create_map(*[F.lit(x) for kv in MAIN_TYPE.items() for x in kv])[col("ext")]
+    one, inside = col("k") == 1, ~F.coalesce("external", F.lit(False))
+    present = one & inside & col("why").isNull() & col("size").isNotNull()
+    intended = present & col("ext").isin(list(MAIN_PART))
+    found.append(_problems(
+        main,
+        (8, ~one, _text("ooxml_rels_officeDocument_count:k=", col("k"))),
+        (9, one & ~inside, "ooxml_officeDocument_external_target_forbidden"),
+        (10, one & inside & col("why").isNotNull(),
+         _text("ooxml_path_suspicious:where=rels_target,value=", col("target"), ",why=", col("why"))),
+        (11, one & inside & col("why").isNull() & col("size").isNull(), _text("ooxml_missing_main_part:target=/", col("part"))),
+        (12, intended & (col("part") != wanted), _text("ooxml_type_mismatch:ext=", col("ext"), ",target=/", col("part"))),
+        (13, intended & col("ctype").isNull(), _text("ooxml_ct_undetermined:part=/", col("part"))),
+        (14, intended & (F.trim("ctype") != wanted_type),
+         _text("ooxml_main_ct_mismatch:part=/", col("part"), ",ct=", col("ctype"))),
+    ))
+    found.append(_problems(
+        override.join(names, ["file_path", "part"], "left_anti"),
+        (15, F.lit(True), _text("ooxml_ct_override_missing_part:part=/", col("part"))),
+    ))
+
+    links = edges.filter("NOT external AND why IS NULL").select("file_path", "source", col("resolved").alias("target"))
+    reach = cut_lineage(reachable(
+        links.join(names.withColumnRenamed("part", "target"), ["file_path", "target"], "left_semi"), per_file, cfg.max_depth
+    ))
+    live = edges.join(
+        reach.select("file_path", col("part").alias("source")), ["file_path", "source"], "left_semi"
+    ).join(names.select("file_path", col("part").alias("resolved"), F.lit(True).alias("there")), ["file_path", "resolved"], "left")
+    found.append(_problems(
+        live,
+        (20, ~col("external") & col("why").isNotNull(),
+         _text("ooxml_path_suspicious:where=rels_target,value=", col("target"), ",why=", col("why"))),
+        (20, col("external") & ~valid_url(col("target")), _text("ooxml_url_invalid:value=", col("target"))),
+        (20, ~col("external") & col("why").isNull() & col("there").isNull(),
+         _text("ooxml_dangling_relationship:target=/", col("resolved"))),
+    ))
+    reached = typed.join(reach.filter("depth > 0").select("file_path", "part"), ["file_path", "part"], "left_semi")
     low = F.lower(F.trim("ctype"))
-    is_xml = low.endswith("+xml") | low.endswith("/xml")
-    followed = parts.filter(F.col("part").endswith(".rels")).withColumn("source", source_of_rels(F.col("part"))).join(
-        reach.select("file_path", F.col("part").alias("source")), ["file_path", "source"], "left_semi"
-    )
-    volume = followed.groupBy("file_path").agg(
-        F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum(F.size("rels")).alias("links")
+    is_xml = F.coalesce(low.endswith("+xml") | low.endswith("/xml"), F.lit(False))
+    found.append(_problems(
+        reached,
+        (20, col("ctype").isNull(), _text("ooxml_ct_undetermined:part=/", col("part"))),
+        (20, is_xml & (col("size") > cfg.max_xml_bytes), _text("ooxml_xml_read_fail:part=/", col("part"), ",why=entry_over_limit")),
+        (20, is_xml & ~F.coalesce("well_formed", F.lit(True)), _text("ooxml_xml_parse_fail:part=/", col("part"))),
+        (20, ~is_xml & (col("size") > cfg.max_bin_bytes), _text("ooxml_budget_exceeded:max_bin_part_bytes:part=/", col("part"))),
+    ))
+    followed = parts.filter(col("part").endswith(".rels")).withColumn("source", source_of_rels(col("part"))).join(
+        reach.select("file_path", col("part").alias("source")), ["file_path", "source"], "left_semi"
+    ).groupBy("file_path").agg(
+        F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum(F.size("rels")).alias("links"),
+        F.max(F.size("rels")).alias("most"), F.min(F.when(col("rels").isNull(), col("part"))).alias("spoilt"),
     )
-    xml_bytes = reached_typed.filter(is_xml).groupBy("file_path").agg(F.sum("size").alias("bytes"))
-    found += [
-        _problem(live.filter("NOT external AND why IS NOT NULL"), 20, "ooxml_path_policy",
-                 F.concat(F.lit("ooxml_path_suspicious:where=rels_target,value="), F.col("target"),
-                          F.lit(",why="), F.col("why"))),
-        _problem(live.filter(F.col("external") & ~valid_url(F.col("target"))), 20, "ooxml_reachability",
-                 F.concat(F.lit("ooxml_url_invalid:value="), F.col("target"))),
-        _problem(dangling.join(names, ["file_path", "part"], "left_anti"), 20, "ooxml_reachability",
-                 F.concat(F.lit("ooxml_dangling_relationship:target="), slash("part"))),
-        _problem(reached_typed.filter("ctype IS NULL"), 20, "ooxml_content_types",
-                 F.concat(F.lit("ooxml_ct_undetermined:part="), slash("part"))),
-        _problem(reached_typed.filter(is_xml & (F.col("size") > cfg.max_xml_bytes)), 20, "ooxml_xml_parse",
-                 F.concat(F.lit("ooxml_xml_read_fail:part="), slash("part"), F.lit(",why=entry_over_limit"))),
-        _problem(reached_typed.filter(is_xml & ~F.col("well_formed")), 20, "ooxml_xml_parse",
-                 F.concat(F.lit("ooxml_xml_parse_fail:part="), slash("part"))),
-        _problem(reached_typed.filter(~is_xml & (F.col("size") > cfg.max_bin_bytes)), 20, "ooxml_budget",
-                 F.concat(F.lit("ooxml_budget_exceeded:max_bin_part_bytes:part="), slash("part"))),
-        _problem(followed.filter("rels IS NULL"), 20, "ooxml_reachability",
-                 F.concat(F.lit("ooxml_rels_parse_fail:part="), slash("part"))),
-        _problem(followed.filter(F.size("rels") > cfg.max_per_rels), 20, "ooxml_reachability",
-                 F.lit("ooxml_rels_too_many_relationships")),
-        _problem(volume.filter(F.col("n") > cfg.max_rels_followed), 20, "ooxml_budget",
-                 F.lit("ooxml_budget_exceeded:max_rels_files_followed")),
-        _problem(volume.filter(F.col("links") > cfg.max_relationships), 20, "ooxml_budget",
-                 F.lit("ooxml_budget_exceeded:max_relationships_total")),
-        _problem(volume.filter(F.col("bytes") > cfg.max_total_rels), 20, "ooxml_budget",
-                 F.lit("ooxml_budget_exceeded:max_total_rels_bytes")),
-        _problem(xml_bytes.filter(F.col("bytes") > cfg.max_total_xml), 20, "ooxml_budget",
-                 F.lit("ooxml_budget_exceeded:max_total_xml_bytes")),
-    ]
+    xml_bytes = reached.filter(is_xml).groupBy("file_path").agg(F.sum("size").alias("xml"))
+    found.append(_problems(
+        followed.join(xml_bytes, "file_path", "full_outer"),
+        (20, col("spoilt").isNotNull(), _text("ooxml_rels_parse_fail:part=/", col("spoilt"))),
+        (20, col("most") > cfg.max_per_rels, "ooxml_rels_too_many_relationships"),
+        (20, col("n") > cfg.max_rels_followed, "ooxml_budget_exceeded:max_rels_files_followed"),
+        (20, col("links") > cfg.max_relationships, "ooxml_budget_exceeded:max_relationships_total"),
+        (20, col("bytes") > cfg.max_total_rels, "ooxml_budget_exceeded:max_total_rels_bytes"),
+        (20, col("xml") > cfg.max_total_xml, "ooxml_budget_exceeded:max_total_xml_bytes"),
+    ))
     if not cfg.orphans_allowed:
-        orphans = names.filter(~F.col("part").endswith(".rels") & (F.col("part") != CONTENT_TYPES_PART)).join(
-            reached, ["file_path", "part"], "left_anti"
+        orphans = names.filter(~col("part").endswith(".rels") & (col("part") != CONTENT_TYPES_PART)).join(
+            reached.select("file_path", "part"), ["file_path", "part"], "left_anti"
         ).groupBy("file_path").agg(F.count("*").alias("n"))
-        found.append(_problem(orphans, 30, "ooxml_reachability",
-                              F.concat(F.lit("ooxml_orphan_parts:n="), F.col("n").cast("string"))))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        found.append(_problems(orphans, (30, F.lit(True), _text("ooxml_orphan_parts:n=", col("n")))))
+    return reduce(DataFrame.unionByName, found)
 
 
 CHECKS_WHEN_CLEAN = 7

@@ -9,11 +9,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import arrow_udf
 
-from epochlens.formats.zip import DEFLATE, members, payloads, token_count
-from epochlens.functions.bytestats import byte_stats, flat_bytes, histograms
+from epochlens.formats.zip import DEFLATE, members, payloads
+from epochlens.functions.bytestats import byte_stats
+from epochlens.functions.codec import packed_size
 from epochlens.operators.intervals import overlap_join
 from epochlens.session import cut_lineage
 
@@ -69,123 +68,99 @@ def early_headers(files: DataFrame, rules: PackageRules = PackageRules()) -> Dat
     return head.mapInArrow(scan, HEADER_SCHEMA)
 
 
-SHAPE = T.StructType([
-    T.StructField("distinct", T.LongType()), T.StructField("peak", T.LongType()),
-    T.StructField("packed", T.LongType()),
-])
+def flat(s: Column, rules: PackageRules) -> Column:
+    """Byte stats of a flat distribution with few printable and few structure bytes."""
+    return (s["n"] > 0) & (s["chi2"] <= rules.chi2_uniform) & (
+        s["printable_loose"] < rules.ascii_min * s["n"]
+    ) & (s["tokens"] < rules.token_min * s["n"])
 
 
-@arrow_udf(returnType=SHAPE)
-def _shape(arr: pa.Array) -> pa.Array:
-    import zlib
-
-    import numpy as np
-
-    data, off = flat_bytes(arr)
-    n = len(off) - 1
-    distinct, peak, packed = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for lo, hi, counts in histograms(data, off):
-        distinct[lo:hi] = (counts > 0).sum(axis=1)
-        peak[lo:hi] = counts.max(axis=1)
-    for i in range(n):
-        packed[i] = len(zlib.compress(data[off[i]: off[i + 1]].tobytes(), 1))
-    return pa.StructArray.from_arrays([pa.array(distinct), pa.array(peak), pa.array(packed)], ["distinct", "peak", "packed"])
-
-
-def features(buf: Column) -> Column:
-    """Statistics that the ciphertext predicates need."""
-    n = F.length(buf)
-    s, shape = byte_stats(buf), _shape(buf)
-    return F.struct(
-        n.alias("n"), s["chi2"].alias("chi2"), (s["printable_loose"] / n).alias("ascii"),
-        (token_count(buf) / n).alias("token"), shape["distinct"].alias("distinct"),
-        (shape["peak"] / n).alias("peak"), (shape["packed"] / n).alias("packed"),
-    )
-
-
-def flat(f: Column, rules: PackageRules) -> Column:
-    return (f["chi2"] <= rules.chi2_uniform) & (f["ascii"] < rules.ascii_min) & (f["token"] < rules.token_min)
-
-
-def strict(f: Column, rules: PackageRules) -> Column:
+def strict(s: Column, packed: Column, rules: PackageRules) -> Column:
     """Flat, rich in distinct bytes and incompressible: header and descriptor bytes."""
-    return flat(f, rules) & (f["distinct"] >= 128) & (f["peak"] <= 0.06) & (f["packed"] >= 0.95)
+    return flat(s, rules) & (s["distinct"] >= 128) & (s["peak"] <= 0.06 * s["n"]) & (packed >= 0.95 * s["n"])
 
 
-def uniform(f: Column) -> Column:
+def uniform(s: Column, packed: Column) -> Column:
     """The bands that random bytes fall into, wider for slices below 256 bytes: gap bytes."""
+    ascii_r, token_r, peak, ratio = (
+        s["printable_loose"] / s["n"], s["tokens"] / s["n"], s["peak"] / s["n"], packed / s["n"]
+    )
     small = (
-        f["chi2"].between(120, 700) & f["ascii"].between(0.28, 0.58) & f["token"].between(0.02, 0.15)
-        & (f["distinct"] >= 120) & (f["peak"] <= 0.08) & (f["packed"] >= 0.99)
+        s["chi2"].between(120, 700) & ascii_r.between(0.28, 0.58) & token_r.between(0.02, 0.15)
+        & (s["distinct"] >= 120) & (peak <= 0.08) & (ratio >= 0.99)
     )
     large = (
-        f["chi2"].between(150, 600) & f["ascii"].between(0.28, 0.48) & f["token"].between(0.03, 0.12)
-        & (f["distinct"] >= 180) & (f["peak"] <= 0.06) & (f["packed"] >= 0.98)
+        s["chi2"].between(150, 600) & ascii_r.between(0.28, 0.48) & token_r.between(0.03, 0.12)
+        & (s["distinct"] >= 180) & (peak <= 0.06) & (ratio >= 0.98)
     )
-    return F.when(f["n"] < 256, small).otherwise(large)
+    return (s["n"] > 0) & F.when(s["n"] < 256, small).otherwise(large)
 
 
-def xml_like(buf: Column) -> Column:
+def xml_like(text_ok: Column, s: Column) -> Column:
     """A slice that reads as XML: valid UTF-8, tags, mostly printable, hardly any controls."""
-    s, n = byte_stats(buf), F.length(buf)
-    text = F.decode(buf, "ISO-8859-1")
-    angle = (n - F.length(F.regexp_replace(text, "[<>]", ""))) / n
-    control = (n - F.length(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))) / n
+    n = s["n"]
     return (
-        F.is_valid_utf8(buf.cast("string")) & angle.between(0.005, 0.20) & (s["printable_loose"] / n >= 0.70)
-        & (token_count(buf) / n >= 0.02) & (control <= 0.001)
+        text_ok & (s["angles"] / n).between(0.005, 0.20) & (s["printable_loose"] / n >= 0.70)
+        & (s["tokens"] / n >= 0.02) & (s["controls"] / n <= 0.001)
     )
 
 
+# Wording per verdict.
+WORDS = {
+    "encrypted": "ooxml: member encrypted", "broken": "ooxml: member decompression error",
+    "media untrusted": "ooxml: media sha not in trusted manifest", "media trusted": "ooxml: media trusted by sha",
+    "text mixed": "ooxml: text/XML anomaly (mixed windows)", "text odd": "ooxml: text/XML anomaly",
+    "text plain": "ooxml: text/XML plaintext-like within budget", "cipher": "ooxml: ciphertext-like member",
+    "benign": "ooxml: member benign",
+}
+BAD = ["encrypted", "broken", "media untrusted", "text mixed", "text odd", "cipher"]
+
+
 def member_verdicts(rows: DataFrame, trusted: DataFrame, rules: PackageRules) -> DataFrame:
-    """(file_path, idx, span_start, span_end, bad, reason) per member."""
+    """(file_path, idx, span_start, span_end, bad, reason) per member, decoded in one pass: XML
+    parts become one row per window, other parts one row with their head."""
     body = rows.filter("idx >= 0").withColumn("entry", F.col("name").cast("string")).filter(~F.col("entry").endswith("/"))
-    known = trusted.select("sha256").distinct().withColumn("_known", F.lit(True))
     crypt = F.col("flags").bitwiseAND(1) != 0
-    dec = payloads(body, rules.component_cap)
-    media = F.lower("entry").rlike(MEDIA_PREFIX)
-    broken = ((F.col("method") == DEFLATE) & (F.length("payload") == 0) & (F.col("usz") > 0)) | (
-        (F.length("payload") == F.col("usz")) & (F.crc32("payload") != F.col("crc"))
-    ) | ((F.length("payload") < F.col("usz")) & (F.col("usz") < rules.component_cap))
+    n = F.length("payload")
+    broken = ((F.col("method") == DEFLATE) & (n == 0) & (F.col("usz") > 0)) | (
+        (n == F.col("usz")) & (F.crc32("payload") != F.col("crc"))
+    ) | ((n < F.col("usz")) & (F.col("usz") < rules.component_cap))
     kind = (
-        F.when(crypt, "encrypted").when(broken, "broken").when(media, "media")
-        .when(F.length("payload") == 0, "empty").when(F.lower("entry").endswith(".xml"), "xml").otherwise("other")
+        F.when(crypt, "encrypted").when(broken, "broken").when(F.lower("entry").rlike(MEDIA_PREFIX), "media")
+        .when(n == 0, "empty").when(F.lower("entry").endswith(".xml"), "xml").otherwise("other")
     )
-    typed = dec.select(
-        "file_path", "idx", "entry", kind.alias("kind"), "payload",
-        F.when(kind == "media", F.sha2("payload", 256)).alias("sha256"),
+    dec = payloads(body, rules.component_cap).select(
+        "file_path", "idx", "entry", F.col("data_start").alias("span_start"),
+        (F.col("data_start") + F.col("csz") - 1).alias("span_end"), kind.alias("kind"), "payload",
     )
-    plain = typed.filter("kind IN ('encrypted', 'broken', 'empty')").select("file_path", "idx", F.col("kind").alias("v"))
-    seen = typed.filter("kind = 'media'").select("file_path", "idx", "sha256").join(known, "sha256", "left").select(
-        "file_path", "idx", F.when(F.col("_known"), "media trusted").otherwise("media untrusted").alias("v")
+    starts = F.when(F.col("kind") == "xml", F.sequence(F.lit(0), n - 1, F.lit(rules.xml_window))).otherwise(F.array(F.lit(0)))
+    size = F.when(F.col("kind") == "xml", rules.xml_window).otherwise(rules.slice_cap)
+    keys = ["file_path", "idx", "entry", "span_start", "span_end", "kind"]
+    cuts = dec.select(
+        *keys, "payload", F.explode(starts).alias("at"), size.alias("size"),
+    ).select(
+        *keys, F.when(F.col("kind") == "media", F.sha2("payload", 256)).alias("sha256"),
+        F.when(F.col("kind").isin("xml", "other"), F.col("payload").substr(F.col("at") + 1, F.col("size"))).alias("w"),
     )
-    cuts = typed.filter("kind = 'xml'").select(
-        "file_path", "idx", "payload",
-        F.explode(F.sequence(F.lit(0), F.length("payload") - 1, F.lit(rules.xml_window))).alias("at"),
-    ).select("file_path", "idx", F.col("payload").substr(F.col("at") + 1, F.lit(rules.xml_window)).alias("w"))
-    xml = cuts.select("file_path", "idx", xml_like(F.col("w")).alias("ok")).groupBy("file_path", "idx").agg(
-        F.bool_and("ok").alias("all_ok"), F.bool_or("ok").alias("any_ok")
-    ).select("file_path", "idx", F.when(F.col("all_ok"), "text plain").when(F.col("any_ok"), "text mixed").otherwise("text odd").alias("v"))
-    head = typed.filter("kind = 'other'").select(
-        "file_path", "idx", features(F.substring("payload", 1, rules.slice_cap)).alias("f")
+    seen = cuts.select(*keys, "sha256", F.is_valid_utf8(F.col("w").cast("string")).alias("text_ok"), byte_stats(F.col("w")).alias("s"))
+    good = xml_like(F.col("text_ok"), F.col("s"))
+    cipher = (F.col("kind") == "other") & flat(F.col("s"), rules) & (F.col("s.n") >= rules.min_slice)
+    rolled = seen.groupBy(*keys).agg(
+        F.max("sha256").alias("sha256"), F.bool_and(good).alias("all_ok"), F.bool_or(good).alias("any_ok"),
+        F.bool_or(cipher).alias("cipher"),
     )
-    other = head.select("file_path", "idx", F.when(
-        flat(F.col("f"), rules) & (F.col("f.n") >= rules.min_slice), "cipher").otherwise("benign").alias("v"))
-    verdict = plain.unionByName(seen).unionByName(xml).unionByName(other)
-    names = body.select(
-        "file_path", "idx", "entry", F.col("data_start").alias("span_start"),
-        (F.col("data_start") + F.col("csz") - 1).alias("span_end"),
+    known = trusted.select("sha256").distinct().withColumn("_known", F.lit(True))
+    verdict = (
+        F.when(F.col("kind").isin("encrypted", "broken"), F.col("kind"))
+        .when((F.col("kind") == "media") & F.col("_known").isNotNull(), "media trusted")
+        .when(F.col("kind") == "media", "media untrusted")
+        .when((F.col("kind") == "xml") & F.col("all_ok"), "text plain")
+        .when((F.col("kind") == "xml") & F.col("any_ok"), "text mixed").when(F.col("kind") == "xml", "text odd")
+        .when(F.col("cipher"), "cipher").otherwise("benign")
     )
-    words = F.create_map(*[F.lit(x) for pair in {
-        "encrypted": "ooxml: member encrypted", "broken": "ooxml: member decompression error",
-        "media untrusted": "ooxml: media sha not in trusted manifest", "media trusted": "ooxml: media trusted by sha",
-        "text mixed": "ooxml: text/XML anomaly (mixed windows)", "text odd": "ooxml: text/XML anomaly",
-        "text plain": "ooxml: text/XML plaintext-like within budget", "cipher": "ooxml: ciphertext-like member",
-        "benign": "ooxml: member benign", "empty": "ooxml: member benign",
-    }.items() for x in pair])
-    return names.join(verdict, ["file_path", "idx"]).select(
-        "file_path", "idx", "span_start", "span_end",
-        F.col("v").isin("encrypted", "broken", "media untrusted", "text mixed", "text odd", "cipher").alias("bad"),
+    words = F.create_map(*[F.lit(x) for pair in WORDS.items() for x in pair])
+    return rolled.join(known, "sha256", "left").withColumn("v", verdict).select(
+        "file_path", "idx", "span_start", "span_end", F.col("v").isin(BAD).alias("bad"),
         F.concat(words[F.col("v")], F.lit(" ("), "entry", F.lit(")")).alias("reason"),
         (F.col("v") == "text plain").alias("scanned"),
     )
@@ -218,9 +193,9 @@ def metadata_verdicts(rows: DataFrame, early: DataFrame, files: DataFrame, rules
         "file_path", "a", "b", "reason", "least",
         F.col("content").substr((F.col("a") + 1).cast("int"), F.least(F.col("b") - F.col("a") + 1, F.lit(rules.slice_cap)).cast("int")).alias("raw"),
     )
-    return cut.select("file_path", "a", "b", "reason", features(F.col("raw")).alias("f")).filter(
-        strict(F.col("f"), rules)
-    ).select("file_path", F.col("a").alias("span_start"), F.col("b").alias("span_end"), "reason")
+    return cut.select(
+        "file_path", "a", "b", "reason", byte_stats(F.col("raw")).alias("s"), packed_size(F.col("raw"), 1).alias("p")
+    ).filter(strict(F.col("s"), F.col("p"), rules)).select("file_path", F.col("a").alias("span_start"), F.col("b").alias("span_end"), "reason")
 
 
 def ooxml_decisions(
@@ -266,8 +241,8 @@ def ooxml_decisions(
     gap = rest.join(files.select("file_path", "content"), "file_path").select(
         *key, F.col("content").substr((F.col("start") + 1).cast("int"),
                                       F.least(F.col("end") - F.col("start") + 1, F.lit(rules.slice_cap)).cast("int")).alias("raw"),
-    ).select(*key, features(F.col("raw")).alias("f")).select(
-        *key, (F.col("f.n") >= rules.min_slice).alias("enough"), uniform(F.col("f")).alias("uniform")
+    ).select(*key, byte_stats(F.col("raw")).alias("s"), packed_size(F.col("raw"), 1).alias("p")).select(
+        *key, (F.col("s.n") >= rules.min_slice).alias("enough"), uniform(F.col("s"), F.col("p")).alias("uniform")
     )
     outside = gap.join(meta, key, "left").select(
         *key,

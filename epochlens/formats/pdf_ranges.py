@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochlens.formats import pdf
+from epochlens.functions.codec import packed_size
 from epochlens.functions.bytestats import byte_chi2_open, byte_entropy, byte_stats
 from epochlens.functions.pdffilters import DECODED, decode_filters, decode_parms, filter_names
 from epochlens.functions.pdftext import (
-    HIGH, MIN_OPERAND, broken_zlib, hex_body, packed_size, readable_island, string_operands, zones,
+    HIGH, MIN_OPERAND, broken_zlib, hex_body, readable_island, string_operands, zones,
 )
 from epochlens.operators.intervals import overlap_join
 from epochlens.session import cut_lineage

@@ -23,15 +23,24 @@ PRINTABLE_STRICT[_TAB_LF_CR] = True
 PRINTABLE_LOOSE = np.zeros(256, dtype=bool)  # 32..126 and 9..13
 PRINTABLE_LOOSE[32:127] = True
 PRINTABLE_LOOSE[9:14] = True
-
-STATS_TYPE = T.StructType([
-    T.StructField("n", T.LongType()),
-    T.StructField("sum_sq", T.LongType()),
-    T.StructField("chi2", T.DoubleType()),
-    T.StructField("entropy", T.DoubleType()),
-    T.StructField("printable", T.LongType()),
-    T.StructField("printable_loose", T.LongType()),
-])
+TOKENS = np.zeros(256, dtype=bool)  # structure bytes of markup, code and tables
+TOKENS[list(b"{}[]()<>=/,:;\"' \t\r\n")] = True
+ANGLES = np.zeros(256, dtype=bool)
+ANGLES[list(b"<>")] = True
+CONTROLS = np.zeros(256, dtype=bool)  # below 32 without tab, line feed, carriage return; and 127
+CONTROLS[:32] = True
+CONTROLS[_TAB_LF_CR] = False
+CONTROLS[127] = True
+CLASSES = {
+    "printable": PRINTABLE_STRICT, "printable_loose": PRINTABLE_LOOSE, "tokens": TOKENS,
+    "angles": ANGLES, "controls": CONTROLS,
+}
+
+COUNTERS = ["n", "sum_sq", *CLASSES, "distinct", "peak"]
+STATS_TYPE = T.StructType(
+    [T.StructField(c, T.LongType()) for c in COUNTERS]
+    + [T.StructField("chi2", T.DoubleType()), T.StructField("entropy", T.DoubleType())]
+)
 
 
 def flat_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,18 +93,14 @@ def stats_of(arr: pa.Array) -> dict[str, np.ndarray]:
     data, off = flat_bytes(arr)
     rows = len(off) - 1
     n = np.diff(off)
-    out = {
-        "n": n,
-        "sum_sq": np.zeros(rows, np.int64),
-        "entropy": np.zeros(rows),
-        "printable": np.zeros(rows, np.int64),
-        "printable_loose": np.zeros(rows, np.int64),
-    }
+    out = {c: np.zeros(rows, np.int64) for c in COUNTERS} | {"n": n, "entropy": np.zeros(rows)}
     for lo, hi, counts in histograms(data, off):
         out["sum_sq"][lo:hi] = (counts * counts).sum(axis=1)
         out["entropy"][lo:hi] = _entropy(counts, n[lo:hi])
-        out["printable"][lo:hi] = counts[:, PRINTABLE_STRICT].sum(axis=1)
-        out["printable_loose"][lo:hi] = counts[:, PRINTABLE_LOOSE].sum(axis=1)
+        out["distinct"][lo:hi] = (counts > 0).sum(axis=1)
+        out["peak"][lo:hi] = counts.max(axis=1)
+        for name, table in CLASSES.items():
+            out[name][lo:hi] = counts[:, table].sum(axis=1)
     out["chi2"] = _chi2(out["sum_sq"], n)
     return out
 
@@ -126,7 +131,7 @@ def _entropy_udf(arr: pa.Array) -> pa.Array:
 @arrow_udf(returnType=STATS_TYPE)
 def _stats_udf(arr: pa.Array) -> pa.Array:
     s = stats_of(arr)
-    names = ["n", "sum_sq", "chi2", "entropy", "printable", "printable_loose"]
+    names = [*COUNTERS, "chi2", "entropy"]
     return pa.StructArray.from_arrays([pa.array(s[k]) for k in names], names, mask=arr.is_null())
 
 

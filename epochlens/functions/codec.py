@@ -53,6 +53,19 @@ def _unpack(data: pa.Array, window: pa.Array, cap: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+@arrow_udf(returnType=T.LongType())
+def _packed(data: pa.Array, level: pa.Array) -> pa.Array:
+    return pa.array(
+        [None if v.as_py() is None else len(zlib.compress(v.as_py(), k.as_py())) for v, k in zip(data, level)],
+        pa.int64(),
+    )
+
+
+def packed_size(data: Column, level: int = 6) -> Column:
+    """Size after zlib compression."""
+    return _packed(data, F.lit(level))
+
+
 def inflate_facts(data: Column, cap: Column) -> Column:
     """struct(size, crc, why) of a raw DEFLATE value; the output itself stays in the worker."""
     return _measure(data, cap.cast("bigint"))

@@ -123,11 +123,6 @@ def _broken(arr: pa.Array) -> pa.Array:
     return _map(arr, has_broken_zlib, pa.bool_())
 
 
-@arrow_udf(returnType=T.LongType())
-def _packed(arr: pa.Array) -> pa.Array:
-    return _map(arr, lambda raw: len(zlib.compress(raw, 6)), pa.int64())
-
-
 def string_operands(data: Column) -> Column:
     return _operands(data)
 
@@ -138,8 +133,3 @@ def readable_island(data: Column) -> Column:
 
 def broken_zlib(data: Column) -> Column:
     return _broken(data)
-
-
-def packed_size(data: Column) -> Column:
-    """Size after zlib at its default level."""
-    return _packed(data)
