@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from epochlens.catalog.registry import query, table
 from epochlens.functions.bytestats import utf8_bytes
 from epochlens.functions.ints import ceil_div
+from epochlens.config import DetectConfig
 from epochlens.operators import fileaware
 from epochlens.operators.delta import delta_blocks, extent_groups
 from epochlens.operators.intervals import map_blocks
 from epochlens.operators.scan import ScanConfig, suspicious_regions
 from epochlens.operators.versions import changed_blocks, restorable_blocks
+from epochlens.plans.detect import detect
+from epochlens.session import spread
 
 BLOCK = 512
 CLUSTER = 4096
@@ -45,7 +48,7 @@ def noise_block(seed):
 
 
 def mutations(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text"))
     plain = _split(docs, utf8_bytes(F.col("text")), 1)
     attacked = _split(docs.filter("lang = 'de'"), utf8_bytes(F.col("text")), 2).select(
         "id", noise_block(F.col("id").cast("string")).alias("block"), "epoch"
@@ -201,3 +204,85 @@ def _(spark, d):
     return fileaware.file_ranges(
         map_blocks(_changed(spark, d), file_extents(spark, d), cluster_size=CLUSTER)
     )
+
+
+def end_files(spark, d):
+    """Files as they are after the last epoch."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
+    size = F.octet_length("text")
+    noise = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), ceil_div(size, BLOCK) - 1),
+        lambda i: F.hex(noise_block((F.col("doc_id") * SPAN + i).cast("string"))),
+    )
+    attacked = F.substring(F.unhex(F.array_join(noise, "")), F.lit(1), size)
+    edited = utf8_bytes(F.replace(F.col("text"), F.lit("a"), F.lit("o")))
+    state = (
+        F.when((F.col("lang") == "de") & (size > 0), attacked).when(F.col("lang") == "fr", edited)
+        .otherwise(utf8_bytes(F.col("text")))
+    )
+    return docs.select(_path().alias("file_path"), state.alias("content"))
+
+
+@query("detect_files", """
+    SELECT '/docs/' || source || '/' || doc_id || '.txt' AS file_path FROM documents
+    WHERE lang = 'de' AND length(text) > 0""")
+def _(spark, d):
+    cfg = DetectConfig(2, 2, cluster_size=CLUSTER)
+    found = detect(
+        mutations(spark, d), dirty_bits(spark, d), file_extents(spark, d), cfg, files=end_files(spark, d)
+    )
+    return found.mappings.filter(~F.col("file_path").contains(":")).select("file_path").distinct()
+
+
+EDGE_SQL = """
+    f AS (SELECT doc_id, hex(encode(text)) AS hx, octet_length(encode(text)) AS n FROM documents WHERE length(text) > 0),
+    w AS (SELECT doc_id, i, substr(hx, 1024 * i + 1, 1024) AS hx
+          FROM (SELECT doc_id, hx, unnest(range((n + 511) // 512)) AS i FROM f)),
+    l AS (SELECT doc_id, i, hx, regexp_extract_all(hx, '..') AS b FROM w),
+    c AS (SELECT doc_id, i, length(regexp_extract(hx, '^((?:[89AB][0-9A-F])*)', 1)) // 2
+              + CASE WHEN b[-1] BETWEEN 'C2' AND 'F4' THEN 1
+                     WHEN b[-2] BETWEEN 'E0' AND 'F4' AND b[-1] BETWEEN '80' AND 'BF' THEN 2
+                     WHEN b[-3] BETWEEN 'F0' AND 'F4' AND b[-2] BETWEEN '80' AND 'BF'
+                          AND b[-1] BETWEEN '80' AND 'BF' THEN 3 ELSE 0 END AS cut FROM l)"""
+
+
+@query("text_decisions", f"""
+    WITH t AS (SELECT DISTINCT sha256(text) AS sha256 FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+    {EDGE_SQL}
+    SELECT '/t/' || c.doc_id || '.txt' AS file_path, i * 512 AS start,
+           cut > 0 AND sha256(text) NOT IN (SELECT sha256 FROM t) AS keep_region,
+           CASE WHEN sha256(text) IN (SELECT sha256 FROM t) THEN 'text: trusted (sha256)'
+                WHEN cut > 0 THEN 'text: invalid UTF-8 in region (' || cut || ' errors)'
+                ELSE 'text: UTF-8 plaintext-like' END AS reason
+    FROM c JOIN documents d ON c.doc_id = d.doc_id""")
+def _(spark, d):
+    docs = table(spark, d, "documents").filter("length(text) > 0")
+    files = docs.select(
+        F.concat(F.lit("/t/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"),
+        utf8_bytes(F.col("text")).alias("content"), F.lit("text").alias("handler"),
+    )
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), ceil_div(F.length("content"), BLOCK) - 1)).alias("i")
+    ranges = files.select("file_path", at).select(
+        "file_path", (F.col("i") * BLOCK).alias("start"), (F.col("i") * BLOCK + BLOCK - 1).alias("end")
+    )
+    good = table(spark, d, "labels").filter("quality = 1").select("doc_id")
+    listed = docs.join(good, "doc_id", "left_semi").select(F.sha2("text", 256).alias("sha256"))
+    return fileaware.text_decisions(ranges, files, listed).select("file_path", "start", "keep_region", "reason")
+
+
+@query("media_decisions", """
+    WITH t AS (SELECT DISTINCT sha256(text) AS sha256 FROM documents JOIN labels USING (doc_id) WHERE quality = 1)
+    SELECT '/m/' || doc_id || '.jpg' AS file_path, sha256(text) NOT IN (SELECT sha256 FROM t) AS keep_file,
+           CASE WHEN sha256(text) IN (SELECT sha256 FROM t) THEN 'jpeg: trusted (sha256)'
+                ELSE 'jpeg: untrusted; metadata encrypted' END AS fileaware_reason
+    FROM documents""")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    files = docs.select(
+        F.concat(F.lit("/m/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("file_path"),
+        utf8_bytes(F.col("text")).alias("content"),
+    ).withColumn("handler", fileaware.handler_name(F.col("file_path"), F.substring("content", 1, 8)))
+    ranges = files.select("file_path", F.lit(0).cast("bigint").alias("start"), F.lit(511).cast("bigint").alias("end"))
+    good = table(spark, d, "labels").filter("quality = 1").select("doc_id")
+    listed = docs.join(good, "doc_id", "left_semi").select(F.sha2("text", 256).alias("sha256"))
+    return fileaware.file_decisions(fileaware.media_decisions(ranges, files, listed))

@@ -111,7 +111,7 @@ def _detect(spark, a) -> None:
     plan.write_detection(found, a.output_path, cfg, formats, audit_formats)
     if a.block_debug:
         out = a.block_debug_outdir or os.path.join(a.output_path, "block_debug")
-        plan.compare_with_audit(spark, muts, bits, ext, found, found.regions, cfg, out,
+        plan.compare_with_audit(spark, muts, bits, ext, found, cfg, out,
                                 a.block_debug_audit, a.block_debug_path_match)
 
 

@@ -25,12 +25,11 @@ from epochlens.sinks.tables import write_json, write_table
 from epochlens.sources.audit import audit_offsets, read_audit
 from epochlens.sources.files import mounted_files
 
-EMPTY = {"mappings": schemas.MAPPING, "decisions": schemas.REGION_DECISION}
-
-
 @dataclass
 class Detection:
     changed: DataFrame
+    scanned: DataFrame          # regions and mappings before trust and format filters
+    scanned_mappings: DataFrame
     regions: DataFrame
     mappings: DataFrame
     trusted_files: DataFrame | None = None
@@ -59,32 +58,34 @@ def map_regions(regions: DataFrame, extents: DataFrame, cfg: DetectConfig) -> Da
     )
 
 
-def with_handlers(files: DataFrame) -> DataFrame:
-    return files.withColumn(
-        "handler", fileaware.handler_name(F.col("file_path"), F.substring("content", 1, 8))
-    )
+CONTAINERS = {"zip": zip_decisions, "ooxml": ooxml_decisions, "pdf": pdf_decisions}
 
 
 def decide_ranges(ranges: DataFrame, files: DataFrame | None, trusted: DataFrame) -> DataFrame:
     """Range decisions of all handlers. ``files`` is null without a mount; files that cannot be
-    read are kept."""
+    read are kept. Only handlers that some file needs are planned."""
     if files is None:
         return fileaware.without_mount(ranges, fileaware.handler_name(F.col("file_path"), F.lit(b"")))
-    routed = with_handlers(files)
-    pick = lambda name: routed.filter(F.col("handler") == name)
-    parts = [
-        fileaware.media_decisions(ranges, routed, trusted),
-        fileaware.text_decisions(ranges, routed, trusted),
-        fileaware.generic_decisions(ranges, routed),
-        zip_decisions(ranges, pick("zip"), trusted),
-        ooxml_decisions(ranges, pick("ooxml"), trusted),
-        pdf_decisions(ranges, pick("pdf"), trusted),
-    ]
-    unread = ranges.join(routed.select("file_path").distinct(), "file_path", "left_anti").select(
+    routes = cut_lineage(files.select(
+        "file_path", fileaware.handler_name(F.col("file_path"), F.substring("content", 1, 8)).alias("handler")
+    ))
+    present = {r["handler"] for r in routes.select("handler").distinct().collect()}
+    routed = lambda names: files.join(routes.filter(F.col("handler").isin(names)), "file_path")
+    parts = [ranges.join(routes, "file_path", "left_anti").select(
         "file_path", "start", "end", F.lit("generic").alias("handler"), F.lit(True).alias("keep_region"),
         F.lit("unreadable; escalate").alias("reason"), F.lit("unreadable; escalate").alias("file_reason"),
-    )
-    return reduce(DataFrame.unionByName, [*parts, unread])
+    )]
+    if present & set(fileaware.MEDIA):
+        parts.append(fileaware.media_decisions(ranges, routed(fileaware.MEDIA), trusted))
+    if "text" in present:
+        parts.append(fileaware.text_decisions(ranges, routed(["text"]), trusted))
+    if "generic" in present:
+        parts.append(fileaware.generic_decisions(ranges, routes))
+    for name, decide in CONTAINERS.items():
+        if name in present:
+            mine = routed([name]).select("file_path", "content")
+            parts.append(decide(ranges.join(mine.select("file_path"), "file_path", "left_semi"), mine, trusted))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def detect(
@@ -96,8 +97,9 @@ def detect(
     and known hashes."""
     cfg.validate()
     spark = mutations.sparkSession
-    changed, regions = find_regions(mutations, bits, cfg)
-    mappings = cut_lineage(map_regions(regions, extents, cfg))
+    changed, scanned = find_regions(mutations, bits, cfg)
+    regions, mappings = scanned, cut_lineage(map_regions(scanned, extents, cfg))
+    scanned_mappings = mappings
     if files is None and mount_root:
         files = mounted_files(mappings, mount_root)
     hashes = spark.createDataFrame([], "sha256 string")
@@ -121,7 +123,7 @@ def detect(
     window = {"start_epoch": F.lit(cfg.start_epoch), "end_epoch": F.lit(cfg.end_epoch)}
     kept = cut_lineage(kept)
     return Detection(
-        changed=changed,
+        changed=changed, scanned=scanned, scanned_mappings=scanned_mappings,
         regions=fileaware.update_regions(regions, kept).withColumns(window),
         mappings=kept.withColumns(window),
         trusted_files=seen, inventory=new_inventory, decisions=decisions,
@@ -145,7 +147,7 @@ def write_detection(found: Detection, out: str, cfg: DetectConfig, formats=("par
 
 def compare_with_audit(
     spark: SparkSession, mutations: DataFrame, bits: DataFrame, extents: DataFrame, found: Detection,
-    regions: DataFrame, cfg: DetectConfig, out: str, audit_path: str | None, match: str = "basename",
+    cfg: DetectConfig, out: str, audit_path: str | None, match: str = "basename",
 ) -> dict:
     """Block-level comparison of an audit log with each stage, written as CSV. Without a log
     nothing counts as attacked and every block is ``latest_only``."""
@@ -164,8 +166,8 @@ def compare_with_audit(
     at_end = latest_at(only_dirty(mutations, dirty).select("id", "epoch"), cfg.end_epoch, "epoch").select(
         extent_id(F.col("id"), cfg.blocks_per_extent).alias("extent_id"), F.col("id").alias("block_id")
     )
-    sides = compare.device_comparisons(audited, at_end, found.changed, regions)
-    sides["maps"] = compare.compare_file_offsets(offsets, found.mappings, match)
+    sides = compare.device_comparisons(audited, at_end, found.changed, found.scanned)
+    sides["maps"] = compare.compare_file_offsets(offsets, found.scanned_mappings, match)
     put = lambda df, name: write_table(df, os.path.join(out, name), ("csv",))
     put(every, "mutated_block_mappings")
     put(offsets, "audit_file_offsets")
