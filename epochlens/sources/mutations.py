@@ -15,23 +15,24 @@ def bytes_of(block: Column) -> Column:
     return F.unhex(F.array_join(F.transform(block, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
 
 
-def epoch_files(spark: SparkSession, root: str, pattern: str, end_epoch: int) -> list[tuple[int, str]]:
-    """(epoch, path) of the per-epoch files up to ``end_epoch``: one short row per epoch, read from
-    the listing alone."""
+def epoch_files(spark: SparkSession, root: str, end_epoch: int) -> list[str]:
+    """``mutation_<e>.parquet`` files or directories up to ``end_epoch``, from the listing alone:
+    one short row per epoch."""
     listed = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+        .load(root).select(F.regexp_extract("path", rf"^(.*/{EPOCH_IN_NAME})(?:/|$)", 1).alias("path"))
         .select("path", F.regexp_extract("path", EPOCH_IN_NAME, 1).try_cast("int").alias("epoch"))
-        .filter(F.col("epoch") <= end_epoch)
+        .filter(F.col("epoch") <= end_epoch).distinct()
     )
-    return sorted((r["epoch"], r["path"]) for r in listed.collect())
+    return [r["path"] for r in listed.orderBy("epoch").collect()]
 
 
 def read_mutation_files(spark: SparkSession, root: str, end_epoch: int) -> DataFrame:
     """``mutation_<e>.parquet`` files; epochs after ``end_epoch`` are not opened."""
-    found = epoch_files(spark, root, "mutation_*.parquet", end_epoch)
+    found = epoch_files(spark, root, end_epoch)
     if not found:
         return spark.createDataFrame([], schemas.MUTATION)
-    df = spark.read.schema(schemas.MUTATION_FILE).parquet(*[p for _, p in found])
+    df = spark.read.schema(schemas.MUTATION_FILE).parquet(*found)
     return df.select(
         "id", bytes_of(F.col("block")).alias("block"),
         F.regexp_extract("_metadata.file_path", EPOCH_IN_NAME, 1).try_cast("int").alias("epoch"),
