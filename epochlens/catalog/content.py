@@ -154,16 +154,10 @@ def _(spark, d):
 @query("utf8_error_count", """
     SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS errors FROM documents""")
 def _(spark, d):
-    spoilt = F.unhex(
-        F.array_join(
-            F.transform(
-                F.regexp_extract_all(F.hex(utf8_bytes(F.col("text"))), F.lit("(..)"), F.lit(1)),
-                lambda h: F.when(h == "65", "FF").otherwise(h),
-            ),
-            "",
-        )
-    )
-    return table(spark, d, "documents").select("doc_id", utf8_error_count(spoilt).alias("errors"))
+    latin = F.decode(utf8_bytes(F.col("text")), "ISO-8859-1")
+    spoilt = F.encode(F.translate(latin, "e", "\u00ff"), "ISO-8859-1")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", utf8_error_count(spoilt).alias("errors"))
 
 
 GRID_SQL = """

@@ -8,6 +8,7 @@ from epochlens.catalog.registry import query, table
 from epochlens.functions import paths
 from epochlens.functions.ints import floor_div
 from epochlens.operators import compare, evaluate, fileaware, islands, stats, trust, verify
+from epochlens.operators.delta import block_extents
 from epochlens.operators.intervals import overlap_join, stab_join
 from epochlens.operators.versions import latest_at, latest_before, version_pairs
 
@@ -92,9 +93,9 @@ def _(spark, d):
     FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
 def _(spark, d):
     o = table(spark, d, "orders").filter(F.col("o_orderstatus") == "F")
-    return o.groupBy(floor_div(F.col("o_orderkey"), 8).alias("extent_id")).agg(
-        F.count("*").alias("n_blocks"),
-        F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("block_ids"),
+    return block_extents(o, "o_orderkey").select(
+        "extent_id", F.size("block_ids").cast("bigint").alias("n_blocks"),
+        F.array_join("block_ids", ",").alias("block_ids"),
     )
 
 
@@ -250,11 +251,11 @@ def _(spark, d):
 @query("full_outer_keys", """
     WITH a AS (SELECT o_custkey AS k, count(*) AS n_orders FROM orders GROUP BY 1),
     b AS (SELECT c_custkey AS k, c_acctbal FROM customer WHERE c_acctbal > 5000)
-    SELECT coalesce(a.k, b.k) AS k, n_orders, c_acctbal FROM a FULL OUTER JOIN b ON a.k = b.k""")
+    SELECT coalesce(a.k, b.k) AS k, coalesce(n_orders, 0) AS n_orders, c_acctbal FROM a FULL OUTER JOIN b ON a.k = b.k""")
 def _(spark, d):
     a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n_orders"))
     b = table(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("k"), "c_acctbal")
-    return a.join(b, "k", "full_outer")
+    return a.join(b, "k", "full_outer").select("k", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "c_acctbal")
 
 
 @query("semi_pairs", """
@@ -308,10 +309,10 @@ def _(spark, d):
     trusted AS (SELECT 'n' || n_nationkey AS file_path FROM nation WHERE n_regionkey <= 1),
     flags AS (SELECT block_id, bool_or(file_path IN (SELECT file_path FROM trusted)) AS t
               FROM maps GROUP BY block_id),
-    b AS (SELECT DISTINCT l_orderkey AS region_id, l_suppkey AS block_id FROM lineitem),
-    f AS (SELECT region_id, count(*) AS total, count(t) AS mapped, count(*) FILTER (WHERE t) AS tm
-          FROM b LEFT JOIN flags USING (block_id) GROUP BY region_id)
-    SELECT region_id, total AS n_blocks FROM f WHERE mapped < total OR tm < mapped""")
+    b AS (SELECT DISTINCT l_orderkey AS region_id, l_suppkey // 8 AS part, l_suppkey AS block_id FROM lineitem),
+    f AS (SELECT region_id, part, count(*) AS total, count(t) AS mapped, count(*) FILTER (WHERE t) AS tm
+          FROM b LEFT JOIN flags USING (block_id) GROUP BY region_id, part)
+    SELECT region_id, part, total AS n_blocks FROM f WHERE mapped < total OR tm < mapped""")
 def _(spark, d):
     maps = table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("block_id"),
@@ -320,11 +321,11 @@ def _(spark, d):
     trusted = table(spark, d, "nation").filter("n_regionkey <= 1").select(
         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("file_path")
     )
-    regions = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("extent_id")).agg(
-        F.collect_set("l_suppkey").alias("block_ids")
-    ).withColumn("delta_block_id", F.lit(0)).withColumn("byte_start", F.lit(0))
+    regions = table(spark, d, "lineitem").groupBy(
+        F.col("l_orderkey").alias("extent_id"), floor_div(F.col("l_suppkey"), 8).alias("byte_start")
+    ).agg(F.collect_set("l_suppkey").alias("block_ids")).withColumn("delta_block_id", F.lit(0))
     _, kept = trust.drop_trusted(maps, regions, trusted)
-    return kept.select(F.col("extent_id").alias("region_id"), F.size("block_ids").cast("bigint").alias("n_blocks"))
+    return kept.select(F.col("extent_id").alias("region_id"), F.col("byte_start").alias("part"), F.size("block_ids").cast("bigint").alias("n_blocks"))
 
 
 @query("default_keep", """
@@ -791,9 +792,11 @@ def _(spark, d):
 
 
 @query("json_view", """
-    SELECT l_orderkey AS extent_id, '[' || array_to_string(list(DISTINCT l_suppkey ORDER BY l_suppkey), ',') || ']' AS block_ids
-    FROM lineitem GROUP BY 1""")
+    SELECT l_orderkey AS extent_id, l_suppkey // 8 AS part, '[' || array_to_string(list(DISTINCT l_suppkey ORDER BY l_suppkey), ',') || ']' AS block_ids
+    FROM lineitem GROUP BY 1, 2""")
 def _(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("extent_id")).agg(
+    return table(spark, d, "lineitem").groupBy(
+        F.col("l_orderkey").alias("extent_id"), floor_div(F.col("l_suppkey"), 8).alias("part")
+    ).agg(
         F.to_json(F.array_sort(F.collect_set("l_suppkey"))).alias("block_ids")
     )

@@ -38,7 +38,14 @@ def nt_path_key(path: Column) -> Column:
 
 
 def posix_norm(path: Column) -> Column:
-    """Resolve ``.``, ``..`` and repeated slashes, then turn backslashes into slashes."""
+    """Resolve ``.``, ``..`` and repeated slashes, then turn backslashes into slashes. Paths that
+    have none of these, which is nearly all, skip the segment walk."""
+    untidy = path.rlike(r"(^|/)\.{1,2}(/|$)|//|./$|^$")
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(untidy, _resolve(path)).otherwise(plain)
+
+
+def _resolve(path: Column) -> Column:
     absolute = F.startswith(path, F.lit("/"))
     empty = F.array().cast("array<string>")
     parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))

@@ -43,11 +43,10 @@ def exact_percentiles(
         F.count("*").alias("_c")
     )
     clean = df.filter(F.col(value).isNotNull())
-    lows = F.percentile_approx(value, [max(p - eps, 0.0) for _, p in points], SKETCH)
-    highs = F.percentile_approx(value, [min(p + eps, 1.0) for _, p in points], SKETCH)
+    ends = [max(p - eps, 0.0) for _, p in points] + [min(p + eps, 1.0) for _, p in points]
     brackets = clean.groupBy(*groups).agg(
         F.count("*").alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"),
-        lows.alias("_lo"), highs.alias("_hi"),
+        F.percentile_approx(value, ends, SKETCH).alias("_q"),
     )
     whole = F.col("_n") <= SKETCH
     targets = F.array(*[
@@ -55,25 +54,32 @@ def exact_percentiles(
             F.lit(name).alias("name"),
             (F.lit(p) * (F.col("_n") - 1)).alias("pos"),
             # Groups no larger than the sketch are ranked whole: their bracket is the full range.
-            F.when(whole, F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
-            F.when(whole, F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"),
+            F.when(whole, F.col("_min")).otherwise(F.col("_q")[i]).alias("lo"),
+            F.when(whole, F.col("_max")).otherwise(F.col("_q")[i + len(points)]).alias("hi"),
         )
         for i, (name, p) in enumerate(points)
     ])
     spec = brackets.select(*groups, "_n", targets.alias("_t"))
-    return _ranked(data, spec, groups)
-
-
-def _ranked(counts: DataFrame, spec: DataFrame, key: list[str]) -> DataFrame:
-    hit = join_measured(counts, spec, key).select(
-        *key, "_v", "_c", F.explode("_t").alias("t")
-    ).filter(F.col("_v") <= F.col("t.hi"))
-    # Everything below the bracket collapses to one row per target before it is shuffled.
-    inside = F.col("_v") >= F.col("t.lo")
-    slim = hit.groupBy(
-        *key, F.col("t.name").alias("name"), F.col("t.pos").alias("pos"),
-        F.when(inside, F.col("_v")).alias("_v"),
-    ).agg(F.sum("_c").alias("_c"))
+    return _ranked(data, spec, groups, len(points))
+
+
+def _ranked(counts: DataFrame, spec: DataFrame, key: list[str], n_targets: int) -> DataFrame:
+    joined = join_measured(counts, spec, key)
+    v = F.col("_v")
+    inside = joined.select(
+        *key, "_v", "_c",
+        F.explode(F.filter("_t", lambda t: (v >= t["lo"]) & (v <= t["hi"]))).alias("t"),
+    ).select(*key, "t.name", "t.pos", "_v", "_c")
+    # Everything below a bracket is one sum per target, made before the shuffle.
+    sums = joined.groupBy(*key).agg(
+        F.first("_t").alias("_t"),
+        *[F.sum(F.when(v < F.col("_t")[i]["lo"], F.col("_c"))).alias(f"_b{i}") for i in range(n_targets)],
+    )
+    below = sums.select(*key, F.explode(F.array(*[
+        F.struct(F.col("_t")[i]["name"].alias("name"), F.col("_t")[i]["pos"].alias("pos"), F.col(f"_b{i}").alias("_c"))
+        for i in range(n_targets)
+    ])).alias("b")).select(*key, "b.name", "b.pos", F.lit(None).cast("double").alias("_v"), "b._c").filter("_c IS NOT NULL")
+    slim = inside.select(*key, "name", "pos", v.cast("double").alias("_v"), "_c").unionByName(below)
     w = Window.partitionBy(*key, "name").orderBy(F.col("_v").asc_nulls_first())
     ranked = slim.withColumn("_upto", F.sum("_c").over(w)).withColumn(
         "_from", F.col("_upto") - F.col("_c")

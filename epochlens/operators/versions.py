@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from epochlens.functions.bytestats import zero_block
 from epochlens.functions.ints import floor_div
+from epochlens.session import cut_lineage
+
+# Ids of eight bytes: about 100 MB as a hashed relation.
+DIRTY_BROADCAST = 2_000_000
 
 
 def extent_id(block_id: Column, blocks_per_extent: int = 8) -> Column:
@@ -65,15 +69,42 @@ def changed_blocks(
     block_size: int = 512, blocks_per_extent: int = 8,
 ) -> DataFrame:
     """Blocks whose content differs between the two states: (extent_id, block_id, old, new).
-    Comparing before the hand-over to Python keeps unchanged blocks inside the JVM."""
-    scoped = only_dirty(mutations.filter(F.col("epoch") <= end_epoch), dirty)
-    pairs = version_pairs(scoped, start_epoch, end_epoch, "block", zero_block(block_size))
+    Comparing before the hand-over to Python keeps unchanged blocks inside the JVM.
+
+    A small dirty set is broadcast and thins the table before anything is shuffled. A large one is
+    applied after the versions of a block have been folded, so that a block rewritten very often
+    never sends all its versions to one task.
+    """
+    dirty = cut_lineage(dirty)
+    if dirty.limit(DIRTY_BROADCAST + 1).count() <= DIRTY_BROADCAST:
+        scoped = only_dirty(mutations, F.broadcast(dirty))
+        pairs = version_pairs(scoped, start_epoch, end_epoch, "block", zero_block(block_size))
+    else:
+        folded = version_pairs(mutations, start_epoch, end_epoch, "block", zero_block(block_size))
+        pairs = only_dirty(folded, dirty)
     return pairs.filter(F.col("old") != F.col("new")).select(
         extent_id(F.col("id"), blocks_per_extent).alias("extent_id"),
         F.col("id").alias("block_id"), "old", "new",
     )
 
 
+def changed_in_place(
+    mutations: DataFrame, bits: DataFrame, start_epoch: int, end_epoch: int, *, block_size: int = 512,
+) -> DataFrame:
+    """:func:`changed_blocks` on tables that are bucketed by ``extent_id`` (and carry it): join,
+    aggregation and the later grouping by extent all happen inside a bucket, without a shuffle."""
+    dirty = bits.filter(F.col("epoch").between(start_epoch, end_epoch)).select("extent_id", "id")
+    scoped = mutations.filter(F.col("epoch") <= end_epoch).join(dirty, ["extent_id", "id"], "left_semi")
+    earlier = F.col("epoch") < start_epoch
+    old = F.max_by(F.when(earlier, F.col("block")), F.when(earlier, F.col("epoch")))
+    pairs = scoped.groupBy("extent_id", "id").agg(
+        F.coalesce(old, zero_block(block_size)).alias("old"), F.max_by("block", "epoch").alias("new")
+    )
+    return pairs.filter(F.col("old") != F.col("new")).select(
+        "extent_id", F.col("id").alias("block_id"), "old", "new"
+    )
+
+
 def restorable_blocks(mutations: DataFrame, bits: DataFrame, end_epoch: int) -> DataFrame:
     """Image content as of ``end_epoch``: the newest version that is both flagged dirty in its
     epoch's bitmap and present in the table."""

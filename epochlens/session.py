@@ -10,6 +10,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Tables bucketed by extent join on (extent, block) in place.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Batches are bounded by bytes so that multi-megabyte files cannot build a huge Arrow batch.

@@ -26,6 +26,13 @@ def write_mutation_table(mutations: DataFrame, root: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(root))
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, blocks_per_extent: int = 8) -> None:
+    """Catalog table of mutations or dirty bits, bucketed and sorted by extent."""
+    keyed = df.withColumn("extent_id", floor_div(F.col("id"), blocks_per_extent))
+    (keyed.repartition(buckets, "extent_id").write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, "extent_id").sortBy("extent_id", "id").saveAsTable(name))
+
+
 def write_mutation_file(mutations: DataFrame, root: str, epoch: int) -> str:
     """``mutation_<epoch>.parquet`` (a directory of part files), written even when empty."""
     out = os.path.join(root, f"mutation_{epoch}.parquet")

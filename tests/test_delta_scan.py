@@ -152,3 +152,39 @@ def test_changed_blocks(spark):
     # Block 1 is unchanged, block 3 equals the zero block it is compared with, block 4 is too late.
     assert rows == {0: (1, 2), 2: (0, 5)}
     assert got.filter(F.col("extent_id") != 0).isEmpty()
+
+
+def test_bucketed_tables_need_no_shuffle(spark, tmp_path):
+    from epochlens.operators.versions import changed_in_place
+    from epochlens.sinks.device import write_bucketed
+
+    b = lambda v: bytearray([v] * 512)
+    rows = [(i, b(e * 7 + i % 5), e) for i in range(40) for e in range(1, 4) if (i + e) % 3]
+    muts = spark.createDataFrame(rows, "id bigint, block binary, epoch int")
+    write_bucketed(muts, "t_mut", str(tmp_path / "m"), 4)
+    write_bucketed(muts.select("id", "epoch"), "t_bits", str(tmp_path / "b"), 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = changed_in_place(spark.table("t_mut"), spark.table("t_bits"), 2, 3)
+        plan = extent_groups(got)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        want = changed_blocks(muts, muts.filter("epoch >= 2").select("id").distinct(), 2, 3)
+        key = lambda df: sorted((r["block_id"], bytes(r["old"]), bytes(r["new"])) for r in df.collect())
+        assert key(got) == key(want) and key(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE t_mut")
+        spark.sql("DROP TABLE t_bits")
+
+
+def test_changed_blocks_with_a_large_dirty_set(spark, monkeypatch):
+    from epochlens.operators import versions
+
+    b = lambda v: bytearray([v] * 512)
+    muts = spark.createDataFrame([(i % 9, b(e), e) for i in range(9) for e in range(1, 30)], "id bigint, block binary, epoch int")
+    dirty = muts.filter("epoch = 20 AND id < 5").select("id").distinct()
+    key = lambda df: sorted((r["block_id"], r["old"][0], r["new"][0]) for r in df.collect())
+    small = key(changed_blocks(muts, dirty, 20, 20))
+    monkeypatch.setattr(versions, "DIRTY_BROADCAST", 1)
+    assert key(changed_blocks(muts, dirty, 20, 20)) == small == [(i, 19, 20) for i in range(5)]
