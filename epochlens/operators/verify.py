@@ -132,24 +132,19 @@ def keyed_blockmap(blockmap: DataFrame, match: str) -> DataFrame:
     return blockmap.select(key.alias("file_key"), *PAIR, "offset_bytes")
 
 
-def match_targets(targets: DataFrame, blockmap: DataFrame, match: str) -> DataFrame:
-    """(file_key, spans, extent_id, block_id, offset_bytes): manifest records with the mapped
-    blocks of their file. ``suffix`` joins on every suffix of the manifest path, which keeps it an
-    equi-join."""
-    keyed = keyed_blockmap(blockmap, match)
+def target_keys(targets: DataFrame, match: str) -> DataFrame:
+    """(_key, target_key, spans): the block-map key each manifest record applies to. ``suffix``
+    lists every suffix of the manifest path, which keeps the later join an equi-join."""
+    path = F.col("man_path")
     if match == "basename":
-        return targets.withColumn("file_key", basename(F.col("man_path"))).join(keyed, "file_key")
+        return targets.select(basename(path).alias("_key"), basename(path).alias("target_key"), "spans")
     if match == "exact":
-        return targets.withColumn("file_key", F.col("man_path")).join(keyed, "file_key")
+        return targets.select(path.alias("_key"), path.alias("target_key"), "spans")
     if match != "suffix":
         raise ValueError(f"unknown path match {match!r}")
-    at = F.sequence(F.lit(1), F.length("man_path"))
-    ends = targets.withColumn("_at", F.explode(at)).withColumn(
-        "_suffix", F.col("man_path").substr(F.col("_at"), F.length("man_path"))
-    )
-    return (
-        ends.join(keyed.withColumnRenamed("file_key", "_suffix"), "_suffix")
-        .withColumn("file_key", F.col("man_path"))
+    at = F.explode(F.sequence(F.lit(1), F.length("man_path")))
+    return targets.select("man_path", "spans", at.alias("_at")).select(
+        path.substr(F.col("_at"), F.length("man_path")).alias("_key"), path.alias("target_key"), "spans"
     )
 
 
@@ -167,25 +162,19 @@ def verify(
     if file_prefix:
         blockmap = blockmap.filter(F.col("file_path").startswith(file_prefix))
     flagged = suspicious_pairs(regions, epoch)
-    hits = match_targets(manifest_targets(manifest_records(manifest), default_prefix), blockmap, match)
-    inside = F.exists(
-        "spans",
-        lambda s: (F.col("offset_bytes") >= s["offset"])
-        & (F.col("offset_bytes") < s["offset"] + s["length"]),
-    )
-    named = hits.select("file_key", *PAIR, inside.alias("expected"))
-    keyed = keyed_blockmap(blockmap, match)
-    others = keyed.join(hits.select("file_key").distinct(), "file_key", "left_anti")
-    if match == "suffix":
-        consumed = hits.select(F.col("_suffix").alias("file_key")).distinct()
-        others = others.join(consumed, "file_key", "left_anti")
-    rest = others.select(
-        "file_key", *PAIR,
-        ((F.col("offset_bytes") >= 0) & (F.col("offset_bytes") < default_prefix)).alias("expected"),
-    )
+    targets = target_keys(manifest_targets(manifest_records(manifest), default_prefix), match)
+    offset = F.col("offset_bytes")
+    stated = F.exists("spans", lambda s: (offset >= s["offset"]) & (offset < s["offset"] + s["length"]))
+    # One left join serves files in and outside the manifest; several records of a file meet again
+    # in the aggregation.
     blocks = (
-        named.unionByName(rest).groupBy("file_key", *PAIR)
-        .agg(F.bool_or("expected").alias("expected"))
+        keyed_blockmap(blockmap, match).withColumnRenamed("file_key", "_key").join(targets, "_key", "left")
+        .select(
+            F.coalesce("target_key", "_key").alias("file_key"), *PAIR,
+            F.when(F.col("spans").isNotNull(), stated)
+            .otherwise((offset >= 0) & (offset < default_prefix)).alias("expected"),
+        )
+        .groupBy("file_key", *PAIR).agg(F.bool_or("expected").alias("expected"))
         .join(flagged.withColumn("_f", F.lit(True)), PAIR, "left")
         .withColumn("flagged", F.coalesce("_f", F.lit(False)))
     )

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Byte scans are CPU-heavy: keep small shuffles spread over the cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Tables bucketed by extent join on (extent, block) in place.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
