@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epochlens.catalog import samples
 from epochlens.catalog.registry import query, table
-from epochlens.formats import ooxml, ooxml_ranges, pdf, pdf_ranges
+from epochlens.formats import ooxml, ooxml_ranges, pdf, pdf_ranges, pdf_report
 from epochlens.formats import zip as ziparchive
 from epochlens.operators.fileaware import file_decisions
 from epochlens.operators.manifest import build_manifest
@@ -113,3 +113,18 @@ def _(spark, d):
     )
     files = samples.pdf_files(spark, d).select("file_path", "content").unionByName(pages)
     return build_manifest(files).select("container", "source")
+
+
+@query("pdf_stream_report", """
+    SELECT doc_id, unnest([0, 1]) AS idx, unnest([TRUE, FALSE]) AS declared_flate,
+           unnest([lang <> 'de', TRUE]) AS decodes FROM documents""")
+def _(spark, d):
+    r = pdf_report.stream_report(samples.pdf_files(spark, d))
+    return _with_doc(r).select("doc_id", "idx", "declared_flate", "decodes")
+
+
+@query("pdf_zone_kinds", """
+    SELECT 'stream' AS kind, 2 * count(*) AS n FROM documents""")
+def _(spark, d):
+    z = pdf_report.zone_report(samples.pdf_files(spark, d)).filter("kind = 'stream'")
+    return z.groupBy("kind").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ overlap join, so a file with many suspicious blocks is not parsed per block.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochlens.formats import pdf
-from epochlens.functions.codec import packed_size
 from epochlens.functions.bytestats import byte_chi2_open, byte_entropy, byte_stats
+from epochlens.functions.codec import packed_size
 from epochlens.functions.pdffilters import DECODED, decode_filters, decode_parms, filter_names
 from epochlens.functions.pdftext import (
     HIGH, MIN_OPERAND, broken_zlib, hex_body, readable_island, string_operands, zones,
@@ -135,9 +136,54 @@ def stream_verdicts(streams: DataFrame, trusted: DataFrame, rules: PdfRules = Pd
 ANOMALY_SCHEMA = "file_path string, span_start bigint, span_end bigint, reason string, body binary"
 
 
+# Where the binary marker may lie and how much of it is tolerated.
+MARKER_ZONE, MARKER_BYTES, MARKER_HIGH = 4096, 512, 4
+FIRST_LINE = re.compile(rb"%PDF-[0-9]\.[0-9][^\r\n]*[\r\n]")
+XREF = re.compile(rb"\bxref\b.*?\btrailer\b(?:.{0,65536}?>>)?", re.DOTALL)
+XREF_HEAD = re.compile(rb"\bxref\s+\d+\s+\d+")
+XREF_ROW = re.compile(rb"\n\d{10}\s\d{5}\s[fn]\b")
+TRAILER_SIZE = re.compile(rb"trailer\s*<<.*?/Size\s+\d+", re.DOTALL)
+START_XREF = re.compile(rb"\bstartxref\b(\s*(\d+))?")
+PLAIN_OBJECT = re.compile(rb"\b\d+\s+\d+\s+obj\b(.*?)\bendobj\b", re.DOTALL)
+
+
+def marker_end(buf: bytes) -> int:
+    """End of the comment lines with high bytes that directly follow the header line."""
+    m = FIRST_LINE.search(buf, 0, MARKER_ZONE)
+    at = first = m.end() if m else 0
+    while at < MARKER_ZONE and at - first < MARKER_BYTES and buf[at: at + 1] == b"%":
+        stop = min(x for x in (buf.find(b"\n", at), buf.find(b"\r", at), len(buf)) if x >= 0)
+        if sum(c >= 128 for c in buf[at:stop]) < MARKER_HIGH:
+            break
+        at = stop + 1
+    return at
+
+
+def structure_anomalies(buf: bytes, lo: int, hi: int):
+    """(start, end, reason) of malformed cross-reference tables, ``startxref`` values and plain
+    objects in a stretch without streams; ends inclusive."""
+    for m in XREF.finditer(buf, lo, hi):
+        part = m[0]
+        why = (
+            "missing xref section header" if not XREF_HEAD.search(part) else
+            "no xref rows" if not XREF_ROW.search(part) else
+            "missing trailer/Size" if not TRAILER_SIZE.search(part) else ""
+        )
+        if why:
+            yield m.start(), m.end() - 1, f"pdf: prelude xref/trailer anomaly ({why})"
+    for m in START_XREF.finditer(buf, lo, hi):
+        if m[2] is None:
+            yield m.start(), m.end() - 1, "pdf: prelude startxref anomaly (missing integer after startxref)"
+        elif int(m[2]) >= len(buf):
+            yield m.start(), m.end() - 1, "pdf: prelude startxref anomaly (startxref offset out of bounds)"
+    for m in PLAIN_OBJECT.finditer(buf, lo, hi):
+        if m[1].count(b"<<") != m[1].count(b">>") or m[1].count(b"[") - m[1].count(b"]") >= 16:
+            yield m.start(), m.end() - 1, "pdf: prelude object anomaly (dict/array delimiter imbalance)"
+
+
 def outside_anomalies(files: DataFrame, rules: PdfRules = PdfRules()) -> DataFrame:
-    """(file_path, span_start, span_end, reason) outside streams: high-bit bytes in syntax or in a
-    comment other than the binary marker near the start, and long strings that look encrypted."""
+    """(file_path, span_start, span_end, reason) outside streams: malformed structure, high-bit
+    bytes in syntax or in a comment past the binary marker, long strings that look encrypted."""
 
     def scan(batches):
         for batch in batches:
@@ -145,15 +191,16 @@ def outside_anomalies(files: DataFrame, rules: PdfRules = PdfRules()) -> DataFra
             for path, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 streams, _ = pdf.stream_rows(value, 1 << 31)
                 edges = [0, *[x for s in streams for x in (s["start"], s["stop"])], len(value)]
+                marked = marker_end(value)
                 for lo, hi in zip(edges[::2], edges[1::2]):
+                    rows += [(path, *x, None) for x in structure_anomalies(value, lo, hi)]
                     for kind, a, b in zones(value, lo, hi):
                         if kind in ("literal", "hex"):
                             body = value[a + 1: b - 1] if kind == "literal" else hex_body(value[a:b])
                             if len(body) >= MIN_OPERAND:
                                 rows.append((path, a, b - 1, "pdf: prelude data encrypted", body))
                             continue
-                        marker = kind == "comment" and a < 64 and b - a <= 64
-                        for m in () if marker else HIGH.finditer(value, a, b):
+                        for m in () if kind == "comment" and b <= marked else HIGH.finditer(value, a, b):
                             why = "pdf: comment high-bit anomaly" if kind == "comment" else "pdf: prelude non-ASCII syntax bytes"
                             rows.append((path, m.start(), m.end() - 1, why, None))
             cols = list(zip(*rows)) if rows else [[]] * 5

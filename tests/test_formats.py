@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochlens.catalog.samples import build_docx, build_pdf, build_zip
-from epochlens.formats import ooxml, ooxml_ranges, pdf, pdf_ranges, zip as za
+from epochlens.formats import ooxml, ooxml_ranges, pdf, pdf_ranges, pdf_report, zip as za
 from epochlens.functions import pdffilters, pdftext
 from epochlens.operators.manifest import build_manifest
 
@@ -180,6 +180,10 @@ def test_pdf_ranges(spark):
     items = {
         "/ok.pdf": base, "/syntax.pdf": patched(base, text_at, b"\xf0\xf1"), "/string.pdf": base[:9] + info + base[9:],
         "/comment.pdf": base.replace(b"xref\n0", b"%" + b"\xe0" * 20 + b"\nxref\n0"), "/cut.pdf": base[:-8],
+        "/xref.pdf": base.replace(b" 00000 n", b" 0000Q n").replace(b" 65535 f", b" 6553Q f"),
+        "/start.pdf": base.replace(b"startxref\n", b"startxref\n99"),
+        "/object.pdf": base.replace(b"/Count 1 >>", b"/Count 1   "),
+        "/marker.pdf": base.replace(b"%PDF-1.4\n", b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n"),
     }
     import hashlib
     n = base.find(bytes(range(1, 9)))
@@ -191,9 +195,29 @@ def test_pdf_ranges(spark):
     assert why["/syntax.pdf"] == {"pdf: prelude non-ASCII syntax bytes"}
     assert "pdf: prelude data encrypted" in why["/string.pdf"]
     assert "pdf: comment high-bit anomaly" in why["/comment.pdf"]
+    assert why["/xref.pdf"] == {"pdf: prelude xref/trailer anomaly (no xref rows)"}
+    assert why["/start.pdf"] == {"pdf: prelude startxref anomaly (startxref offset out of bounds)"}
+    assert why["/object.pdf"] == {"pdf: prelude object anomaly (dict/array delimiter imbalance)"}
+    assert why["/marker.pdf"] == set()
     assert why["/cut.pdf"] == {"pdf: metadata encrypted (missing EOF)"}
 
 
+def test_pdf_reports(spark):
+    base = build_pdf(TEXT)
+    secret = bytes(random.Random(8).sample(range(130, 250), 110))
+    buf = base[:9] + b"1 0 obj\n<< /Title (" + secret + b") /A (plain) >>\nendobj\n" + base[9:]
+    df = files(spark, [("/a.pdf", buf)])
+    rep = pdf_report.stream_report(df).orderBy("idx").collect()
+    assert [(r["declared_flate"], r["decodes"]) for r in rep] == [(True, True), (False, True)]
+    assert rep[0]["embedded_zlib"][0]["rel"] == 0 and rep[0]["embedded_zlib"][0]["ok"]
+    labels = {r["size"]: r["label"] for r in pdf_report.string_report(df).collect()}
+    assert labels == {110: "CIPHERTEXT", 5: "TEXT"}
+    at = [buf.find(secret) + 3, buf.find(b"stream\n") + 20, buf.find(b"/Kids")]
+    offs = spark.createDataFrame([("/a.pdf", x) for x in at], "file_path string, offset bigint")
+    got = {r["offset"]: r["kind"] for r in pdf_report.locate_offsets(offs, df).collect()}
+    assert [got[x] for x in at] == ["literal", "stream", "syntax"]
+
+
 def test_pdf_filters():
     raw = bytes(range(200)) * 5
     dec = pdffilters.decode_stream
