@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,22 @@ def build_session(app: str = "epochlens", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application, so that column functions
+    import there wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        base = Path(tempfile.mkdtemp(prefix="epochlens-code-")) / "epochlens"
+        sc.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
+        _shipped.add(sc.applicationId)
+    return spark
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
