@@ -151,10 +151,36 @@ def _(spark, d):
     )
 
 
-@query("detect_regions_fixed")
+REGION_SQL = f"""
+    {DELTA_SQL},
+    rh AS (SELECT extent_id, min(id) * 512 AS run_at, string_agg(w, '' ORDER BY id) AS hx FROM r GROUP BY extent_id, run),
+    dl AS (SELECT extent_id, row_number() OVER (PARTITION BY extent_id ORDER BY a) - 1 AS dn, a, b - a AS n,
+                  substr(hx, 2 * (a - run_at) + 1, 2 * (b - a)) AS dx FROM d JOIN rh USING (extent_id, run_at)),
+    wp AS (SELECT extent_id, dn, dx, unnest(range(0, (n - 16) // 8 + 1)) AS i FROM dl WHERE n >= 16),
+    wb AS (SELECT extent_id, dn, i, unnest(regexp_extract_all(substr(dx, 16 * i + 1, 32), '..')) AS x FROM wp),
+    wh AS (SELECT extent_id, dn, i, x, count(*) AS c FROM wb GROUP BY ALL),
+    ws AS (SELECT extent_id, dn, i, 16.0::DOUBLE * sum(c * c) - 16 AS chi2 FROM wh GROUP BY ALL),
+    wg AS (SELECT *, i - row_number() OVER (PARTITION BY extent_id, dn ORDER BY i) AS grp FROM ws WHERE chi2 <= 350),
+    wo AS (SELECT *, i - min(i) OVER (PARTITION BY extent_id, dn, grp) AS k FROM wg),
+    hit AS (SELECT extent_id, dn, i * 8 AS s, i * 8 + 16 AS e, chi2 FROM wo WHERE k % 2 = 0),
+    fin AS (SELECT dl.extent_id, dl.dn, a, n,
+                   CASE WHEN n < 16 THEN 0 WHEN hit.s IS NOT NULL THEN ((n - 16) // 8) * 8 + 16
+                        ELSE ((n - 16) // 8) * 8 + 8 END AS pos
+            FROM dl LEFT JOIN hit ON hit.extent_id = dl.extent_id AND hit.dn = dl.dn AND hit.s = ((n - 16) // 8) * 8),
+    reg AS (SELECT extent_id, dn, a + s AS x, a + e - 1 AS y, chi2 FROM hit JOIN dl USING (extent_id, dn)
+            UNION ALL SELECT extent_id, dn, a + pos, a + n - 1, 0.0 FROM fin WHERE n > pos AND n - pos < 16)"""
+
+
+@query("detect_regions_fixed", f"""
+    WITH {REGION_SQL}
+    SELECT extent_id, CAST(dn AS INTEGER) AS delta_block_id, x AS byte_start, y AS byte_end_inclusive,
+           x // 512 AS lba_start_block, y // 512 AS lba_end_block, CAST(y // 512 - x // 512 + 1 AS INTEGER) AS num_blocks,
+           CAST(x % 512 AS INTEGER) AS first_block_offset, CAST(y % 512 AS INTEGER) AS last_block_offset, chi2 AS chi2_final
+    FROM reg""")
 def _(spark, d):
-    return suspicious_regions(extent_groups(_changed(spark, d)), ScanConfig(expand=False)).withColumn(
-        "block_ids", F.to_json("block_ids")
+    return suspicious_regions(extent_groups(_changed(spark, d)), ScanConfig(expand=False)).select(
+        "extent_id", "delta_block_id", "byte_start", "byte_end_inclusive", "lba_start_block", "lba_end_block",
+        "num_blocks", "first_block_offset", "last_block_offset", "chi2_final",
     )
 
 
