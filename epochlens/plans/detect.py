@@ -4,6 +4,7 @@ files own them."""
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -59,32 +60,46 @@ def map_regions(regions: DataFrame, extents: DataFrame, cfg: DetectConfig) -> Da
 
 
 CONTAINERS = {"zip": zip_decisions, "ooxml": ooxml_decisions, "pdf": pdf_decisions}
+Loader = Callable[[DataFrame], DataFrame]  # (file_path) -> (file_path, content)
 
 
-def decide_ranges(ranges: DataFrame, files: DataFrame | None, trusted: DataFrame) -> DataFrame:
-    """Range decisions of all handlers. ``files`` is null without a mount; files that cannot be
-    read are kept. Only handlers that some file needs are planned."""
-    if files is None:
-        return fileaware.without_mount(ranges, fileaware.handler_name(F.col("file_path"), F.lit(b"")))
-    routes = cut_lineage(files.select(
-        "file_path", fileaware.handler_name(F.col("file_path"), F.substring("content", 1, 8)).alias("handler")
+def loader(files: DataFrame | None, mount_root: str | None) -> Loader | None:
+    """How contents of named files are read: from a table, or from a mount where only the named
+    files are opened."""
+    if files is not None:
+        return lambda paths: files.join(paths.select("file_path").distinct(), "file_path", "left_semi")
+    return (lambda paths: mounted_files(paths, mount_root)) if mount_root else None
+
+
+def file_facts(suspects: DataFrame, load: Loader) -> DataFrame:
+    """(file_path, sha256, size_bytes, handler): the one full read of every suspect file."""
+    return cut_lineage(load(suspects).select(
+        "file_path", F.sha2("content", 256).alias("sha256"), F.length("content").cast("bigint").alias("size_bytes"),
+        fileaware.handler_name(F.col("file_path"), F.substring("content", 1, 8)).alias("handler"),
     ))
+
+
+def decide_ranges(ranges: DataFrame, routes: DataFrame, load: Loader, trusted: DataFrame) -> DataFrame:
+    """Range decisions of all handlers. ``routes`` names the handler of every readable file; other
+    files are kept. Only handlers that some file needs are planned, and each reads its own files."""
     present = {r["handler"] for r in routes.select("handler").distinct().collect()}
-    routed = lambda names: files.join(routes.filter(F.col("handler").isin(names)), "file_path")
+    mine = lambda names: routes.filter(F.col("handler").isin(names)).select("file_path", "handler")
     parts = [ranges.join(routes, "file_path", "left_anti").select(
         "file_path", "start", "end", F.lit("generic").alias("handler"), F.lit(True).alias("keep_region"),
         F.lit("unreadable; escalate").alias("reason"), F.lit("unreadable; escalate").alias("file_reason"),
     )]
     if present & set(fileaware.MEDIA):
-        parts.append(fileaware.media_decisions(ranges, routed(fileaware.MEDIA), trusted))
+        media = mine(fileaware.MEDIA)
+        parts.append(fileaware.media_decisions(ranges, load(media).join(media, "file_path"), trusted))
     if "text" in present:
-        parts.append(fileaware.text_decisions(ranges, routed(["text"]), trusted))
+        text = mine(["text"])
+        parts.append(fileaware.text_decisions(ranges, load(text).withColumn("handler", F.lit("text")), trusted))
     if "generic" in present:
         parts.append(fileaware.generic_decisions(ranges, routes))
     for name, decide in CONTAINERS.items():
         if name in present:
-            mine = routed([name]).select("file_path", "content")
-            parts.append(decide(ranges.join(mine.select("file_path"), "file_path", "left_semi"), mine, trusted))
+            paths = mine([name])
+            parts.append(decide(ranges.join(paths.select("file_path"), "file_path", "left_semi"), load(paths), trusted))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -100,28 +115,29 @@ def detect(
     changed, scanned = find_regions(mutations, bits, cfg)
     regions, mappings = scanned, cut_lineage(map_regions(scanned, extents, cfg))
     scanned_mappings = mappings
-    if files is None and mount_root:
-        files = mounted_files(mappings, mount_root)
+    load = loader(files, mount_root)
     hashes = spark.createDataFrame([], "sha256 string")
     components, listed = trust.split_manifest(manifest) if manifest is not None else (hashes, hashes)
     seen = new_inventory = None
-    if files is not None:
+    if load is None:
+        ranges = fileaware.file_ranges(mappings, cfg.block_size)
+        decisions = fileaware.without_mount(ranges, fileaware.handler_name(F.col("file_path"), F.lit(b"")))
+    else:
         if inventory is not None:
             listed = listed.unionByName(inventory.filter("trusted").select("sha256")).distinct()
-        suspects = mappings.select("file_path").distinct()
-        seen = cut_lineage(trust.flag_trusted(
-            trust.hash_files(files.join(suspects, "file_path", "left_semi")), listed
-        ))
+        facts = file_facts(mappings.select("file_path").distinct(), load)
+        seen = cut_lineage(trust.flag_trusted(facts, listed))
         previous = inventory if inventory is not None else spark.createDataFrame([], schemas.INVENTORY)
         new_inventory = trust.update_inventory(previous, seen, cfg.end_epoch)
-        mappings, regions = trust.drop_trusted(mappings, regions, seen.filter("trusted"))
-        mappings = cut_lineage(mappings)
-        files = files.join(mappings.select("file_path").distinct(), "file_path", "left_semi")
-    ranges = fileaware.file_ranges(mappings, cfg.block_size)
-    decisions = cut_lineage(decide_ranges(ranges, files, components))
-    kept = fileaware.apply_region_decisions(mappings, decisions, cfg.block_size, cfg.undecided_kept)
+        good = seen.filter("trusted").select("file_path")
+        if not good.isEmpty():
+            mappings, regions = trust.drop_trusted(mappings, regions, good)
+            mappings = cut_lineage(mappings)
+        routes = facts.select("file_path", "handler").join(good, "file_path", "left_anti")
+        decisions = decide_ranges(fileaware.file_ranges(mappings, cfg.block_size), routes, load, components)
+    decisions = cut_lineage(decisions)
+    kept = cut_lineage(fileaware.apply_region_decisions(mappings, decisions, cfg.block_size, cfg.undecided_kept))
     window = {"start_epoch": F.lit(cfg.start_epoch), "end_epoch": F.lit(cfg.end_epoch)}
-    kept = cut_lineage(kept)
     return Detection(
         changed=changed, scanned=scanned, scanned_mappings=scanned_mappings,
         regions=fileaware.update_regions(regions, kept).withColumns(window),
