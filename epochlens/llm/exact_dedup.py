@@ -122,6 +122,8 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     checked = groups.join(texts, ["fp", "sha"]).withColumn(
         "size", F.when(F.col("texts") == 1, F.col("size")).otherwise(
             F.raise_error(F.lit("different texts share both hashes")).cast("long")))
+    # Written out, so that the last join has exchanges of its own and a group with very many copies can be split.
+    checked = cut_lineage(checked)
     paired = suspects.join(checked, ["fp", "sha"]).select(
         "doc_id", F.when(F.col("keep") != LOWEST, F.col("keep")).alias("keep_id"),
         F.col("size").alias("group_size"), (F.col("uid") == F.col("keep_uid")).alias("kept"),

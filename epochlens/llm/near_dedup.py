@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     same = cut_lineage(grouped.where("key2 = node2").drop("key2", "node2"))
     once = same.groupBy("root", "ord").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
     classes = once.groupBy("root").agg(F.max("ord").alias("keep"), F.sum("n").alias("size"), F.max_by("uid", "ord").alias("keep_uid"))
-    joined = same.join(classes, "root").select(
+    joined = same.join(cut_lineage(classes), "root").select(
         "doc_id", F.when(F.col("keep") != LOWEST, F.col("keep")).alias("class_id"), F.col("size").alias("class_size"),
         (F.col("uid") == F.col("keep_uid")).alias("kept"), "key")
     alone = slim.where("size(bands) = 0").select("doc_id", "key").union(
