@@ -11,9 +11,10 @@ make one shingle). The weight of a shingle is how often it occurs.
   weighted Jaccard similarity, without bias.
 * **Bands.** ``bands * rows`` components; at the threshold 0.8 a pair misses all 40 bands of 6 with probability 5e-6.
 * **Verification.** Equal multisets are one node. In a bucket every node is compared with the bucket's smallest node
-  by true multiset overlap; then, for buckets whose nodes are still in different components, every node outside the
-  bucket's largest component is compared with every node of another component there. Pairs inside one component can
-  add nothing, so no link between components is lost, and a group of n copies costs n comparisons, not n squared.
+  by true multiset overlap. Nodes whose buckets still hold several components go through a second, exact pass: their
+  rarest shingles (see ``_prefixes``) are the buckets, each compares its nodes first with its smallest one,
+  and what is then still in different components is compared pair by pair. Pairs inside one component
+  can add nothing, so no link between components is lost, and n near copies cost about n comparisons, not n squared.
 
 Defined results: null or wordless texts have no shingles and stay alone; ties go to the largest doc_id, a null
 doc_id last, repeated rows keep the one read first. Other columns are not touched.
@@ -31,6 +32,8 @@ from epochlens.llm.common import GOLDEN, byte_slices, components, cut_lineage, m
 
 LOWEST = -(2**63)
 SLICE_BYTES = 4 << 20
+HASHED = 20
+PARITY = 8
 
 
 def shingle_bags(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +92,7 @@ def multiset_keys(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs
     """Two independent 64-bit sums that identify a multiset."""
     keys = []
     for salt in (1, 2):
-        one = mix(mix(shingle + np.uint64(salt) * GOLDEN) ^ weight.astype(np.uint64) * GOLDEN)
+        one = mix(mix(shingle + mix(np.array([salt], np.uint64))) ^ weight.astype(np.uint64) * GOLDEN)
         total = np.zeros(docs, np.uint64)
         np.add.at(total, doc, one)
         keys.append(mix(total))
@@ -181,16 +184,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links = cut_lineage(_verified(first, sets, threshold))
     roots = components(links)
     placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
-        "band", "key", "low", F.coalesce("root", "key").alias("root"))
+        "band", "key", F.coalesce("root", "key").alias("root"))
     split = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band")
-    rest = cut_lineage(placed.join(split, "band"))
-    most = rest.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"))
-    outside = rest.join(most, "band").where("root <> main").select("band", F.col("key").alias("a"), F.col("root").alias("ra"))
-    second = outside.join(rest.select("band", F.col("key").alias("b"), F.col("root").alias("rb"), "low"), "band").where(
-        "ra <> rb and a <> low and b <> low").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = cut_lineage(_verified(second, sets, threshold))
-    roots = components(links.union(more))
+    open_sets = sets.join(placed.join(split, "band").select("key").distinct(), "key", "left_semi")
+    prefixes = cut_lineage(_prefixes(open_sets, threshold))
+    for hub in (F.min_by, None):
+        now = prefixes.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+            *(c for c in prefixes.columns), F.coalesce("root", "key").alias("root"))
+        links = links.unionByName(cut_lineage(_verified(_across(cut_lineage(now), hub, threshold), sets, threshold)))
+        roots = cut_lineage(components(links))
 
     # Rows whose second hash differs from their node's are strangers with the same first hash: they stay alone.
     first_hash = nodes.select("key", F.col("key2").alias("node2")).join(roots.withColumnRenamed("node", "key"), "key", "left")
@@ -209,6 +211,78 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "key"))
 
 
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, total, shingle) of every node's rarest shingles, up to more than ``1 - threshold`` of its weight. Two
+    multisets at the threshold share one of them, whatever the order, if all nodes use the same order: that makes
+    the second pass exact. Rarest first keeps widely shared passages out. Rarity is a count over all nodes in
+    ``2**HASHED`` hashed cells, a size that does not grow with the input."""
+    def cells(frames):
+        for frame in frames:
+            flat = np.concatenate([np.frombuffer(s, np.uint64) for s in frame.shingles] or [np.empty(0, np.uint64)])
+            cell, n = np.unique(flat >> np.uint64(64 - HASHED), return_counts=True)
+            yield pd.DataFrame({"cell": cell.astype(np.int32), "n": n.astype(np.int64)})
+
+    counted = sets.select("shingles").mapInPandas(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    held = counted.toPandas()
+    dense = np.zeros(1 << HASHED, np.int64)
+    dense[held.cell.to_numpy()] = held.n.to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(dense)
+
+    def rarest(frames):
+        for frame in frames:
+            picked, before, parity = [], [], []
+            for packed, weights, total in zip(frame.shingles, frame.weights, frame.total):
+                shingle, weight = np.frombuffer(packed, np.uint64), np.frombuffer(weights, np.uint32).astype(np.int64)
+                order = np.lexsort((shingle, shared.value[shingle >> np.uint64(64 - HASHED)]))
+                passed = np.cumsum(weight[order])
+                stop = int(np.searchsorted(passed, (1 - threshold) * total * (1 - 1e-9), side="right")) + 1
+                picked.append(shingle[order[:stop]].view(np.int64))
+                before.append((passed - weight[order])[:stop])
+                odd = np.bincount((shingle & np.uint64(64 * PARITY - 1)).astype(np.int64), weight, 64 * PARITY) % 2
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            n = [len(x) for x in picked]
+            bits = np.repeat(np.array(parity, np.int64).reshape(len(n), PARITY), n, axis=0)
+            yield pd.DataFrame({"key": np.repeat(frame.key.to_numpy(), n), "total": np.repeat(frame.total.to_numpy(), n),
+                                "shingle": np.concatenate(picked or [np.empty(0, np.int64)]),
+                                "pos": np.concatenate(before or [np.empty(0, np.int64)]),
+                                **{f"p{i}": bits[:, i] for i in range(PARITY)}})
+
+    columns = ", ".join(f"p{i} long" for i in range(PARITY))
+    return sets.mapInPandas(rarest, f"key long, total long, shingle long, pos long, {columns}")
+
+
+def _across(entries: DataFrame, hub, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle bucket: with ``hub`` only those with the bucket's
+    first or last node, without it every node outside the bucket's largest component against all others.
+
+    Three exact bounds thin the pairs: the totals; the weight left after the shared shingle, as the first one that two
+    multisets share precedes all others; and the parity bits, of which two multisets at distance d differ in d at most.
+    """
+    mixed = entries.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    entries = entries.join(mixed.select("shingle"), "shingle")
+    bits = [f"p{i}" for i in range(PARITY)]
+    if hub is not None:
+        names = ("key", "root", "total", "pos", *bits)
+        pick = entries.groupBy("shingle").agg(*(hub(c, "key").alias(f"a_{c}") for c in names))
+    else:
+        main = entries.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(
+            F.max_by("root", F.struct("n", "root")).alias("main"))
+        pick = entries.join(main, "shingle").where("root <> main").select(
+            "shingle", *(F.col(c).alias(f"a_{c}") for c in ("key", "root", "total", "pos", *bits)))
+    pick, entries = cut_lineage(pick), cut_lineage(entries)
+    both = F.col("total") + F.col("a_total")
+    shared = threshold / (1 + threshold) * both - 1e-6
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in bits), F.lit(0))
+    near = (
+        (F.col("root") != F.col("a_root"))
+        & (F.least("a_total", "total") >= threshold * F.greatest("a_total", "total"))
+        & (F.least(F.col("total") - F.col("pos"), F.col("a_total") - F.col("a_pos")) >= shared)
+        & (apart <= both - 2 * shared)
+    )
+    return entries.join(pick, (entries["shingle"] == pick["shingle"]) & near).select(
+        F.greatest("a_key", "key").alias("a"), F.least("a_key", "key").alias("b")).distinct()
+
+
 def _total(column: str):
     """Sum of the weights packed in a binary column."""
     def totals(packed: pd.Series) -> pd.Series:
