@@ -20,6 +20,16 @@ def whole(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or the one that ``cut_lineage`` sets up for tests where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.getCheckpointDir() is None:
+        cut_lineage(spark.range(0))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise on unsigned 64-bit numbers (wraps on purpose)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -71,3 +81,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = tuple(now)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def subtract(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``decisions`` (doc_id, fp of the text, kept; it may leave rows out) does not
+    keep. The rows to drop are few and are subtracted by key. Where decisions keep some of several rows with equal
+    doc_id and text, one of them stays."""
+    row = decisions.groupBy(F.col("doc_id").alias("__d"), F.col("fp").alias("__f")).agg(
+        F.max("kept").alias("any"), F.min("kept").alias("every"))
+    row = cut_lineage(row.where("not every"))
+    marked = docs.withColumn("__fp", F.xxhash64(whole(docs["text"])))
+    same = marked["doc_id"].eqNullSafe(F.col("__d")) & (marked["__fp"] == F.col("__f"))
+    left = marked.join(row.select("__d", "__f"), same, "left_anti")
+    tied = marked.join(row.where("any").select("__d", "__f"), same, "left_semi")
+    return left.unionByName(tied.dropDuplicates(["doc_id", "__fp"])).drop("__fp")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochlens.llm.common import cut_lineage, whole
+from epochlens.llm.common import cut_lineage, subtract, whole
 
 LOWEST = -(2**63)
 
@@ -97,8 +97,8 @@ def _take(owners: int):
 
 def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                rows_per_owner: int = 1 << 22) -> DataFrame:
-    """One row per document: doc_id, keep_id (the largest doc_id with that text), group_size, kept, text_sha256, and
-    repeats (rows that share both text and doc_id; one of them is kept). ``rows_per_owner`` bounds an owner's memory."""
+    """One row per document: doc_id, keep_id (the largest doc_id with that text), group_size, kept, text_sha256, fp (a
+    64-bit hash of the text). ``rows_per_owner`` bounds an owner's memory."""
     spark = docs.sparkSession
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(F.col(text)).alias("text"))
     hashed = body.select("doc_id", "text", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("fp"))
@@ -115,8 +115,7 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     suspects = marked.where("suspect").withColumn("ord", order)
     once = suspects.groupBy("fp", "sha", "ord").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
     groups = once.groupBy("fp", "sha").agg(
-        F.max("ord").alias("keep"), F.sum("n").alias("size"), F.max_by("uid", "ord").alias("keep_uid"),
-        F.max_by("n", "ord").alias("ties"))
+        F.max("ord").alias("keep"), F.sum("n").alias("size"), F.max_by("uid", "ord").alias("keep_uid"))
     texts = hashed.join(suspects.select("fp").distinct(), "fp", "left_semi").groupBy("fp", "sha", "text").agg(
         F.count("*").alias("n")).groupBy("fp", "sha").agg(F.count("*").alias("texts"))
     checked = groups.join(texts, ["fp", "sha"]).withColumn(
@@ -127,23 +126,13 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     paired = suspects.join(checked, ["fp", "sha"]).select(
         "doc_id", F.when(F.col("keep") != LOWEST, F.col("keep")).alias("keep_id"),
         F.col("size").alias("group_size"), (F.col("uid") == F.col("keep_uid")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-        F.when(F.col("ord") == F.col("keep"), F.col("ties")).otherwise(F.lit(1).cast("long")).alias("repeats"))
+        F.col("sha").alias("text_sha256"), "fp")
     alone = marked.where("not suspect").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), F.lit(1).cast("long").alias("repeats"))
+        F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), "fp")
     return alone.unionByName(paired)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns. Rows to drop are few, so they are subtracted by key."""
-    found = duplicates(docs)
-    sha = F.sha2(whole(docs["text"]), 256)
-    drop = found.where("not kept and not (doc_id <=> keep_id)").select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s"))
-    drop = drop.distinct()
-    left = docs.join(drop, (docs["doc_id"].eqNullSafe(drop["_d"])) & (sha == drop["_s"]), "left_anti")
-    again = found.where("kept and repeats > 1").select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s"))
-    on = (docs["doc_id"].eqNullSafe(again["_d"])) & (sha == again["_s"])
-    tied = left.join(again, on, "left_semi").withColumn("__whole", whole(docs["text"]))
-    return left.join(again, on, "left_anti").unionByName(
-        tied.dropDuplicates(["doc_id", "__whole"]).drop("__whole"))
+    """The documents that stay, with their own columns."""
+    return subtract(docs, duplicates(docs).where("group_size > 1"))

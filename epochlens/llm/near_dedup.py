@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochlens.llm.common import GOLDEN, byte_slices, components, cut_lineage, mix, string_sizes, whole
+from epochlens.llm.common import GOLDEN, byte_slices, components, cut_lineage, mix, string_sizes, subtract, whole
 
 LOWEST = -(2**63)
 SLICE_BYTES = 4 << 20
@@ -115,9 +115,9 @@ def _sketch(words: int, bands: int, rows: int):
                 filled = np.isfinite(times[:, 0])
                 offsets = np.r_[0, np.cumsum(np.where(filled, bands, 0))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(start, n), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)),
+                    batch.column("doc_id").slice(start, n), batch.column("fp").slice(start, n), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(code[filled].ravel().view(np.int64))),
-                ], names=["doc_id", "key", "key2", "bands"])
+                ], names=["doc_id", "fp", "key", "key2", "bands"])
     return sketch
 
 
@@ -162,9 +162,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5,
                     threshold: float = 0.8, bands: int = 40, rows: int = 6) -> DataFrame:
-    """One row per document: doc_id, class_id (largest doc_id of its class), class_size, kept, key (its multiset)."""
+    """One row per document: doc_id, class_id (largest doc_id of its class), class_size, kept, fp (a 64-bit hash
+    of its text)."""
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(F.col(text)).alias("text"))
-    slim = cut_lineage(body.mapInArrow(_sketch(words, bands, rows), "doc_id long, key long, key2 long, bands array<long>")
+    named = body.withColumn("fp", F.xxhash64("text"))
+    slim = cut_lineage(named.mapInArrow(_sketch(words, bands, rows), "doc_id long, fp long, key long, key2 long, bands array<long>")
                        .withColumn("uid", F.monotonically_increasing_id()))
     shingled = slim.where("size(bands) > 0")
     nodes = shingled.groupBy("key").agg(F.min("key2").alias("key2"), F.max("doc_id").alias("doc_id"))
@@ -198,17 +200,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     first_hash = nodes.select("key", F.col("key2").alias("node2")).join(roots.withColumnRenamed("node", "key"), "key", "left")
     order = F.coalesce("doc_id", F.lit(LOWEST))
     grouped = shingled.join(first_hash, "key").select(
-        "doc_id", "uid", "key", order.alias("ord"), F.coalesce("root", "key").alias("root"), "key2", "node2")
+        "doc_id", "fp", "uid", "key", order.alias("ord"), F.coalesce("root", "key").alias("root"), "key2", "node2")
     same = cut_lineage(grouped.where("key2 = node2").drop("key2", "node2"))
     once = same.groupBy("root", "ord").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
     classes = once.groupBy("root").agg(F.max("ord").alias("keep"), F.sum("n").alias("size"), F.max_by("uid", "ord").alias("keep_uid"))
     joined = same.join(cut_lineage(classes), "root").select(
         "doc_id", F.when(F.col("keep") != LOWEST, F.col("keep")).alias("class_id"), F.col("size").alias("class_size"),
-        (F.col("uid") == F.col("keep_uid")).alias("kept"), "key")
-    alone = slim.where("size(bands) = 0").select("doc_id", "key").union(
-        grouped.where("key2 <> node2").select("doc_id", "key"))
+        (F.col("uid") == F.col("keep_uid")).alias("kept"), "fp")
+    alone = slim.where("size(bands) = 0").select("doc_id", "fp").union(
+        grouped.where("key2 <> node2").select("doc_id", "fp"))
     return joined.unionByName(alone.select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "key"))
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "fp"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents that stay, one of each class, with their own columns."""
+    return subtract(docs, near_duplicates(docs).where("class_size > 1"))
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:

@@ -5,10 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from epochlens.llm import exact_dedup, near_dedup
+from epochlens.llm import exact_dedup, near_dedup, packing, pii, token_counts, toxicity
 from epochlens.llm.common import table
 
+VOCABULARY = "byte_bpe_50k.json"
+PSEUDONYM_KEY = "a key that the operator's user keeps secret"
+
+
+def vocabulary() -> str:
+    """Where the installed vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def held_out(doc_id: str = "doc_id"):
+    """The rows that no classifier may learn from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out())
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), "clauses", "worst")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.findings(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents")).select(
@@ -20,7 +56,8 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op7_minhash_near_dedup, op8_exact_dedup)
+    query.__name__: query for query in (
+        op1_toxicity, op2_pii, op4_best_fit_packing, op6_token_counts, op7_minhash_near_dedup, op8_exact_dedup)
 }
 
 SQL: dict[str, str] = {
