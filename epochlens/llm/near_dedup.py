@@ -32,7 +32,7 @@ from epochlens.llm.common import GOLDEN, byte_slices, components, cut_lineage, m
 
 LOWEST = -(2**63)
 SLICE_BYTES = 4 << 20
-HASHED = 20
+HASHED = 16
 PARITY = 8
 
 
