@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlens.llm import exact_dedup, near_dedup, packing, pii, token_counts, toxicity
+from epochlens.llm import bpe, chat, exact_dedup, near_dedup, packing, pii, quality, token_counts, topk_search, toxicity
 from epochlens.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,10 +38,20 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.co_train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=~held_out())
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_score", "meta_score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -55,12 +65,30 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op1_toxicity, op2_pii, op4_best_fit_packing, op6_token_counts, op7_minhash_near_dedup, op8_exact_dedup)
+        op1_toxicity, op2_pii, op3_bpe, op4_best_fit_packing, op5_quality_cotraining, op6_token_counts,
+        op7_minhash_near_dedup, op8_exact_dedup, op9_chat_format, op10_topk_search)
 }
 
 SQL: dict[str, str] = {
+    "op10_topk_search": """
+        with ints as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as v from embeddings
+                      where embedding is not null and len(embedding) > 0
+                        and len(list_filter(embedding, x -> x is not null and isfinite(x))) = len(embedding)),
+             scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+                        from ints q, ints c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v))
+        select query_id, rank::int as rank, vec_id, score from (
+            select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+        where rank <= 10""",
     "op8_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
