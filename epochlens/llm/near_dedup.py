@@ -12,8 +12,8 @@ make one shingle). The weight of a shingle is how often it occurs.
 * **Bands.** ``bands * rows`` components; at the threshold 0.8 a pair misses all 40 bands of 6 with probability 5e-6.
 * **Verification.** Equal multisets are one node. In a bucket every node is compared with the bucket's smallest node
   by true multiset overlap. Nodes whose buckets still hold several components go through a second, exact pass: their
-  rarest shingles (see ``_prefixes``) are the buckets, each compares its nodes first with its smallest one,
-  and what is then still in different components is compared pair by pair. Pairs inside one component
+  rarest shingles (see ``_prefixes``) are the buckets, and nodes in different components that pass the bounds of
+  ``_possible`` are compared pair by pair. Pairs inside one component
   can add nothing, so no link between components is lost, and n near copies cost about n comparisons, not n squared.
 
 Defined results: null or wordless texts have no shingles and stay alone; ties go to the largest doc_id, a null
@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochlens.llm.common import GOLDEN, byte_slices, components, cut_lineage, mix, string_sizes, subtract, whole
@@ -34,6 +34,7 @@ LOWEST = -(2**63)
 SLICE_BYTES = 4 << 20
 HASHED = 16
 PARITY = 8
+BITS = [f"p{i}" for i in range(PARITY)]
 
 
 def shingle_bags(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,11 +131,16 @@ def _bags(words: int):
                 doc, shingle, weight = shingle_bags(column.slice(start, n).to_pylist(), words)
                 key, key2 = multiset_keys(doc, shingle, weight, n)
                 cut = np.searchsorted(doc, np.arange(n + 1))
+                cell = doc * (64 * PARITY) + (shingle & np.uint64(64 * PARITY - 1)).astype(np.int64)
+                odd = (np.bincount(cell, weight, n * 64 * PARITY) % 2).astype(np.uint8)
+                parity = np.packbits(odd).view(np.int64).reshape(n, PARITY)
+                total = np.bincount(doc, weight, n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)),
                     pa.array([shingle[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
                     pa.array([weight[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-                ], names=["key", "key2", "shingles", "weights"])
+                    pa.array(total), *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY)),
+                ], names=["key", "key2", "shingles", "weights", "total", *BITS])
     return bags
 
 
@@ -150,11 +156,22 @@ def _overlaps(frames):
         yield pd.DataFrame({"a": frame.a, "b": frame.b, "similarity": np.array(found, np.float64)})
 
 
+def _possible(threshold: float, pos: bool = False) -> Column:
+    """Exact bounds on a pair with columns total, p0.. and a_total, a_p0..: the totals; the parity bits, of which two
+    multisets at distance d differ in at most d; and the weight left after a shared shingle, as the first one that two
+    multisets share precedes all others."""
+    both = F.col("total") + F.col("a_total")
+    shared = threshold / (1 + threshold) * both - 1e-6
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in BITS), F.lit(0))
+    bound = (F.least("a_total", "total") >= threshold * F.greatest("a_total", "total")) & (apart <= both - 2 * shared)
+    return bound & (F.least(F.col("total") - F.col("pos"), F.col("a_total") - F.col("a_pos")) >= shared) if pos else bound
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links among the pairs (a, b). Totals rule out most pairs before any multiset is moved for them."""
-    light = sets.select("key", "total")
-    pairs = pairs.join(light.toDF("a", "ta"), "a").join(light.toDF("b", "tb"), "b").where(
-        F.least("ta", "tb") >= threshold * F.greatest("ta", "tb")).select("a", "b")
+    """Links among the pairs (a, b). The bounds rule out most pairs before any multiset is moved for them."""
+    light = sets.select("key", "total", *BITS)
+    pairs = pairs.join(light.toDF("a", "a_total", *(f"a_{c}" for c in BITS)), "a").join(
+        light.withColumnRenamed("key", "b"), "b").where(_possible(threshold)).select("a", "b")
     wide = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa")), "a")
     wide = wide.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb")), "b")
     return wide.mapInPandas(_overlaps, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
@@ -178,9 +195,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     members = cut_lineage(entries.join(buckets, "band").groupBy("band", "key").agg(F.min("low").alias("low")))
     involved = members.select("key").distinct().join(nodes, "key")
     source = body.join(involved.select(F.col("doc_id").alias("_d")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    sets = source.select("text").mapInArrow(_bags(words), "key long, key2 long, shingles binary, weights binary")
+    sets = source.select("text").mapInArrow(
+        _bags(words), "key long, key2 long, shingles binary, weights binary, total long, " + ", ".join(f"{b} long" for b in BITS))
     sets = sets.join(involved.select("key", "key2"), ["key", "key2"], "left_semi").dropDuplicates(["key"])
-    sets = cut_lineage(sets.withColumn("total", _total("weights")).select("key", "shingles", "weights", "total"))
+    sets = cut_lineage(sets.drop("key2"))
 
     first = members.where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
     links = cut_lineage(_verified(first, sets, threshold))
@@ -190,11 +208,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     split = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band")
     open_sets = sets.join(placed.join(split, "band").select("key").distinct(), "key", "left_semi")
     prefixes = cut_lineage(_prefixes(open_sets, threshold))
-    for hub in (F.min_by, None):
-        now = prefixes.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
-            *(c for c in prefixes.columns), F.coalesce("root", "key").alias("root"))
-        links = links.unionByName(cut_lineage(_verified(_across(cut_lineage(now), hub, threshold), sets, threshold)))
-        roots = cut_lineage(components(links))
+    now = prefixes.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+        *prefixes.columns, F.coalesce("root", "key").alias("root"))
+    more = cut_lineage(_verified(_across(now, threshold), sets, threshold))
+    roots = components(links.unionByName(more))
 
     # Rows whose second hash differs from their node's are strangers with the same first hash: they stay alone.
     first_hash = nodes.select("key", F.col("key2").alias("node2")).join(roots.withColumnRenamed("node", "key"), "key", "left")
@@ -237,7 +254,7 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
 
     def rarest(frames):
         for frame in frames:
-            picked, before, parity = [], [], []
+            picked, before = [], []
             for packed, weights, total in zip(frame.shingles, frame.weights, frame.total):
                 shingle, weight = np.frombuffer(packed, np.uint64), np.frombuffer(weights, np.uint32).astype(np.int64)
                 order = np.lexsort((shingle, shared.value[shingle >> np.uint64(64 - HASHED)]))
@@ -245,53 +262,25 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
                 stop = int(np.searchsorted(passed, (1 - threshold) * total * (1 - 1e-9), side="right")) + 1
                 picked.append(shingle[order[:stop]].view(np.int64))
                 before.append((passed - weight[order])[:stop])
-                odd = np.bincount((shingle & np.uint64(64 * PARITY - 1)).astype(np.int64), weight, 64 * PARITY) % 2
-                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             n = [len(x) for x in picked]
-            bits = np.repeat(np.array(parity, np.int64).reshape(len(n), PARITY), n, axis=0)
-            yield pd.DataFrame({"key": np.repeat(frame.key.to_numpy(), n), "total": np.repeat(frame.total.to_numpy(), n),
-                                "shingle": np.concatenate(picked or [np.empty(0, np.int64)]),
+            yield pd.DataFrame({"shingle": np.concatenate(picked or [np.empty(0, np.int64)]),
                                 "pos": np.concatenate(before or [np.empty(0, np.int64)]),
-                                **{f"p{i}": bits[:, i] for i in range(PARITY)}})
-
-    columns = ", ".join(f"p{i} long" for i in range(PARITY))
-    return sets.mapInPandas(rarest, f"key long, total long, shingle long, pos long, {columns}")
+                                **{c: np.repeat(frame[c].to_numpy(), n) for c in ("key", "total", *BITS)}})
 
+    columns = ", ".join(f"{c} long" for c in BITS)
+    return sets.mapInPandas(rarest, f"shingle long, pos long, key long, total long, {columns}")
 
-def _across(entries: DataFrame, hub, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle bucket: with ``hub`` only those with the bucket's
-    first or last node, without it every node outside the bucket's largest component against all others.
 
-    Three exact bounds thin the pairs: the totals; the weight left after the shared shingle, as the first one that two
-    multisets share precedes all others; and the parity bits, of which two multisets at distance d differ in d at most.
-    """
+def _across(entries: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle bucket: every node outside the bucket's largest
+    component against all others, thinned by the bounds."""
     mixed = entries.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    entries = entries.join(mixed.select("shingle"), "shingle")
-    bits = [f"p{i}" for i in range(PARITY)]
-    if hub is not None:
-        names = ("key", "root", "total", "pos", *bits)
-        pick = entries.groupBy("shingle").agg(*(hub(c, "key").alias(f"a_{c}") for c in names))
-    else:
-        main = entries.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(
-            F.max_by("root", F.struct("n", "root")).alias("main"))
-        pick = entries.join(main, "shingle").where("root <> main").select(
-            "shingle", *(F.col(c).alias(f"a_{c}") for c in ("key", "root", "total", "pos", *bits)))
-    pick, entries = cut_lineage(pick), cut_lineage(entries)
-    both = F.col("total") + F.col("a_total")
-    shared = threshold / (1 + threshold) * both - 1e-6
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in bits), F.lit(0))
-    near = (
-        (F.col("root") != F.col("a_root"))
-        & (F.least("a_total", "total") >= threshold * F.greatest("a_total", "total"))
-        & (F.least(F.col("total") - F.col("pos"), F.col("a_total") - F.col("a_pos")) >= shared)
-        & (apart <= both - 2 * shared)
-    )
+    entries = cut_lineage(entries.join(mixed.select("shingle"), "shingle"))
+    main = entries.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"))
+    names = ("key", "root", "total", "pos", *BITS)
+    outside = entries.join(main, "shingle").where("root <> main")
+    pick = cut_lineage(outside.select("shingle", *(F.col(c).alias(f"a_{c}") for c in names)))
+    near = (F.col("root") != F.col("a_root")) & _possible(threshold, pos=True)
     return entries.join(pick, (entries["shingle"] == pick["shingle"]) & near).select(
         F.greatest("a_key", "key").alias("a"), F.least("a_key", "key").alias("b")).distinct()
-
-
-def _total(column: str):
-    """Sum of the weights packed in a binary column."""
-    def totals(packed: pd.Series) -> pd.Series:
-        return pd.Series([int(np.frombuffer(p, np.uint32).sum()) for p in packed], dtype="int64")
-    return F.pandas_udf(totals, "long")(F.col(column))
