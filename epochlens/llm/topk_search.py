@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from epochlens.llm.common import cut_lineage
 
-LEAF = 32
+LEAF = 256
 EXACT = float(2**53)
 
 
@@ -99,10 +99,7 @@ class Best:
         self.kth = np.full(count, -np.inf)
 
     def offer(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        keep = scores >= self.kth[query]
-        if not keep.any():
-            return
-        scores, ids = np.r_[self.rows[query][0], scores[keep]], np.r_[self.rows[query][1], ids[keep]]
+        scores, ids = np.r_[self.rows[query][0], scores], np.r_[self.rows[query][1], ids]
         order = np.lexsort((ids, -scores))[: self.k]
         self.rows[query] = scores[order], ids[order]
         if len(order) == self.k:
@@ -133,11 +130,11 @@ def dual_search(queries: CoverTree, query_rows: np.ndarray, data: CoverTree, ids
         else:
             a, b = data.span[d]
             scores = inner(queries.sorted[low:high], data.sorted[a:b])
-            own = query_rows[group][:, None] == rows[data.order[a:b]][None, :]
+            hopeful = scores >= best.kth[group][:, None]
+            hopeful &= query_rows[group][:, None] != rows[data.order[a:b]][None, :]
             found = ids[data.order[a:b]]
-            for i, query in enumerate(group.tolist()):
-                others = ~own[i]
-                best.offer(query, scores[i][others], found[others])
+            for i in np.flatnonzero(hopeful.any(axis=1)).tolist():
+                best.offer(int(group[i]), scores[i][hopeful[i]], found[hopeful[i]])
             continue
         open_ += sorted(pairs)
 
