@@ -784,7 +784,15 @@ def _(spark, d):
     )
 
 
-@query("crc32_text")
+@query("crc32_text", """
+    WITH codes AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS code),
+    octets AS (
+        SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b
+        FROM documents)
+    SELECT doc_id, xor(list_reduce(b, lambda c, x: xor(c >> 8, code[xor(c & 255, x) + 1]), 4294967295), 4294967295) AS crc32
+    FROM octets, codes""")
 def _(spark, d):
     return table(spark, d, "documents").select(
         "doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc32")

@@ -32,7 +32,6 @@ MEDIA = ["jpeg", "png", "mp3", "mp4"]
 PNG_SIGNATURE = "89504E470D0A1A0A"
 
 SAMPLE_BYTES = 64 * 1024
-HASH_BUDGET = 100 * 1024 * 1024
 
 
 def _starts(magic: Column, hex_prefix: str) -> Column:
@@ -102,7 +101,7 @@ def media_decisions(ranges: DataFrame, files: DataFrame, trusted: DataFrame) ->
     (file_path, handler, content); only its hash and first bytes reach the join."""
     facts = files.filter(F.col("handler").isin(MEDIA)).select(
         "file_path", "handler",
-        F.sha2(F.substring("content", 1, HASH_BUDGET), 256).alias("sha256"),
+        F.sha2("content", 256).alias("sha256"),
         F.substring("content", 1, 8).alias("magic"),
     )
     known = trusted.select("sha256").distinct().withColumn("_known", F.lit(True))

@@ -88,4 +88,4 @@ def map_blocks(
         offset.cast("bigint").alias("offset_bytes"),
         F.col("start_block").cast("bigint").alias("extent_start_block"),
         F.col("end_block").cast("bigint").alias("extent_end_block"),
-    ).dropDuplicates(["block_id", "file_id", "offset_bytes"])
+    ).dropDuplicates(["block_id", "file_id", "offset_bytes", "file_path"])

@@ -33,7 +33,7 @@ def archive_media(files: DataFrame) -> DataFrame:
     kind = extension(F.col("file_path"))
     low = F.lower("entry")
     in_media = low.rlike(r"^(word|ppt|xl)/") & low.contains("/media/")
-    thumb = low.rlike(r"^docprops/thumbnail\..*\.?(jpg|jpeg|png|jfif)$")
+    thumb = low.rlike(r"^docprops/thumbnail\.(?:.*\.)?(jpg|jpeg|png|jfif)$")
     found = _entries(files.filter(kind.isin(OOXML + ARCHIVES))).filter(extension(F.col("entry")).isin(MEDIA))
     return found.filter(~kind.isin(OOXML) | in_media | thumb).select(
         F.sha2("payload", 256).alias("sha256"),

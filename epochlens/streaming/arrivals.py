@@ -3,11 +3,13 @@ as they show up. The stream's own checkpoint takes the place of the skip-if-pres
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from epochlens import schemas
+from epochlens.session import cut_lineage
 from epochlens.sinks.device import write_mutation_table
 from epochlens.sources.mutations import EPOCH_IN_NAME, bytes_of
 
@@ -21,11 +23,26 @@ def arriving_mutations(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def merge_epochs(arrived: DataFrame, table: str) -> None:
+    """Add a batch to the epochs it belongs to. Parts of one epoch may arrive in several runs, and a replayed batch
+    adds nothing new. The merged rows are written out first, as Spark does not overwrite what it still reads."""
+    spark = arrived.sparkSession
+    try:
+        held = spark.read.parquet(table)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        write_mutation_table(arrived.distinct(), table)
+        return
+    epochs = arrived.select("epoch").distinct()
+    before = held.join(epochs, "epoch", "left_semi").select(*arrived.columns)
+    write_mutation_table(cut_lineage(before.unionByName(arrived).distinct()), table)
+
+
 def ingest(spark: SparkSession, root: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Process everything that has arrived and stop. A batch holds whole files, so replaying it
-    replaces the same epochs."""
+    """Process everything that has arrived and stop."""
     return (
         arriving_mutations(spark, root).writeStream
-        .foreachBatch(lambda df, _: write_mutation_table(df, table))
+        .foreachBatch(lambda df, _: merge_epochs(df, table))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

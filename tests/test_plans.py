@@ -17,7 +17,7 @@ from epochlens.sources import audit
 from epochlens.sources.bitmaps import read_bitmaps
 from epochlens.sources.epochstore import as_bytes, epoch_number, read_store
 from epochlens.sources.mutations import latest_epoch, read_mutation_files
-from epochlens.streaming.arrivals import ingest
+from epochlens.streaming.arrivals import ingest, merge_epochs
 
 
 def write_epoch(root, epoch, blocks, n_blocks):
@@ -156,6 +156,15 @@ def test_preprocess_and_restore(spark, tmp_path):
     assert plan.materialize(spark, "dirstore:connect", str(root), 3, 16, store_root=str(store)) == [2]
 
 
+def test_epoch_in_two_runs_is_merged(spark, tmp_path):
+    table = str(tmp_path / "merged")
+    for low in (0, 10):
+        rows = [(i, bytearray([i]), 5) for i in range(low, low + 10)]
+        merge_epochs(spark.createDataFrame(rows, "id long, block binary, epoch int"), table)
+    merge_epochs(spark.createDataFrame(rows, "id long, block binary, epoch int"), table)
+    assert sorted(r.id for r in spark.read.parquet(table).collect()) == list(range(20))
+
+
 def test_stream_ingest(spark, snapshot, tmp_path):
     table, ck = str(tmp_path / "table"), str(tmp_path / "ck")
     q = ingest(spark, str(snapshot / "snap"), table, ck)
