@@ -274,13 +274,14 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
 def _across(entries: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different components that share a shingle bucket: every node outside the bucket's largest
     component against all others, thinned by the bounds."""
+    # One exchange by shingle serves all the groupings and joins below.
+    entries = entries.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shingle")
     mixed = entries.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    entries = cut_lineage(entries.join(mixed.select("shingle"), "shingle"))
     main = entries.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"))
-    names = ("key", "root", "total", "pos", *BITS)
-    outside = entries.join(main, "shingle").where("root <> main")
-    pick = cut_lineage(outside.select("shingle", *(F.col(c).alias(f"a_{c}") for c in names)))
+    names = ("shingle", "key", "root", "total", "pos", *BITS)
+    outside = entries.join(main.join(mixed.select("shingle"), "shingle"), "shingle").where("root <> main")
+    pick = outside.select(*(F.col(c).alias(f"a_{c}") for c in names))
     near = (F.col("root") != F.col("a_root")) & _possible(threshold, pos=True)
-    return entries.join(pick, (entries["shingle"] == pick["shingle"]) & near).select(
+    return entries.join(pick, (F.col("shingle") == F.col("a_shingle")) & near).select(
         F.greatest("a_key", "key").alias("a"), F.least("a_key", "key").alias("b")).distinct()
