@@ -154,7 +154,10 @@ class Vocabulary:
         return [flat[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
-vocabulary = functools.lru_cache(maxsize=2)(Vocabulary)
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """One per worker, with its word table."""
+    return Vocabulary(path)
 
 
 def _digests(path: str, with_ids: bool):

@@ -55,7 +55,7 @@ def observe(frame: pd.DataFrame, model: dict) -> tuple[np.ndarray, np.ndarray, l
         lines = read_lines(text)
         parsed.append(lines)
         size = np.log1p(len(text))
-        by_length = -0.5 * ((size - mean) / spread) ** 2 - np.log(spread)
+        by_length = np.maximum(-0.5 * ((size - mean) / spread) ** 2 - np.log(spread), -4.0)
         for j, (marker, line) in enumerate(lines):
             score = np.zeros(3)
             if j == 0:

@@ -27,7 +27,8 @@ PATTERNS = {
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)",
-    "phone": r"(?<!\w)\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)",
+    "phone": r"(?<!\w)(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+             r"|(?<!\w)\+(?!1[ .(-])\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\w|[.-]\d)",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "secret": r"(?i:(?<=(?:token|secret|passwd|password|apikey|api_key|api-key) ?[=:] ?[\"']?)[A-Za-z0-9_+/-]{20,}+)",
 }

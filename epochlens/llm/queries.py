@@ -81,9 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op10_topk_search": """
-        with ints as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as v from embeddings
+        with ints as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
                       where embedding is not null and len(embedding) > 0
-                        and len(list_filter(embedding, x -> x is not null and isfinite(x))) = len(embedding)),
+                        and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
              scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
                         from ints q, ints c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v))
         select query_id, rank::int as rank, vec_id, score from (
