@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from epochlens.llm.common import byte_slices, cut_lineage, string_sizes, whole
 from epochlens.llm.token_counts import encoder
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int, width: int) -> list[tuple[int, ...]]:

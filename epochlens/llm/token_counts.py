@@ -1,8 +1,11 @@
 """Token counts: batches of an Arrow column are encoded and only the lengths are returned.
 
-Batches are balanced by bytes. A long text is split at safe boundaries: before a white-space character that follows
-another kind of character. The byte-level pre-tokenizer always starts a token there, so the pieces' tokens are the
-text's tokens. A text without such a boundary is encoded in one piece.
+Batches are balanced by bytes. Texts are split at safe boundaries: before a white-space character that follows another
+kind of character. The byte-level pre-tokenizer always starts a token there, so the pieces' tokens are the text's
+tokens. Long texts are first cut into parts at such boundaries, then parts into pieces of about a word (also before
+punctuation that follows letters); every distinct piece of a batch is encoded once, and a bounded table keeps the ids
+of short pieces for later batches. Where the vocabulary file does not say that this is safe (another pre-tokenizer, a
+normaliser, a sentencepiece model), whole texts are encoded.
 
 Defined results: a null text is the empty text (0 bytes, 0 tokens); rows that repeat are counted each; other columns
 are not touched; an empty table gives no rows.
@@ -11,8 +14,10 @@ are not touched; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +28,54 @@ from epochlens.llm.common import byte_slices, string_sizes, whole
 
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 15
-BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
+# White space as the pre-tokenizer has it: without the four separators that only Python counts.
+SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+BOUNDARY = re.compile(f"(?<={OTHER})(?={SPACE})")
+# A run of letters ends a pre-token where ASCII punctuation follows.
+LETTER, MARK = "[A-Za-zÀ-ÖØ-öø-ɏ]", r"[!-/:-@\[-`{-~]"
+PIECES = re.compile(f"{SPACE}*+(?:{LETTER}++(?={MARK})|{OTHER}++)|{SPACE}+")
+
+
+def splits_safely(path: str) -> bool:
+    """Whether the tokens of the pieces are the tokens of the text: plain byte-level pre-tokens, and no added token
+    that holds or takes in white space, asks for word borders or begins with anything but ASCII punctuation."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    first = content.get("pre_tokenizer") or {}
+    plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+    return bool(plain) and not content.get("normalizer") and not any(
+        t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) or not re.match(MARK, t["content"])
+        for t in content.get("added_tokens") or [])
+
+
+class PieceTable:
+    """Ids of texts by their pieces, as little-endian 32-bit numbers in bytes."""
+    ENTRIES, LONGEST = 500_000, 48
+
+    def __init__(self, encode_batch):
+        self.encode_batch = encode_batch
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [(i, part) for i, text in enumerate(texts) for part in safe_pieces(text)]
+        found: list[list[bytes]] = [[] for _ in texts]
+        for start, stop in byte_slices(np.array([len(part) for _, part in parts]), BATCH_BYTES):
+            cut = [PIECES.findall(part) for _, part in parts[start:stop]]
+            if len(self.known) > self.ENTRIES:
+                self.known.clear()
+            fresh = list(set().union(*cut).difference(self.known))
+            self.known.update(zip(fresh, (struct.pack(f"<{len(ids)}I", *ids) for ids in self.encode_batch(fresh))))
+            for (i, _), pieces in zip(parts[start:stop], cut):
+                found[i].append(b"".join(map(self.known.__getitem__, pieces)))
+            for piece in fresh:
+                if len(piece) > self.LONGEST:
+                    del self.known[piece]
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
 
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str):
-    """texts -> id arrays, for one worker. Threads stay off: Spark already uses every core."""
+    """texts -> id sequences, for one worker. Threads stay off: Spark already uses every core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".model"):
         import sentencepiece
@@ -40,7 +87,11 @@ def encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_batch(texts):
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return PieceTable(encode_batch).encode if splits_safely(path) else encode_batch
 
 
 def safe_pieces(text: str, limit: int = PIECE_CHARS) -> list[str]:
@@ -56,21 +107,14 @@ def safe_pieces(text: str, limit: int = PIECE_CHARS) -> list[str]:
 
 
 def _lengths(path: str):
-    splits = not path.endswith(".model")  # a sentencepiece model normalises across white space: no safe boundary
-
     def lengths(batches):
         encode = encoder(path)
         for batch in batches:
             sizes = string_sizes(batch.column("text"))
-            counts = []
-            for start, stop in byte_slices(sizes, BATCH_BYTES):
-                cut = [safe_pieces(t) if splits else [t] for t in batch.column("text").slice(start, stop - start).to_pylist()]
-                ends = np.cumsum([len(c) for c in cut])
-                found = [len(ids) for ids in encode([p for c in cut for p in c])]
-                counts.append(np.diff(np.r_[0, np.r_[0, np.cumsum(found)][ends]]))
+            counts = [len(ids) for start, stop in byte_slices(sizes, BATCH_BYTES)
+                      for ids in encode(batch.column("text").slice(start, stop - start).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(np.concatenate(counts or [np.empty(0, np.int64)]).astype(np.int64))],
-                names=["doc_id", "n_bytes", "n_tokens"])
+                [batch.column("doc_id"), pa.array(sizes), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
     return lengths
 
 

@@ -121,6 +121,20 @@ def test_tokens(docs, empty):
     assert bpe.encoded(empty, path).count() == token_counts.token_counts(empty, path).count() == 0
 
 
+def test_pieces_have_the_tokens_of_the_text():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary()
+    library, encode = Tokenizer.from_file(path), token_counts.encoder(path)
+    assert token_counts.splits_safely(path)
+    draw = random.Random(6)
+    parts = [" ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\u00a0", "\u3000", "\u200b", "\ufeff", "!", ",", "(", "_", "-",
+             "×", "²", "a", "Bc", "1", "é", "🙂", "\u0378", "'s", "<|", "<|endoftext|>", "q" * 60]
+    made = ["".join(draw.choices(parts, k=draw.randint(0, 12))) for _ in range(3000)]
+    made.append("".join(draw.choices(parts, k=40000)))
+    assert [ids.tolist() for ids in encode(made)] == [library.encode(t, add_special_tokens=False).ids for t in made]
+
+
 def test_packing(docs, empty):
     path = queries.vocabulary()
     pieces = packing.pack(docs, path).toPandas()
