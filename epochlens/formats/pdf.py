@@ -51,6 +51,13 @@ _ARROW = pa.schema([
 ])
 
 
+def _object_number(digits: bytes) -> int:
+    """A number of at most 18 digits; a longer one makes the file unreadable."""
+    if len(digits.lstrip(b"0")) > 18:
+        raise ValueError("object number out of range")
+    return int(digits)
+
+
 def _trim_eol(buf: bytes, start: int, stop: int) -> int:
     """Without one line end before ``stop``."""
     if buf[stop - 2: stop] == b"\r\n" and stop - 2 >= start:
@@ -91,7 +98,7 @@ def object_rows(buf: bytes):
     heads = list(OBJECT.finditer(buf))
     for i, m in enumerate(heads):
         limit = heads[i + 1].start() if i + 1 < len(heads) else len(buf)
-        row = {"kind": "object", "idx": i, "obj": int(m[1]), "gen": int(m[2])}
+        row = {"kind": "object", "idx": i, "obj": _object_number(m[1]), "gen": _object_number(m[2])}
         stop = buf.find(b"endobj", m.end(), min(limit, m.end() + LENGTH_WINDOW))
         if stop >= 0:
             first = NUMBER.search(COMMENT.sub(b"", buf[m.end(): stop]))
@@ -113,19 +120,25 @@ def object_rows(buf: bytes):
         yield row
 
 
+def file_rows(buf: bytes, max_streams: int) -> list[dict]:
+    streams, why = stream_rows(buf, max_streams)
+    fonts = [{"kind": "font", "obj": n} for n in {_object_number(m[1]) for m in FONT_REF.finditer(buf)}]
+    return [{"kind": "map", "number": len(streams), "note": why}, *streams, *object_rows(buf), *fonts]
+
+
 def pieces(files: DataFrame, cfg: PdfConfig = PdfConfig()) -> DataFrame:
-    """One ``map`` row per file, then its ``stream``, ``object`` and ``font`` rows."""
+    """One ``map`` row per file, then its ``stream``, ``object`` and ``font`` rows. A file whose reading fails has the
+    ``map`` row only, with the exception as its note."""
 
     def cut(batches):
         for batch in batches:
             rows = []
             for path, value in zip(batch.column(0), batch.column(1)):
-                buf = value.as_py() or b""
-                streams, why = stream_rows(buf, cfg.max_streams)
-                fonts = [{"kind": "font", "obj": n} for n in {int(m[1]) for m in FONT_REF.finditer(buf)}]
-                head = {"kind": "map", "number": len(streams), "note": why}
-                for row in [head, *streams, *object_rows(buf), *fonts]:
-                    rows.append({"file_path": path.as_py(), **row})
+                try:
+                    own = file_rows(value.as_py() or b"", cfg.max_streams)
+                except Exception as error:  # one bad file must not end the job: it is kept, with the reason
+                    own = [{"kind": "map", "number": 0, "note": f"exception: {type(error).__name__}: {error}"}]
+                rows += [{"file_path": path.as_py(), **row} for row in own]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return files.select("file_path", "content").mapInArrow(cut, PIECE_SCHEMA)

@@ -256,3 +256,11 @@ def test_manifest(spark):
     got = {(r["source"], r["container"], r["entry"].split("-")[0].split("@")[0], r["media_ext"]) for r in rows}
     assert got == {("ooxml", "/a.docx", "word/media/p.png", "png"), ("ooxml-embedded", "/a.docx", "word/embeddings/o.bin!deep.png", "png"),
                    ("zip", "/b.zip", "x/y.jpg", "jpg"), ("file", "/c.mp3", "", "mp3"), ("pdf", "/e.pdf", "stream", "")}
+
+
+def test_hostile_pdf_does_not_end_the_job(spark):
+    good = b"%PDF-1.4\n1 0 obj\n<< /Length 3 >>\nstream\nabc\nendstream\nendobj\n%%EOF"
+    bad = good.replace(b"1 0 obj", b"9" * 20 + b" 0 obj")
+    files = spark.createDataFrame([("good.pdf", good), ("bad.pdf", bad)], "file_path string, content binary")
+    notes = {r.file_path: r.note for r in pdf.pieces(files).where("kind = 'map'").collect()}
+    assert notes["good.pdf"] == "" and notes["bad.pdf"].startswith("exception: ValueError")
