@@ -6,6 +6,7 @@ frontier with the relationship table. The checks are joins and aggregates over r
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 from functools import reduce
 
@@ -42,7 +43,6 @@ class OoxmlConfig:
     max_per_rels: int = 50_000
     max_relationships: int = 1_000_000
     max_bin_bytes: int = 256 * 1024 * 1024
-    max_depth: int = 16
     orphans_allowed: bool = False
 
 
@@ -99,7 +99,7 @@ def _parts(rows: DataFrame, cfg: OoxmlConfig) -> DataFrame:
     """(file_path, part, size, rels, types, well_formed): one row per member; only XML-like
     members are decoded, and only their facts leave the worker."""
     body = rows.filter(F.col("idx") >= 0).withColumn("part", F.col("name").cast("string"))
-    decoded = payloads(body, cfg.max_xml_bytes + 1)
+    decoded = payloads(body)
     is_rels, is_ct = F.col("part").endswith(".rels"), F.col("part") == CONTENT_TYPES_PART
     small = F.col("usz") <= cfg.max_xml_bytes
     doc = F.when(small, F.col("payload"))
@@ -121,13 +121,13 @@ def _problems(df: DataFrame, *checks: tuple[int, Column, Column | str]) -> DataF
     return df.select("file_path", F.explode(F.filter(told, lambda p: p.isNotNull())).alias("p")).select("file_path", "p.*")
 
 
-def reachable(edges: DataFrame, files: DataFrame, max_depth: int = 16) -> DataFrame:
+def reachable(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(file_path, part, depth): the empty root part and everything reached from it. Each round
-    joins the frontier with the edges and keeps parts not seen before."""
+    joins the frontier with the edges and keeps parts not seen before, until there are none."""
     seen = cut_lineage(files.select("file_path", F.lit("").alias("part"), F.lit(0).alias("depth")))
     frontier = seen
     links = cut_lineage(edges.select("file_path", F.col("source").alias("part"), "target").distinct())
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = (
             frontier.select("file_path", "part").join(links, ["file_path", "part"])
             .select("file_path", F.col("target").alias("part")).distinct()
@@ -222,7 +222,7 @@ def package_problems(parts: DataFrame, cfg: OoxmlConfig = OoxmlConfig()) -> Data
 
     links = edges.filter("NOT external AND why IS NULL").select("file_path", "source", col("resolved").alias("target"))
     reach = cut_lineage(reachable(
-        links.join(names.withColumnRenamed("part", "target"), ["file_path", "target"], "left_semi"), per_file, cfg.max_depth
+        links.join(names.withColumnRenamed("part", "target"), ["file_path", "target"], "left_semi"), per_file
     ))
     live = edges.join(
         reach.select("file_path", col("part").alias("source")), ["file_path", "source"], "left_semi"

@@ -23,8 +23,6 @@ MEDIA_PREFIX = r"^((word|ppt|xl)/media/|docprops/thumbnail\.)"
 @dataclass(frozen=True)
 class PackageRules:
     early: int = 64 * 1024
-    component_cap: int = 32 * 1024 * 1024
-    slice_cap: int = 1024 * 1024
     chi2_uniform: float = 350.0
     ascii_min: float = 0.25
     token_min: float = 0.02
@@ -124,17 +122,17 @@ def member_verdicts(rows: DataFrame, trusted: DataFrame, rules: PackageRules) ->
     n = F.length("payload")
     broken = ((F.col("method") == DEFLATE) & (n == 0) & (F.col("usz") > 0)) | (
         (n == F.col("usz")) & (F.crc32("payload") != F.col("crc"))
-    ) | ((n < F.col("usz")) & (F.col("usz") < rules.component_cap))
+    ) | (n < F.col("usz"))
     kind = (
         F.when(crypt, "encrypted").when(broken, "broken").when(F.lower("entry").rlike(MEDIA_PREFIX), "media")
         .when(n == 0, "empty").when(F.lower("entry").endswith(".xml"), "xml").otherwise("other")
     )
-    dec = payloads(body, rules.component_cap).select(
+    dec = payloads(body).select(
         "file_path", "idx", "entry", F.col("data_start").alias("span_start"),
         (F.col("data_start") + F.col("csz") - 1).alias("span_end"), kind.alias("kind"), "payload",
     )
     starts = F.when(F.col("kind") == "xml", F.sequence(F.lit(0), n - 1, F.lit(rules.xml_window))).otherwise(F.array(F.lit(0)))
-    size = F.when(F.col("kind") == "xml", rules.xml_window).otherwise(rules.slice_cap)
+    size = F.when(F.col("kind") == "xml", rules.xml_window).otherwise(n)
     keys = ["file_path", "idx", "entry", "span_start", "span_end", "kind"]
     cuts = dec.select(
         *keys, "payload", F.explode(starts).alias("at"), size.alias("size"),
@@ -191,7 +189,7 @@ def metadata_verdicts(rows: DataFrame, early: DataFrame, files: DataFrame, rules
     spans = lfh.unionByName(pre).unionByName(dd).filter("b - a + 1 >= least")
     cut = spans.join(files.select("file_path", "content"), "file_path").select(
         "file_path", "a", "b", "reason", "least",
-        F.col("content").substr((F.col("a") + 1).cast("int"), F.least(F.col("b") - F.col("a") + 1, F.lit(rules.slice_cap)).cast("int")).alias("raw"),
+        F.col("content").substr((F.col("a") + 1).cast("int"), (F.col("b") - F.col("a") + 1).cast("int")).alias("raw"),
     )
     return cut.select(
         "file_path", "a", "b", "reason", byte_stats(F.col("raw")).alias("s"), packed_size(F.col("raw"), 1).alias("p")
@@ -240,7 +238,7 @@ def ooxml_decisions(
                         ("span_start", "span_end")).groupBy(*key).agg(F.min("reason").alias("meta"))
     gap = rest.join(files.select("file_path", "content"), "file_path").select(
         *key, F.col("content").substr((F.col("start") + 1).cast("int"),
-                                      F.least(F.col("end") - F.col("start") + 1, F.lit(rules.slice_cap)).cast("int")).alias("raw"),
+                                      (F.col("end") - F.col("start") + 1).cast("int")).alias("raw"),
     ).select(*key, byte_stats(F.col("raw")).alias("s"), packed_size(F.col("raw"), 1).alias("p")).select(
         *key, (F.col("s.n") >= rules.min_slice).alias("enough"), uniform(F.col("s"), F.col("p")).alias("uniform")
     )

@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochlens.formats.zip import roll_components
@@ -34,9 +34,6 @@ LENGTH_WINDOW = 256 * 1024
 
 @dataclass(frozen=True)
 class PdfConfig:
-    total_cap: int = 32 * 1024 * 1024
-    stream_cap: int = 8 * 1024 * 1024
-    max_streams: int = 200_000
     whitelist: bool = False
 
 
@@ -65,15 +62,13 @@ def _trim_eol(buf: bytes, start: int, stop: int) -> int:
     return stop - 1 if stop - 1 >= start and buf[stop - 1: stop] in (b"\n", b"\r") else stop
 
 
-def stream_rows(buf: bytes, max_streams: int):
+def stream_rows(buf: bytes):
     """Streams by keyword search: span of the data and the dictionary text before it."""
     found, at = [], 0
     while True:
         key = buf.find(b"stream", at)
         if key < 0 or key + 6 >= len(buf):
             return found, ""
-        if len(found) >= max_streams:
-            return found, "too_many_streams"
         eol = 2 if buf[key + 6: key + 8] == b"\r\n" else 1 if buf[key + 6: key + 7] == b"\n" else 0
         at = key + 6 + eol
         if not eol:
@@ -120,8 +115,8 @@ def object_rows(buf: bytes):
         yield row
 
 
-def file_rows(buf: bytes, max_streams: int) -> list[dict]:
-    streams, why = stream_rows(buf, max_streams)
+def file_rows(buf: bytes) -> list[dict]:
+    streams, why = stream_rows(buf)
     fonts = [{"kind": "font", "obj": n} for n in {_object_number(m[1]) for m in FONT_REF.finditer(buf)}]
     return [{"kind": "map", "number": len(streams), "note": why}, *streams, *object_rows(buf), *fonts]
 
@@ -135,7 +130,7 @@ def pieces(files: DataFrame, cfg: PdfConfig = PdfConfig()) -> DataFrame:
             rows = []
             for path, value in zip(batch.column(0), batch.column(1)):
                 try:
-                    own = file_rows(value.as_py() or b"", cfg.max_streams)
+                    own = file_rows(value.as_py() or b"")
                 except Exception as error:  # one bad file must not end the job: it is kept, with the reason
                     own = [{"kind": "map", "number": 0, "note": f"exception: {type(error).__name__}: {error}"}]
                 rows += [{"file_path": path.as_py(), **row} for row in own]
@@ -188,24 +183,20 @@ def stream_bytes(lengths: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def stream_checks(raw_streams: DataFrame, cfg: PdfConfig = PdfConfig()) -> DataFrame:
-    """(file_path, idx, reason): null reason for streams that decode. The budget is a running
-    total over the streams of one file, of which there are at most ``max_streams``."""
+    """(file_path, idx, reason): null reason for streams that decode. Only sizes leave the worker."""
     named = raw_streams.withColumn("filters", filter_names(F.col("dict"))).withColumn(
         "unknown", F.exists("filters", lambda f: ~f.isin(DECODED + OPAQUE))
     )
     raw = F.when(~F.col("unknown"), F.col("raw"))
     dec = named.select(
         "file_path", "idx", "filters", "unknown",
-        decode_filters(raw, F.col("filters"), decode_parms(F.col("dict")), cfg.stream_cap).alias("d"),
+        decode_filters(raw, F.col("filters"), decode_parms(F.col("dict")), sized=True).alias("d"),
     ).select(
-        "file_path", "idx", "filters", "unknown", F.col("d.ok").alias("ok"), F.length("d.data").alias("size")
+        "file_path", "idx", "filters", "unknown", F.col("d.ok").alias("ok")
     )
-    before = Window.partitionBy("file_path").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.when(F.col("ok"), F.col("size"))).over(before), F.lit(0))
-    return dec.withColumn("used", used).select(
+    return dec.select(
         "file_path", "idx",
-        F.when(F.col("used") >= cfg.total_cap, "decoded_total_budget_exhausted")
-        .when(F.col("unknown"), F.concat(F.lit("unsupported_filter_chain:"), F.to_json("filters")))
+        F.when(F.col("unknown"), F.concat(F.lit("unsupported_filter_chain:"), F.to_json("filters")))
         .when(~F.col("ok"), F.concat(F.lit("filter_decode_exception:"), F.coalesce(F.get("filters", F.lit(0)), F.lit(""))))
         .alias("reason"),
     )

@@ -28,7 +28,6 @@ UNDECODABLE = "pdf: nested metadata encrypted (stream undecodable)"
 
 @dataclass(frozen=True)
 class PdfRules:
-    stream_cap: int = 8 * 1024 * 1024
     ascii_max: float = 0.18
     chi2_max: float = 240.0
     entropy_min: float = 7.5
@@ -85,10 +84,10 @@ def stream_verdicts(streams: DataFrame, trusted: DataFrame, rules: PdfRules = Pd
     known = trusted.select("sha256").distinct().withColumn("_known", F.lit(True))
     named = streams.withColumn("filters", filter_names(F.col("dict"))).withColumn(
         "supported", F.forall("filters", lambda f: f.isin(DECODED))
-    ).withColumn("kind", stream_kind(F.col("dict"))).withColumn("raw", F.substring("raw", 1, rules.stream_cap))
+    ).withColumn("kind", stream_kind(F.col("dict")))
     flate = F.col("dict").contains("/FlateDecode")
     dec = named.withColumn(
-        "d", decode_filters(F.when(F.col("supported"), F.col("raw")), F.col("filters"), decode_parms(F.col("dict")), rules.stream_cap)
+        "d", decode_filters(F.when(F.col("supported"), F.col("raw")), F.col("filters"), decode_parms(F.col("dict")))
     )
     undecodable = (flate & (F.length("raw") >= 2) & ~zlib_head_ok(F.col("raw"))) | (F.col("supported") & ~F.col("d.ok"))
     ready = dec.select(
@@ -189,7 +188,7 @@ def outside_anomalies(files: DataFrame, rules: PdfRules = PdfRules()) -> DataFra
         for batch in batches:
             rows = []
             for path, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                streams, _ = pdf.stream_rows(value, 1 << 31)
+                streams, _ = pdf.stream_rows(value)
                 edges = [0, *[x for s in streams for x in (s["start"], s["stop"])], len(value)]
                 marked = marker_end(value)
                 for lo, hi in zip(edges[::2], edges[1::2]):

@@ -44,16 +44,16 @@ def _hits(arr: pa.Array) -> pa.Array:
     return pa.array([None if v.as_py() is None else zlib_hits(v.as_py()) for v in arr], kind)
 
 
-def stream_report(files: DataFrame, cap: int = 8 * 1024 * 1024) -> DataFrame:
+def stream_report(files: DataFrame) -> DataFrame:
     """One row per stream: span, filters, whether it inflates as declared, embedded zlib headers."""
     raw = pdf.stream_bytes(pdf.stream_lengths(pdf.pieces(files)), files)
     named = raw.withColumn("filters", filter_names(F.col("dict")))
-    dec = named.withColumn("d", decode_filters(F.col("raw"), F.col("filters"), decode_parms(F.col("dict")), cap))
+    dec = named.withColumn("d", decode_filters(F.col("raw"), F.col("filters"), decode_parms(F.col("dict")), sized=True))
     flate = F.array_contains("filters", "FlateDecode")
     return dec.select(
         "file_path", "idx", "start", "stop", "filters", flate.alias("declared_flate"),
         F.when(flate, zlib_head_ok(F.col("raw"))).alias("zlib_head_ok"), F.col("d.ok").alias("decodes"),
-        F.length("d.data").cast("bigint").alias("decoded_size"), _hits(F.col("raw")).alias("embedded_zlib"),
+        F.col("d.size").alias("decoded_size"), _hits(F.col("raw")).alias("embedded_zlib"),
     )
 
 
@@ -68,7 +68,7 @@ def zone_report(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                streams, _ = pdf.stream_rows(value, 1 << 31)
+                streams, _ = pdf.stream_rows(value)
                 rows += [(path, "stream", s["start"], s["stop"] - 1, None) for s in streams if s["stop"] > s["start"]]
                 edges = [0, *[x for s in streams for x in (s["start"], s["stop"])], len(value)]
                 for lo, hi in zip(edges[::2], edges[1::2]):

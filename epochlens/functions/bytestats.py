@@ -89,19 +89,23 @@ def _entropy(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.abs((p * logs).sum(axis=1))
 
 
+def stats_of_counts(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The statistics of histograms, one row of 256 counts each."""
+    n = counts.sum(axis=1)
+    out = {"n": n, "sum_sq": (counts * counts).sum(axis=1), "entropy": _entropy(counts, n),
+           "distinct": (counts > 0).sum(axis=1), "peak": counts.max(axis=1, initial=0)}
+    out |= {name: counts[:, table].sum(axis=1) for name, table in CLASSES.items()}
+    return out | {"chi2": _chi2(out["sum_sq"], n)}
+
+
 def stats_of(arr: pa.Array) -> dict[str, np.ndarray]:
     data, off = flat_bytes(arr)
     rows = len(off) - 1
     n = np.diff(off)
-    out = {c: np.zeros(rows, np.int64) for c in COUNTERS} | {"n": n, "entropy": np.zeros(rows)}
+    out = {c: np.zeros(rows, np.int64) for c in COUNTERS} | {"n": n, "entropy": np.zeros(rows), "chi2": np.zeros(rows)}
     for lo, hi, counts in histograms(data, off):
-        out["sum_sq"][lo:hi] = (counts * counts).sum(axis=1)
-        out["entropy"][lo:hi] = _entropy(counts, n[lo:hi])
-        out["distinct"][lo:hi] = (counts > 0).sum(axis=1)
-        out["peak"][lo:hi] = counts.max(axis=1)
-        for name, table in CLASSES.items():
-            out[name][lo:hi] = counts[:, table].sum(axis=1)
-    out["chi2"] = _chi2(out["sum_sq"], n)
+        for name, values in stats_of_counts(counts).items():
+            out[name][lo:hi] = values
     return out
 
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
+from epochlens.functions.bytestats import STATS_TYPE, stats_of_counts
+
+CHUNK = 1 << 20
+
 INFLATED = T.StructType([
     T.StructField("size", T.LongType()),
     T.StructField("crc", T.LongType()),
@@ -17,23 +24,44 @@ INFLATED = T.StructType([
 ])
 
 
-def raw_inflate(data: bytes, cap: int) -> tuple[bytes | None, str]:
-    """Raw DEFLATE up to ``cap`` bytes; output that reaches the cap counts as a failure."""
-    try:
-        out = zlib.decompressobj(-15).decompress(data, cap)
-    except zlib.error:
-        return None, "inflate_error"
-    return (None, "inflate_over_cap") if len(out) >= cap else (out, "")
+CONTENT = T.StructType([
+    T.StructField("size", T.LongType()),
+    T.StructField("head", T.BinaryType()),
+    T.StructField("sha256", T.StringType()),
+    T.StructField("s", STATS_TYPE),
+])
+
+
+def inflated(data: bytes, bits: int, complete: bool = False) -> Iterator[bytes]:
+    """Decompressed output in pieces of at most ``CHUNK`` bytes. A value that ends early gives what it holds, or an
+    error if it has to be ``complete``."""
+    engine, view = zlib.decompressobj(bits), memoryview(data)
+    for at in range(0, len(view), CHUNK):
+        rest = view[at: at + CHUNK]
+        while not engine.eof:
+            out = engine.decompress(rest, CHUNK)
+            if out:
+                yield out
+            rest = engine.unconsumed_tail
+            if not rest and len(out) < CHUNK:
+                break
+    if complete and not engine.eof:
+        raise zlib.error("incomplete stream")
 
 
 @arrow_udf(returnType=INFLATED)
-def _measure(data: pa.Array, cap: pa.Array) -> pa.Array:
+def _measure(data: pa.Array) -> pa.Array:
     size, crc, why = [], [], []
-    for value, limit in zip(data, cap):
+    for value in data:
         raw = value.as_py()
-        out, reason = (None, None) if raw is None else raw_inflate(raw, limit.as_py())
-        size.append(None if out is None else len(out))
-        crc.append(None if out is None else zlib.crc32(out))
+        n, total, reason = (None, None, None) if raw is None else (0, 0, "")
+        try:
+            for out in inflated(raw or b"", -15):
+                n, total = n + len(out), zlib.crc32(out, total)
+        except zlib.error:
+            n, total, reason = None, None, "inflate_error"
+        size.append(n)
+        crc.append(total)
         why.append(reason)
     return pa.StructArray.from_arrays(
         [pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(why, pa.string())],
@@ -42,17 +70,37 @@ def _measure(data: pa.Array, cap: pa.Array) -> pa.Array:
 
 
 @arrow_udf(returnType=T.BinaryType())
-def _unpack(data: pa.Array, window: pa.Array, cap: pa.Array) -> pa.Array:
+def _unpack(data: pa.Array, window: pa.Array) -> pa.Array:
     out = []
-    for value, bits, limit in zip(data, window, cap):
+    for value, bits in zip(data, window):
         raw = value.as_py()
         try:
-            out.append(None if raw is None else zlib.decompressobj(bits.as_py()).decompress(raw, limit.as_py()))
+            out.append(None if raw is None else b"".join(inflated(raw, bits.as_py())))
         except zlib.error:
             out.append(None)
     return pa.array(out, pa.binary())
 
 
+@arrow_udf(returnType=CONTENT)
+def _content(data: pa.Array, deflated: pa.Array) -> pa.Array:
+    rows, counts = [], np.zeros((len(data), 256), np.int64)
+    for i, (value, packed) in enumerate(zip(data, deflated)):
+        raw, digest, head, size = value.as_py() or b"", hashlib.sha256(), b"", 0
+        try:
+            for out in inflated(raw, -15) if packed.as_py() else (raw[a: a + CHUNK] for a in range(0, len(raw), CHUNK)):
+                digest.update(out)
+                head, size = (head + out[:8])[:8], size + len(out)
+                counts[i] += np.bincount(np.frombuffer(out, np.uint8), minlength=256)
+        except zlib.error:
+            digest, head, size, counts[i] = hashlib.sha256(), b"", 0, 0
+        rows.append((size, head, digest.hexdigest()))
+    stats = stats_of_counts(counts)
+    s = pa.StructArray.from_arrays([pa.array(stats[k]) for k in STATS_TYPE.names], STATS_TYPE.names)
+    size, head, sha = zip(*rows) if rows else ((), (), ())
+    return pa.StructArray.from_arrays(
+        [pa.array(size, pa.int64()), pa.array(head, pa.binary()), pa.array(sha, pa.string()), s], CONTENT.names)
+
+
 @arrow_udf(returnType=T.LongType())
 def _packed(data: pa.Array, level: pa.Array) -> pa.Array:
     return pa.array(
@@ -66,19 +114,25 @@ def packed_size(data: Column, level: int = 6) -> Column:
     return _packed(data, F.lit(level))
 
 
-def inflate_facts(data: Column, cap: Column) -> Column:
-    """struct(size, crc, why) of a raw DEFLATE value; the output itself stays in the worker."""
-    return _measure(data, cap.cast("bigint"))
+def inflate_facts(data: Column) -> Column:
+    """struct(size, crc, why) of a raw DEFLATE value, measured piece by piece; the output itself is never held."""
+    return _measure(data)
+
+
+def content_facts(data: Column, deflated: Column) -> Column:
+    """struct(size, head, sha256, s) of a stored or raw DEFLATE value, whole, piece by piece: its size, first eight
+    bytes, hash and byte statistics. Broken DEFLATE data count as empty."""
+    return _content(data, deflated)
 
 
-def inflate(data: Column, cap: int) -> Column:
-    """Raw DEFLATE output of at most ``cap`` bytes, null on error."""
-    return _unpack(data, F.lit(-15), F.lit(cap).cast("bigint"))
+def inflate(data: Column) -> Column:
+    """Raw DEFLATE output, null on error."""
+    return _unpack(data, F.lit(-15))
 
 
-def zlib_inflate(data: Column, cap: int) -> Column:
-    return _unpack(data, F.lit(15), F.lit(cap).cast("bigint"))
+def zlib_inflate(data: Column) -> Column:
+    return _unpack(data, F.lit(15))
 
 
-def gunzip(data: Column, cap: int) -> Column:
-    return _unpack(data, F.lit(31), F.lit(cap).cast("bigint"))
+def gunzip(data: Column) -> Column:
+    return _unpack(data, F.lit(31))

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
+from epochlens.functions.codec import inflated
+
 # Filter names the validators accept; the last two are accepted without decoding.
 DECODED = ["FlateDecode", "ASCII85Decode", "ASCIIHexDecode", "RunLengthDecode"]
 OPAQUE = ["DCTDecode", "JPXDecode"]
 
 DECODE_RESULT = T.StructType([
     T.StructField("ok", T.BooleanType()),
+    T.StructField("size", T.LongType()),
     T.StructField("data", T.BinaryType()),
 ])
 
@@ -29,9 +32,9 @@ def ascii_hex(data: bytes) -> bytes:
     return binascii.unhexlify(digits + b"0" * (len(digits) % 2))
 
 
-def run_length(data: bytes, cap: int) -> bytes:
+def run_length(data: bytes) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data) and len(out) < cap and data[at] != 128:
+    while at < len(data) and data[at] != 128:
         code = data[at]
         if code < 128:
             out += data[at + 1: at + 2 + code]
@@ -86,14 +89,15 @@ def png_rows(data: bytes, columns: int, colors: int, bits: int) -> bytes:
     return b"".join(out)
 
 
-def decode_stream(raw: bytes, names: list[str], parms: list[dict], cap: int) -> bytes | None:
-    """Output of a filter chain, cut to ``cap`` after each step; null when a step fails."""
+def decode_stream(raw: bytes, names: list[str], parms: list[dict], cap: int | None = None, sized: bool = False) -> bytes | int | None:
+    """Output of a filter chain, whole unless the caller wants its first ``cap`` bytes only; null when a step fails. ``sized`` asks for its length only: a plain Flate step
+    at the end is then measured piece by piece and its output never held."""
     if len(parms) not in (0, 1, len(names)):
         parms = []
-    data = raw[:cap] if not names else raw
+    data = raw
     for i, name in enumerate(names):
         if name in OPAQUE:
-            return data[:cap]
+            break
         p = (parms[i] if len(parms) == len(names) else parms[0]) if parms else None
         try:
             if name == "ASCII85Decode":
@@ -101,33 +105,38 @@ def decode_stream(raw: bytes, names: list[str], parms: list[dict], cap: int) ->
             elif name == "ASCIIHexDecode":
                 data = ascii_hex(data)
             elif name == "RunLengthDecode":
-                data = run_length(data, cap)
+                data = run_length(data)
             elif name == "FlateDecode":
-                data = zlib.decompress(data)
-                if p and (p["predictor"] or 1) >= 10:
+                predicted = p and (p["predictor"] or 1) >= 10
+                pieces = inflated(data, 15, complete=True)
+                if sized and not predicted and i == len(names) - 1:
+                    return sum(map(len, pieces))
+                data = b"".join(pieces)
+                if predicted:
                     data = png_rows(data, p["columns"] or 1, p["colors"] or 1, p["bits"] or 8)
             else:
                 return None
         except (ValueError, zlib.error, binascii.Error):
             return None
-        data = data[:cap]
-    return data
+    return len(data) if sized else data[:cap]
 
 
 @arrow_udf(returnType=DECODE_RESULT)
-def _decode(raw: pa.Array, names: pa.Array, parms: pa.Array, cap: pa.Array) -> pa.Array:
-    ok, data = [], []
-    for r, n, p, c in zip(raw, names, parms, cap):
-        value = r.as_py()
-        out = None if value is None else decode_stream(value, n.as_py() or [], p.as_py() or [], c.as_py())
+def _decode(raw: pa.Array, names: pa.Array, parms: pa.Array, sized: pa.Array) -> pa.Array:
+    ok, size, data = [], [], []
+    for r, n, p, only in zip(raw, names, parms, sized):
+        value, only = r.as_py(), only.as_py()
+        out = None if value is None else decode_stream(value, n.as_py() or [], p.as_py() or [], sized=only)
         ok.append(None if value is None else out is not None)
-        data.append(out)
-    return pa.StructArray.from_arrays([pa.array(ok, pa.bool_()), pa.array(data, pa.binary())], ["ok", "data"])
+        size.append(out if only or out is None else len(out))
+        data.append(None if only else out)
+    return pa.StructArray.from_arrays(
+        [pa.array(ok, pa.bool_()), pa.array(size, pa.int64()), pa.array(data, pa.binary())], DECODE_RESULT.names)
 
 
-def decode_filters(raw: Column, names: Column, parms: Column, cap: int) -> Column:
-    """struct(ok, data) of a stream value under its filter chain."""
-    return _decode(raw, names, parms, F.lit(cap).cast("bigint"))
+def decode_filters(raw: Column, names: Column, parms: Column, sized: bool = False) -> Column:
+    """struct(ok, size, data) of a stream value under its filter chain; ``sized`` leaves the data out."""
+    return _decode(raw, names, parms, F.lit(sized))
 
 
 def filter_names(dictionary: Column) -> Column:

@@ -15,15 +15,13 @@ MEDIA = ["jpg", "jpeg", "png", "webp", "gif", "bmp", "tif", "tiff", "j2k", "jp2"
          "m4a", "flac", "aac", "mp4", "m4v", "mov", "webm", "avi", "mkv", "emf", "wmf", "svg", "ico"]
 OOXML = ["docx", "pptx", "xlsx"]
 ARCHIVES = ["zip", "jar", "apk"]
-PDF_CAP = 8 * 1024 * 1024
-ENTRY_CAP = 1 << 30
 
 COLUMNS = ["sha256", "source", "container", "entry", "media_ext"]
 
 
 def _entries(files: DataFrame) -> DataFrame:
     rows = ziparchive.members(files, lenient=True)
-    return ziparchive.payloads(rows, ENTRY_CAP).select(
+    return ziparchive.payloads(rows).select(
         "file_path", F.col("name").cast("string").alias("entry"), "payload"
     ).filter(F.length("payload") > 0)
 
@@ -62,12 +60,10 @@ def pdf_media(files: DataFrame) -> DataFrame:
     body = files.filter(extension(F.col("file_path")) == "pdf")
     streams = pdf.pieces(body).filter("kind = 'stream'").withColumn("stated", F.lit(None).cast("bigint"))
     shown = F.col("dict").rlike(pdf.IMAGE) | F.col("dict").rlike(r"/(DCTDecode|JPXDecode|CCITTFaxDecode|JBIG2Decode)\b")
-    raw = pdf.stream_bytes(streams.filter(shown), body).withColumn(
-        "raw", F.substring("raw", 1, PDF_CAP)
-    ).filter(F.length("raw") > 0).withColumn("names", filter_names(F.col("dict")))
+    raw = pdf.stream_bytes(streams.filter(shown), body).filter(F.length("raw") > 0).withColumn("names", filter_names(F.col("dict")))
     plain = F.forall("names", lambda n: n.isin(DECODED))
     decoded = raw.withColumn(
-        "d", decode_filters(F.when(plain, F.col("raw")), F.col("names"), decode_parms(F.col("dict")), PDF_CAP)
+        "d", decode_filters(F.when(plain, F.col("raw")), F.col("names"), decode_parms(F.col("dict")))
     )
     payload = F.when(F.col("d.ok"), F.col("d.data")).otherwise(F.col("raw"))
     ext = (

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import random
 import struct
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from epochlens.catalog.samples import build_docx, build_pdf, build_zip
 from epochlens.formats import ooxml, ooxml_ranges, pdf, pdf_ranges, pdf_report, zip as za
-from epochlens.functions import pdffilters, pdftext
+from epochlens.functions import codec, pdffilters, pdftext
 from epochlens.operators.manifest import build_manifest
 
 TEXT = "Some plain sentence with words.\n" * 60
@@ -264,3 +265,41 @@ def test_hostile_pdf_does_not_end_the_job(spark):
     files = spark.createDataFrame([("good.pdf", good), ("bad.pdf", bad)], "file_path string, content binary")
     notes = {r.file_path: r.note for r in pdf.pieces(files).where("kind = 'map'").collect()}
     assert notes["good.pdf"] == "" and notes["bad.pdf"].startswith("exception: ValueError")
+
+
+def test_large_members_and_streams_are_judged_whole(spark):
+    zeros, png = bytes(40 << 20), b"\x89PNG\r\n\x1a\n" + bytes(33 << 20) + NOISE
+    archive = build_zip([("zeros.bin", zeros, 8), ("p.png", png, 8)])
+    assert verdicts(za.zip_verdicts(files(spark, [("/big.zip", archive)])))["/big.zip"] == ("benign", "all_components_ok")
+    rows = build_manifest(files(spark, [("/big.zip", archive)])).collect()
+    assert [(r["entry"], r["sha256"]) for r in rows] == [("p.png", hashlib.sha256(png).hexdigest())]
+    trusted = spark.createDataFrame([(hashlib.sha256(png).hexdigest(),)], "sha256 string")
+    bodies = za.members(files(spark, [("/big.zip", archive)]))
+    got = {r["idx"]: r["reason"] for r in za.member_verdicts(bodies, trusted).collect()}
+    assert got[1] == "zip: media trusted (p.png)"
+    twice = zlib.compress(zlib.compress(zeros, 0))
+    chain = ["FlateDecode", "FlateDecode"]
+    assert pdffilters.decode_stream(twice, chain, []) == zeros
+    assert pdffilters.decode_stream(twice, chain, [], sized=True) == len(zeros)
+    assert pdffilters.decode_stream(twice[:-9], chain, []) is None
+    assert pdffilters.decode_stream(twice[:-9], chain, [], sized=True) is None
+
+
+def test_inflating_in_pieces():
+    rng = random.Random(3)
+    for n in (0, 1, codec.CHUNK - 1, codec.CHUNK, codec.CHUNK + 1, 3 * codec.CHUNK):
+        for raw in (bytes(n), rng.randbytes(n)):
+            for bits in (-15, 15, 31):
+                packer = zlib.compressobj(6, zlib.DEFLATED, bits)
+                packed = packer.compress(raw) + packer.flush()
+                parts = list(codec.inflated(packed, bits, complete=True))
+                assert b"".join(parts) == raw and all(len(p) <= codec.CHUNK for p in parts)
+                assert b"".join(codec.inflated(packed + b"tail", bits)) == raw
+    with pytest.raises(zlib.error):
+        list(codec.inflated(b"", 15, complete=True))
+
+
+def test_parts_far_from_the_root_are_reached(spark):
+    edges = spark.createDataFrame([("/a", str(i) if i else "", str(i + 1)) for i in range(20)], "file_path string, source string, target string")
+    reached = ooxml.reachable(edges, edges.select("file_path").distinct()).collect()
+    assert {(r["part"], r["depth"]) for r in reached} == {(str(i) if i else "", i) for i in range(21)}
