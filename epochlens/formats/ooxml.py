@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epochlens.formats.zip import ZipConfig, check_members, members, payloads, verdicts_of
+from epochlens.formats.zip import DEFLATE, ZipConfig, check_members, members, verdicts_of
 from epochlens.functions import xmlparts
 from epochlens.functions.paths import extension, posix_norm
 from epochlens.session import cut_lineage
@@ -33,16 +33,6 @@ CONTROL = "[\\x00-\\x1F\\x7F]"
 
 @dataclass(frozen=True)
 class OoxmlConfig:
-    max_entries: int = 20_000
-    max_xml_bytes: int = 16 * 1024 * 1024
-    max_rels_bytes: int = 2 * 1024 * 1024
-    max_total_xml: int = 64 * 1024 * 1024
-    max_total_rels: int = 32 * 1024 * 1024
-    max_total_read: int = 512 * 1024 * 1024
-    max_rels_followed: int = 256
-    max_per_rels: int = 50_000
-    max_relationships: int = 1_000_000
-    max_bin_bytes: int = 256 * 1024 * 1024
     orphans_allowed: bool = False
 
 
@@ -95,20 +85,13 @@ def valid_url(url: Column) -> Column:
     return ~url.rlike(r"[\s\x00-\x1F\x7F]") & (url != "") & ~brackets
 
 
-def _parts(rows: DataFrame, cfg: OoxmlConfig) -> DataFrame:
-    """(file_path, part, size, rels, types, well_formed): one row per member; only XML-like
-    members are decoded, and only their facts leave the worker."""
+def _parts(rows: DataFrame) -> DataFrame:
+    """(file_path, part, rels, types, well_formed): one row per member, parsed whole in one pass; only the facts
+    leave the worker."""
     body = rows.filter(F.col("idx") >= 0).withColumn("part", F.col("name").cast("string"))
-    decoded = payloads(body)
-    is_rels, is_ct = F.col("part").endswith(".rels"), F.col("part") == CONTENT_TYPES_PART
-    small = F.col("usz") <= cfg.max_xml_bytes
-    doc = F.when(small, F.col("payload"))
-    return decoded.select(
-        "file_path", "part", F.col("usz").alias("size"),
-        xmlparts.relationships(F.when(is_rels & (F.col("usz") <= cfg.max_rels_bytes), doc)).alias("rels"),
-        xmlparts.content_types(F.when(is_ct, doc)).alias("types"),
-        xmlparts.well_formed(doc).alias("well_formed"),
-    )
+    kind = F.when(F.col("part").endswith(".rels"), "rels").when(F.col("part") == CONTENT_TYPES_PART, "types")
+    facts = xmlparts.part_facts(F.col("data"), F.col("method") == DEFLATE, kind)
+    return body.select("file_path", "part", facts.alias("x")).select("file_path", "part", "x.rels", "x.types", "x.well_formed")
 
 
 def _problems(df: DataFrame, *checks: tuple[int, Column, Column | str]) -> DataFrame:
@@ -158,7 +141,6 @@ def package_problems(parts: DataFrame, cfg: OoxmlConfig = OoxmlConfig()) -> Data
     )
     found = [_problems(
         per_file,
-        (1, col("n") > cfg.max_entries, _text("ooxml_budget_exceeded:max_zip_entries=", col("n"))),
         (2, col("nd") < col("n"), "ooxml_duplicate_entry_names"),
         (3, col("odd").isNotNull(), _text("ooxml_path_suspicious:where=zip_entry,value=", col("odd"))),
         (4, ~col("has_ct"), "ooxml_missing_content_types"), (5, ~col("has_rels"), "ooxml_missing_root_rels"),
@@ -178,10 +160,10 @@ def package_problems(parts: DataFrame, cfg: OoxmlConfig = OoxmlConfig()) -> Data
     default = types.filter("NOT override").groupBy("file_path", col("name").alias("x")).agg(F.max("type").alias("d_type"))
     last_ext = F.when(col("part").contains("."), F.lower(F.substring_index("part", ".", -1))).otherwise("")
     typed = cut_lineage(
-        parts.select("file_path", "part", "size", "well_formed").dropDuplicates(["file_path", "part"])
+        parts.select("file_path", "part", "well_formed").dropDuplicates(["file_path", "part"])
         .withColumn("x", last_ext)
         .join(override, ["file_path", "part"], "left").join(default, ["file_path", "x"], "left")
-        .select("file_path", "part", "size", "well_formed", F.coalesce("o_type", "d_type").alias("ctype"))
+        .select("file_path", "part", "well_formed", F.coalesce("o_type", "d_type").alias("ctype"))
     )
     names = typed.select("file_path", "part")
 
@@ -201,7 +183,7 @@ def package_problems(parts: DataFrame, cfg: OoxmlConfig = OoxmlConfig()) -> Data
     wanted = F.create_map(*[F.lit(x) for kv in MAIN_PART.items() for x in kv])[col("ext")]
     wanted_type = F.create_map(*[F.lit(x) for kv in MAIN_TYPE.items() for x in kv])[col("ext")]
     one, inside = col("k") == 1, ~F.coalesce("external", F.lit(False))
-    present = one & inside & col("why").isNull() & col("size").isNotNull()
+    present = one & inside & col("why").isNull() & col("well_formed").isNotNull()
     intended = present & col("ext").isin(list(MAIN_PART))
     found.append(_problems(
         main,
@@ -209,7 +191,7 @@ def package_problems(parts: DataFrame, cfg: OoxmlConfig = OoxmlConfig()) -> Data
         (9, one & ~inside, "ooxml_officeDocument_external_target_forbidden"),
         (10, one & inside & col("why").isNotNull(),
          _text("ooxml_path_suspicious:where=rels_target,value=", col("target"), ",why=", col("why"))),
-        (11, one & inside & col("why").isNull() & col("size").isNull(), _text("ooxml_missing_main_part:target=/", col("part"))),
+        (11, one & inside & col("why").isNull() & col("well_formed").isNull(), _text("ooxml_missing_main_part:target=/", col("part"))),
         (12, intended & (col("part") != wanted), _text("ooxml_type_mismatch:ext=", col("ext"), ",target=/", col("part"))),
         (13, intended & col("ctype").isNull(), _text("ooxml_ct_undetermined:part=/", col("part"))),
         (14, intended & (F.trim("ctype") != wanted_type),
@@ -241,25 +223,15 @@ def package_problems(parts: DataFrame, cfg: OoxmlConfig = OoxmlConfig()) -> Data
     found.append(_problems(
         reached,
         (20, col("ctype").isNull(), _text("ooxml_ct_undetermined:part=/", col("part"))),
-        (20, is_xml & (col("size") > cfg.max_xml_bytes), _text("ooxml_xml_read_fail:part=/", col("part"), ",why=entry_over_limit")),
         (20, is_xml & ~F.coalesce("well_formed", F.lit(True)), _text("ooxml_xml_parse_fail:part=/", col("part"))),
-        (20, ~is_xml & (col("size") > cfg.max_bin_bytes), _text("ooxml_budget_exceeded:max_bin_part_bytes:part=/", col("part"))),
     ))
     followed = parts.filter(col("part").endswith(".rels")).withColumn("source", source_of_rels(col("part"))).join(
         reach.select("file_path", col("part").alias("source")), ["file_path", "source"], "left_semi"
     ).groupBy("file_path").agg(
-        F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum(F.size("rels")).alias("links"),
-        F.max(F.size("rels")).alias("most"), F.min(F.when(col("rels").isNull(), col("part"))).alias("spoilt"),
+        F.min(F.when(col("rels").isNull(), col("part"))).alias("spoilt"),
     )
-    xml_bytes = reached.filter(is_xml).groupBy("file_path").agg(F.sum("size").alias("xml"))
     found.append(_problems(
-        followed.join(xml_bytes, "file_path", "full_outer"),
-        (20, col("spoilt").isNotNull(), _text("ooxml_rels_parse_fail:part=/", col("spoilt"))),
-        (20, col("most") > cfg.max_per_rels, "ooxml_rels_too_many_relationships"),
-        (20, col("n") > cfg.max_rels_followed, "ooxml_budget_exceeded:max_rels_files_followed"),
-        (20, col("links") > cfg.max_relationships, "ooxml_budget_exceeded:max_relationships_total"),
-        (20, col("bytes") > cfg.max_total_rels, "ooxml_budget_exceeded:max_total_rels_bytes"),
-        (20, col("xml") > cfg.max_total_xml, "ooxml_budget_exceeded:max_total_xml_bytes"),
+        followed, (20, col("spoilt").isNotNull(), _text("ooxml_rels_parse_fail:part=/", col("spoilt")))
     ))
     if not cfg.orphans_allowed:
         orphans = names.filter(~col("part").endswith(".rels") & (col("part") != CONTENT_TYPES_PART)).join(
@@ -278,7 +250,7 @@ def ooxml_verdicts(files: DataFrame, cfg: OoxmlConfig = OoxmlConfig(), zcfg: Zip
     rows = members(files, zcfg)
     container = cut_lineage(verdicts_of(cut_lineage(check_members(rows, zcfg)), zcfg, force_intent=True))
     sound = container.filter("verdict = 'benign'").select("file_path")
-    parts = cut_lineage(_parts(members(files.join(sound, "file_path", "left_semi"), zcfg, lenient=True), cfg))
+    parts = cut_lineage(_parts(members(files.join(sound, "file_path", "left_semi"), zcfg, lenient=True)))
     first = package_problems(parts, cfg).groupBy("file_path").agg(
         F.min(F.struct("o", "reason")).alias("p")
     ).select("file_path", F.col("p.reason").alias("package"))

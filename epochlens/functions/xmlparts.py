@@ -1,13 +1,19 @@
-"""Small XML readers as Arrow column functions: well-formedness, content types, relationships."""
+"""A reader of XML parts as an Arrow column function: well-formedness, content types, relationships. A part is inflated
+and parsed piece by piece; neither its bytes nor its tree are ever held."""
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+import zlib
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
+
+from epochlens.functions.codec import CHUNK, inflated
 
 CONTENT_TYPES = T.ArrayType(T.StructType([
     T.StructField("override", T.BooleanType()),
@@ -21,81 +27,80 @@ RELATIONSHIPS = T.ArrayType(T.StructType([
 ]))
 
 
-def parse(raw: bytes) -> ET.Element | None:
-    """Root element, or null when the text is malformed or declares entities."""
-    if b"<!ENTITY" in raw:
-        return None
-    try:
-        return ET.fromstring(raw)
-    except (ET.ParseError, ValueError, LookupError):
-        return None
+PART_FACTS = T.StructType([
+    T.StructField("well_formed", T.BooleanType()),
+    T.StructField("rels", RELATIONSHIPS),
+    T.StructField("types", CONTENT_TYPES),
+])
+ENTITY = b"<!ENTITY"
 
 
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def _attr(node: ET.Element, name: str) -> str:
-    return (node.get(name) or "").strip()
-
-
-def content_type_rows(raw: bytes) -> list[dict] | None:
-    root = parse(raw)
-    if root is None:
-        return None
-    rows = []
-    for node in root:
-        kind = _local(node.tag)
-        name = _attr(node, {"Default": "Extension", "Override": "PartName"}.get(kind, ""))
-        ctype = _attr(node, "ContentType")
-        if name and ctype:
-            bare = name.lower() if kind == "Default" else name.removeprefix("/")
-            rows.append({"override": kind == "Override", "name": bare, "type": ctype})
-    return rows
-
-
-def relationship_rows(raw: bytes) -> list[dict] | None:
-    root = parse(raw)
-    if root is None:
-        return None
-    return [
-        {"type": _attr(n, "Type"), "target": _attr(n, "Target"),
-         "external": _attr(n, "TargetMode").lower() == "external"}
-        for n in root.iter()
-        if _local(n.tag).endswith("Relationship") and _attr(n, "Id") and _attr(n, "Type") and _attr(n, "Target")
-    ]
-
-
-def _mapped(arr: pa.Array, fn, kind: pa.DataType) -> pa.Array:
-    return pa.array([None if v.as_py() is None else fn(v.as_py()) for v in arr], kind)
+def _attr(attributes: dict, name: str) -> str:
+    return (attributes.get(name) or "").strip()
 
 
-_CT_ARROW = pa.list_(pa.struct([("override", pa.bool_()), ("name", pa.string()), ("type", pa.string())]))
-_REL_ARROW = pa.list_(pa.struct([("type", pa.string()), ("target", pa.string()), ("external", pa.bool_())]))
+class _Rows:
+    """Parser target that keeps the rows of one kind of part (``rels``, ``types`` or none)."""
 
+    def __init__(self, kind: str | None):
+        self.kind, self.depth, self.rows = kind, 0, []
 
-@arrow_udf(returnType=T.BooleanType())
-def _well_formed(arr: pa.Array) -> pa.Array:
-    return _mapped(arr, lambda raw: parse(raw) is not None, pa.bool_())
+    def start(self, tag: str, attributes: dict) -> None:
+        if self.kind == "rels":
+            self.relationship(_local(tag), attributes)
+        elif self.kind == "types" and self.depth == 1:
+            self.content_type(_local(tag), attributes)
+        self.depth += 1
 
+    def end(self, tag: str) -> None:
+        self.depth -= 1
 
-@arrow_udf(returnType=CONTENT_TYPES)
-def _content_types(arr: pa.Array) -> pa.Array:
-    return _mapped(arr, content_type_rows, _CT_ARROW)
+    def close(self) -> list[dict]:
+        return self.rows
 
+    def relationship(self, kind: str, attributes: dict) -> None:
+        target, rel_type = _attr(attributes, "Target"), _attr(attributes, "Type")
+        if kind.endswith("Relationship") and _attr(attributes, "Id") and rel_type and target:
+            external = _attr(attributes, "TargetMode").lower() == "external"
+            self.rows.append({"type": rel_type, "target": target, "external": external})
 
-@arrow_udf(returnType=RELATIONSHIPS)
-def _relationships(arr: pa.Array) -> pa.Array:
-    return _mapped(arr, relationship_rows, _REL_ARROW)
+    def content_type(self, kind: str, attributes: dict) -> None:
+        name = _attr(attributes, {"Default": "Extension", "Override": "PartName"}.get(kind, ""))
+        ctype = _attr(attributes, "ContentType")
+        if name and ctype:
+            bare = name.lower() if kind == "Default" else name.removeprefix("/")
+            self.rows.append({"override": kind == "Override", "name": bare, "type": ctype})
 
 
-def well_formed(content: Column) -> Column:
-    return _well_formed(content)
+def read_xml(pieces: Iterable[bytes], kind: str | None = None) -> list[dict] | None:
+    """Rows of a well-formed part, or null when it is malformed, does not inflate or declares entities."""
+    parser, before = ET.XMLParser(target=_Rows(kind)), b""
+    try:
+        for piece in pieces:
+            if ENTITY in before + piece:
+                return None
+            before = (before + piece)[1 - len(ENTITY):]
+            parser.feed(piece)
+        return parser.close()
+    except (ET.ParseError, ValueError, LookupError, zlib.error):
+        return None
 
 
-def content_types(content: Column) -> Column:
-    return _content_types(content)
+@arrow_udf(returnType=PART_FACTS)
+def _facts(data: pa.Array, deflated: pa.Array, kinds: pa.Array) -> pa.Array:
+    rows = []
+    for value, packed, kind in zip(data, deflated, kinds):
+        raw, kind = value.as_py() or b"", kind.as_py()
+        stored = (raw[a: a + CHUNK] for a in range(0, len(raw), CHUNK))
+        found = read_xml(inflated(raw, -15) if packed.as_py() else stored, kind)
+        rows.append({"well_formed": found is not None, **({kind: found} if kind else {})})
+    return pa.array(rows, to_arrow_type(PART_FACTS))
 
 
-def relationships(content: Column) -> Column:
-    return _relationships(content)
+def part_facts(data: Column, deflated: Column, kind: Column) -> Column:
+    """struct(well_formed, rels, types) of a stored or raw DEFLATE part; ``kind`` is rels, types or null."""
+    return _facts(data, deflated, kind)

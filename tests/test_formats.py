@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from epochlens.catalog.samples import build_docx, build_pdf, build_zip
 from epochlens.formats import ooxml, ooxml_ranges, pdf, pdf_ranges, pdf_report, zip as za
-from epochlens.functions import codec, pdffilters, pdftext
+from epochlens.functions import codec, pdffilters, pdftext, xmlparts
 from epochlens.operators.manifest import build_manifest
 
 TEXT = "Some plain sentence with words.\n" * 60
@@ -303,3 +303,16 @@ def test_parts_far_from_the_root_are_reached(spark):
     edges = spark.createDataFrame([("/a", str(i) if i else "", str(i + 1)) for i in range(20)], "file_path string, source string, target string")
     reached = ooxml.reachable(edges, edges.select("file_path").distinct()).collect()
     assert {(r["part"], r["depth"]) for r in reached} == {(str(i) if i else "", i) for i in range(21)}
+
+
+def test_xml_parts_are_parsed_in_pieces(spark):
+    read = xmlparts.read_xml
+    split = lambda raw, n: [raw[a: a + n] for a in range(0, len(raw), n)]
+    rel = b"<Relationships><Relationship Id='a' Type='t' Target='x' TargetMode='External'/></Relationships>"
+    assert all(read(split(rel, n), "rels") == [{"type": "t", "target": "x", "external": True}] for n in (1, 7, 1000))
+    ct = b"<T><Default Extension='XML' ContentType='c'/><Override PartName='/p' ContentType='d'/><X><Default Extension='n' ContentType='c'/></X></T>"
+    assert read(split(ct, 5), "types") == [{"override": False, "name": "xml", "type": "c"}, {"override": True, "name": "p", "type": "d"}]
+    assert read(split(b"<!DOCTYPE a [<!ENTITY e 'x'>]><a/>", 3)) is None
+    assert read([]) is None and read([b"<a>"]) is None and read([b"<a>&none;</a>"]) is None and read([b"<a/>"]) == []
+    long = {"word/document.xml": "<w>" + "<p>text</p>" * 1_700_000 + "</w>"}
+    assert verdicts(ooxml.ooxml_verdicts(files(spark, [("/long.docx", docx(long))])))["/long.docx"][0] == "benign"
