@@ -7,7 +7,8 @@ pieces and the histogram and deals the found fillings back to the pieces by rank
 Bin completion: take the largest piece left, enumerate the fillings of the rest of its bin that no other filling
 dominates (same or larger pieces in the same places), best fit first, and branch. A branch is cut when the waste
 so far and the least waste still to come exceed what the incumbent allows. The first descent takes the best fit
-everywhere and so is the first incumbent; a filling is applied to as many bins at once as the counts permit.
+everywhere and so is the first incumbent; a filling is applied to as many bins at once as the counts permit, and to
+fewer once all others have been tried. Only the bounds and the number of fillings looked at end the search.
 
 Defined results: a null text is the empty text and becomes one piece that holds the end id only; rows that repeat
 are packed each; documents longer than the capacity are cut, the short piece first; an empty table gives no rows.
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,11 +33,9 @@ from epochlens.llm.token_counts import encoder
 SLICE_BYTES = 1 << 20
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` with the lengths left (ascending), fullest first. A filling that leaves room
-    for another piece, or in which a piece can be exchanged for a larger one, is dominated and not generated: at each
-    step only the largest pieces that fit are tried, and the last place takes the best fit. ``most`` bounds the
-    pieces in one filling before the rest is filled greedily, ``width`` the alternatives per place."""
+def best_fit(lengths: list[int], counts: dict[int, int], room: int, most: int = 4, width: int = 3) -> tuple[int, ...]:
+    """A full filling of ``room`` with the lengths left (ascending), the first choice of the search: a small trial among
+    the ``width`` largest pieces that fit in each of the first ``most`` places. All others come from ``fillings``."""
     found: dict[tuple[int, ...], int] = {}
 
     def grow(chosen: tuple[int, ...], left: int, top: int) -> None:
@@ -53,50 +54,114 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int, w
             found.setdefault(chosen, left)
 
     grow((), room, room)
-    return sorted(found, key=lambda f: (found[f], len(f), tuple(-x for x in f)))
+    return min(found, key=lambda f: (found[f], len(f), tuple(-x for x in f)))
+
+
+def fillings(have: Callable[[int], int], sizes: list[int], room: int) -> Iterator[tuple[int, ...] | None]:
+    """Fillings of ``room`` with ``have(s)`` pieces of each of the ``sizes`` (ascending), fullest first and then larger
+    pieces first, one at a time. None stands for one that is dominated: a piece still fits, or some of its pieces can be
+    exchanged for one piece that is as large or larger. Sums that the smaller sizes reach are
+    kept as bits, so no step leads nowhere."""
+    sizes = sizes[:bisect_right(sizes, room)]
+    mask, reach, spare = (1 << room + 1) - 1, [1], 0
+    for size in sizes:
+        bits, n, k = reach[-1], min(have(size), room // size), 1
+        while n > 0:
+            k = min(k, n)
+            bits |= bits << size * k & mask
+            n, k = n - k, 2 * k
+        reach.append(bits)
+        spare |= (have(size) > 0) << size
+
+    def exact(at: int, goal: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not goal:
+            yield chosen
+        at = min(at, bisect_right(sizes, goal))
+        while goal and at and reach[at] >> goal & 1:
+            at -= 1
+            size = sizes[at]
+            for k in range(min(have(size), goal // size), 0, -1):
+                if reach[at] >> goal - k * size & 1:
+                    yield from exact(at, goal - k * size, chosen + (size,) * k)
+
+    def dominated(filling: tuple[int, ...], waste: int) -> bool:
+        one, more, free = 0, 0, spare
+        for size in filling:
+            more |= (one | more) << size
+            one |= 1 << size
+        for size in set(filling):
+            if filling.count(size) == have(size):
+                free &= ~(1 << size)
+        larger = (1 | one) << 1
+        spread = 1
+        while spread < waste:  # by 0 to ``waste`` for several pieces, by 1 to ``waste`` for one or none
+            step = min(spread, waste - spread)
+            larger, spread = larger | larger << step, spread + step
+        if more:
+            spread = 0
+            while spread < waste:
+                step = min(spread + 1, waste - spread)
+                more, spread = more | more << step, spread + step
+        return bool((more | (larger if waste else 0)) & free)
+
+    for goal in range(room, -1, -1):
+        if reach[-1] >> goal & 1:
+            for filling in exact(len(sizes), goal, ()):
+                yield None if dominated(filling, room - goal) else filling
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Bins that no packing can do without: by volume, and by pieces that cannot share a bin with large ones."""
-    sizes = sorted(counts)
-    best = -(-sum(s * n for s, n in counts.items()) // capacity)
-    for cut in [s for s in sizes if 2 * s <= capacity]:
-        large = sum(n for s, n in counts.items() if s > capacity - cut)
-        middle = sum(n for s, n in counts.items() if capacity - cut >= s > capacity / 2)
-        room = middle * capacity - sum(s * n for s, n in counts.items() if capacity - cut >= s > capacity / 2)
-        small = sum(s * n for s, n in counts.items() if cut <= s <= capacity / 2)
-        best = max(best, large + middle + max(0, -(-(small - room) // capacity)))
-    return max(best, sum(n for s, n in counts.items() if 2 * s > capacity))
-
-
-def complete_bins(counts: dict[int, int], capacity: int, most: int = 4, width: int = 3,
-                  nodes: int = 2000) -> list[tuple[tuple[int, ...], int]]:
-    """(filling, bins) of a packing. ``nodes`` bounds the branches that are tried after the first descent; beyond it
-    the best packing found so far is returned, so every piece is always placed."""
+    if not counts:
+        return 0
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    pieces, volume = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * sizes)]
+    half = int(np.searchsorted(sizes, capacity // 2, side="right"))  # the first size above one half
+    cut = np.arange(half)
+    top = np.searchsorted(sizes, capacity - sizes[:half], side="right")  # the first that leaves no room for the cut
+    room = (pieces[top] - pieces[half]) * capacity - (volume[top] - volume[half])
+    bins = pieces[-1] - pieces[half] + np.maximum(0, -(-(volume[half] - volume[cut] - room) // capacity))
+    return int(max(-(-volume[-1] // capacity), pieces[-1] - pieces[half], *bins))
+
+
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 2000) -> list[tuple[tuple[int, ...], int]]:
+    """(filling, bins) of a packing. ``nodes`` bounds the fillings that are looked at after the first descent, whatever
+    the size of the table; beyond it the best packing found so far is returned, so every piece is always placed."""
     bound = lower_bound(counts, capacity)
     best: list = []
     best_bins = float("inf")
     left_nodes = nodes
     volume = sum(s * n for s, n in counts.items())
-    # A frame is a state of the search: what is left, bins used, waste so far, and the fillings not yet tried.
+    # A frame is a state of the search: the choices not yet tried there, and how many were.
     left = dict(counts)
     path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[tuple[list[tuple[int, ...]], int]] = []
+    stack: list[list] = []
 
-    def options() -> list[tuple[int, ...]]:
+    def options() -> Iterator[tuple[tuple[int, ...], int] | None]:
+        """(filling, bins): every filling for as many bins as can be, then for fewer. Read only in the state it is for."""
         sizes = sorted(s for s, n in left.items() if n)
         big = sizes[-1]
+        last = path[-1][0] if path else None
         left[big] -= 1
-        tried = [(big, *f) for f in fillings([s for s in sizes if left[s]], left, capacity - big, most, width)]
+        first = (big, *best_fit([s for s in sizes if left[s]], left, capacity - big))
         left[big] += 1
-        return tried
+        if first != last:
+            yield first, min(left[s] // first.count(s) for s in set(first))
 
-    def apply(filling: tuple[int, ...]) -> None:
-        need = {s: filling.count(s) for s in set(filling)}
-        times = min(left[s] // n for s, n in need.items())
-        for s, n in need.items():
-            left[s] -= n * times
-        path.append((filling, times))
+        def each():
+            for filling in fillings(lambda s: left[s] - (s == big), sizes, capacity - big):
+                # The filling before was to have fewer bins than it could, so it does not follow itself.
+                if filling is None or (whole := (big, *filling)) == last:
+                    yield None, 0
+                else:
+                    yield whole, min(left[s] // whole.count(s) for s in set(whole))
+
+        for filling, times in each():
+            yield (filling, times) if times and filling != first else None
+        for filling, times in each():
+            for fewer in range(times - 1, 0, -1):
+                yield filling, fewer
 
     def undo() -> None:
         filling, times = path.pop()
@@ -104,36 +169,40 @@ def complete_bins(counts: dict[int, int], capacity: int, most: int = 4, width: i
             left[s] += times
 
     used, waste = 0, 0
-    stack.append((options(), 0)) if volume else None
-    while stack:
-        choices, at = stack.pop()
-        if at < len(choices):
-            stack.append((choices, at + 1))
-            apply(choices[at])
-            filling, times = path[-1]
+    stack.append([options(), 0]) if volume else None
+    while stack and (not best or (best_bins > bound and left_nodes > 0)):
+        frame = stack[-1]
+        if frame[0] is None:  # put away on the way down, as most frames are never seen again
+            frame[0] = islice(options(), frame[1], None)
+        choice = next(frame[0], ())
+        frame[1] += 1
+        left_nodes -= bool(best)
+        if choice is None:
+            continue
+        if choice:
+            filling, times = choice
+            for s in filling:
+                left[s] -= times
+            path.append(choice)
             used += times
             waste += times * (capacity - sum(filling))
-            if at:
-                left_nodes -= 1
             remaining = {s: n for s, n in left.items() if n}
             if not remaining:
                 if used < best_bins:
                     best, best_bins = list(path), used
             elif waste <= (best_bins - 1) * capacity - volume and used + (
                     lower_bound(remaining, capacity) if best else 0) < best_bins:
-                stack.append((options(), 0))
+                if frame[1] == 1:
+                    frame[0] = None
+                stack.append([options(), 0])
                 continue
-            if best_bins <= bound or left_nodes <= 0 or (best and len(stack) > 2000):
-                break
-        elif not path:
-            break
+        else:
+            stack.pop()
         if path:
             filling, times = path[-1]
             used -= times
             waste -= times * (capacity - sum(filling))
             undo()
-            if best:
-                left_nodes -= 1
     return best
 
 

@@ -170,6 +170,37 @@ def test_completion_meets_brute_force():
         assert sum(n for _, n in packing.complete_bins(Counter(sizes), 10)) == best
 
 
+def test_search_goes_on_after_a_long_first_descent():
+    large = Counter(range(7000, 9500))  # each alone in its bin, and each a filling of its own
+    small = Counter([3042, 3266, 3692, 3415, 3311, 3274, 3367, 3598, 3035])  # three whole bins, which best fit misses
+    found = packing.complete_bins(large + small, 10000)
+    used = Counter()
+    for filling, times in found:
+        assert sum(filling) <= 10000
+        used.update({s: n * times for s, n in Counter(filling).items()})
+    assert used == large + small and sum(n for _, n in found) == packing.lower_bound(large + small, 10000) == 2503
+
+
+def test_fillings_are_the_undominated_ones():
+    draw = random.Random(8)
+    for _ in range(30):
+        room, left = draw.randint(5, 14), Counter(draw.randint(1, 9) for _ in range(7))
+        all_ = {()}
+        for piece in left.elements():
+            all_ |= {tuple(sorted((*f, piece), reverse=True)) for f in all_}
+        all_ = {f for f in all_ if sum(f) <= room and not Counter(f) - left}
+
+        def covers(big, small):
+            """Whether the pieces of ``small`` can be put into those of ``big``."""
+            return not small or any(
+                covers((*big[:i], big[i] - small[0], *big[i + 1:]), small[1:]) for i in range(len(big)) if big[i] >= small[0])
+
+        want = {f for f in all_ if not any(g != f and covers(g, f) for g in all_)}
+        got = [f for f in packing.fillings(left.__getitem__, sorted(left), room) if f is not None]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
 def test_pseudonyms(spark, empty):
     body = ("ann.92@mail2.example.com 97.51.17.173 4539578763621486 9807915762804490 300.1.1.1 +1 (017) 555-7713 1985-02-28 "
             "2023-02-30 DE89 3704 0044 0532 0130 00 version 2.0. ")
