@@ -20,17 +20,47 @@ ROUNDS = 8
 LOWER = "0123456789abcdefghijklmnopqrstuvwxyz"
 DAYS, DAY_HIGH, DAY_LOW = 73049, 17, 4297  # 1900-01-01 .. 2099-12-31 = 17 * 4297 days
 
+# Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w-]|\.\d)"
+IP = r"\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
+SSN = r"\d{3}-\d{2}-\d{4}(?![\w-])"
+
+
+def _iban_pattern() -> str:
+    """Exactly as many characters as the country has, in groups of four; of other countries as many as there are, but
+    not past the start of a known one."""
+    known = "|".join("|".join(countries.split()) for countries in IBAN_LENGTHS.values())
+    fixed = [rf"(?:{'|'.join(countries.split())})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}"
+             + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"(?!\w)" for n, countries in IBAN_LENGTHS.items()]
+    start = rf"(?: (?!(?:{known})\d{{2}})| ?(?=\w)(?<! ))"
+    other = rf"[A-Z]{{2}}\d{{2}}(?:{start}[A-Z0-9]{{4}}){{2,7}}(?:{start}[A-Z0-9]{{1,4}})?(?!\w)"
+    return rf"(?<!\w)(?:{'|'.join(fixed)}|{other})"
+
+
+def _run_pattern() -> str:
+    """All numbers in a row of 13 digits or more, up to the next value of another kind. Which of them are cards is
+    found by ``_cards``; possessive, so that long rows need no stack."""
+    token = r"\d{1,19}+(?!\w)"
+    return rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}})(?!(?:-?\d){{20}}){token}(?:[ -](?!{DATE}|{IP}|{SSN}){token})*+"
+
+
 # Fixed patterns of the value formats.
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
-    "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w-]|\.\d)",
-    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)",
+    "date": rf"(?<![\w.-]){DATE}",
+    "ip": rf"(?<![\w.]){IP}",
+    "ssn": rf"(?<![\w-]){SSN}",
+    "iban": _iban_pattern(),
     "phone": r"(?<!\w)(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
              r"|(?<!\w)\+(?!1[ .(-])\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\w|[.-]\d)",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "secret": r"(?i:(?<=(?:token|secret|passwd|password|apikey|api_key|api-key) ?[=:] ?[\"']?)[A-Za-z0-9_+/-]{20,}+)",
+    "card": _run_pattern(),
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -126,11 +156,58 @@ def _kind(found: Column) -> Column:
         .when(whole("ssn"), "ssn")
         .when(whole("iban") & (_mod97(F.concat(F.substring(bban, F.lit(5), F.length(bban)), F.substring(bban, 1, 4))) == 1), "iban")
         .when(whole("phone"), "phone")
-        .when(whole("card") & (_luhn(_digits(found)) % 10 == 0), "card")
+        .when(_sound_card(found), "card")
         .when(found.rlike("^[A-Za-z0-9_+/-]{20,}$") & ~found.rlike("^[0-9 -]{1,19}$"), "secret")
     )
 
 
+def _sound_card(found: Column) -> Column:
+    return found.rlike(r"^\d(?:[ -]?\d){12,18}$") & (_luhn(_digits(found)) % 10 == 0)
+
+
+def _cards(run: Column) -> Column:
+    """A row of numbers as parts (value, card): from the left the longest sound card that starts at a number. After the
+    row's first number a card has groups of three digits or more, or any table of small numbers would hold some."""
+    def split(tokens: Column) -> Column:
+        joined = lambda i, n: F.regexp_replace(F.array_join(F.slice(tokens, i + 1, n), ""), "^[ -]", "")
+
+        def sound(value: Column, i: Column) -> Column:
+            return _sound_card(value) & ((i == 0) | ~value.rlike(r"\b\d{1,2}\b"))
+
+        def step(state: Column, i: Column) -> Column:
+            sizes = F.filter(F.sequence(F.least(F.lit(19), F.size(tokens) - i), F.lit(1), F.lit(-1)), lambda n: sound(joined(i, n), i))
+            size = F.when(i >= state["next"], F.get(sizes, F.lit(0)))
+            return F.when(size.isNull(), state).otherwise(F.struct(
+                F.concat(state["found"], F.array(F.struct(state["next"].alias("low"), i.alias("at"), size.alias("n")))).alias("found"),
+                (i + size).alias("next")))
+
+        def parts(state: Column) -> Column:
+            text = lambda low, n: F.array_join(F.slice(tokens, low + 1, n), "")
+            own = F.flatten(F.transform(state["found"], lambda f: F.array(
+                _part(F.concat(text(f["low"], f["at"] - f["low"]), F.regexp_extract(F.get(tokens, f["at"]), "^[ -]?", 0)), False),
+                _part(joined(f["at"], f["n"]), True))))
+            return F.concat(own, F.array(_part(text(state["next"], F.size(tokens) - state["next"]), False)))
+
+        none = F.array().cast("array<struct<low:int,at:int,n:int>>")
+        return F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), F.struct(none.alias("found"), F.lit(0).alias("next")), step, parts)
+
+    # Bound once by the lambda: the tokens are not found anew for each step.
+    return F.flatten(F.transform(F.array(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0))), split))
+
+
+def _part(value: Column, card: bool) -> Column:
+    return F.struct(value.alias("value"), F.lit(card).alias("card"))
+
+
+def _parts(found: Column) -> Column:
+    """A match as parts (value, kind): one, or of a row of numbers each card and what lies between."""
+    run = found.rlike(r"^\d++(?:[ -]\d++)++$") & (found.contains(" ") | (F.length(found) < 20))
+    kind = _kind(found)
+    one = F.array(F.struct(found.alias("value"), kind.alias("kind")))
+    return F.when(run & F.coalesce(~kind.isin("date", "ssn"), F.lit(True)), F.transform(_cards(found), lambda p: F.struct(
+        p["value"].alias("value"), F.when(p["card"], "card").alias("kind")))).otherwise(one)
+
+
 def _date(found: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(found, F.lit(p)) for p in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy"))).cast("date")
 
@@ -181,8 +258,9 @@ def pseudonymised(text: Column, key: str) -> tuple[Column, Column]:
     """(text with pseudonyms, kinds found in order). Most texts have no digit and no @ and are passed through."""
     suspect = text.rlike(r"[0-9@]|(?i:token|secret|passw|api.?key)")
     values = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    kinds = F.filter(F.transform(values, _kind), lambda k: k.isNotNull())
-    swapped = F.transform(values, lambda v: _pseudonym(v, _kind(v), key))
+    parts = F.transform(values, _parts)
+    kinds = F.filter(F.transform(F.flatten(parts), lambda p: p["kind"]), lambda k: k.isNotNull())
+    swapped = F.transform(parts, lambda own: F.array_join(F.transform(own, lambda p: _pseudonym(p["value"], p["kind"], key)), ""))
     gaps = F.split(text, ANY, -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, swapped, lambda g, s: F.array(F.coalesce(g, F.lit("")), F.coalesce(s, F.lit(""))))), "")
     none = F.array().cast("array<string>")

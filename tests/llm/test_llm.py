@@ -215,6 +215,27 @@ def test_pseudonyms(spark, empty):
     assert pii.findings(empty, "k").count() == 0
 
 
+def test_values_next_to_short_tokens(spark):
+    cards = ["4539578763621486", "4539 5787 6362 1486", "4539-5787-6362-1486", "378282246310005", "3782 822463 10005"]
+    ibans = ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68539007547034",
+             "PL61109010140000071219812874", "SE4550000000058398257466", "DE89 3704 0044 0532 0130 00"]
+    rows = [(before, value, after, ["card"]) for value in cards for before, after in (
+        ("pay ", " 12/26 or later"), ("pay ", " 123"), ("pay ", " 3 items"), ("no 12 ", " 7"), ("no 2023 ", "."), ("", " 1 2 3 4 5 6 7 8 9"))]
+    rows += [(before, value, after, ["iban"]) for value in ibans for before, after in (
+        ("", " BIC CAIXESBB"), ("to ", " EUR"), ("to ", " 42"), ("", " A1"), ("ID12 ", ""))]
+    rows += [("", cards[1], f" {value}", ["card", kind]) for value, kind in (
+        ("10.1.2.3", "ip"), ("1985-02-28", "date"), ("123-45-6789", "ssn"), (cards[0], "card"))]
+    rows += [("", ibans[0], f" {cards[1]}", ["iban", "card"]), ("", cards[0], f" 55 {ibans[1]}", ["card", "iban"]),
+             ("", ibans[2], f" {ibans[4]}", ["iban", "iban"])]
+    rows += [("1 2 " * 4000, cards[0], "", ["card"])]
+    table = spark.createDataFrame([(i, "".join(r[:3])) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.findings(table, "k").collect()}
+    for i, (before, value, after, kinds) in enumerate(rows):
+        assert value not in got[i].text and len(got[i].text) >= len(value), rows[i][:3]
+        assert len(kinds) == 1 or after.strip().split()[-1] not in got[i].text, rows[i][:3]
+        assert len(before) > 10000 or got[i].kinds == kinds, (rows[i], got[i])
+
+
 def test_feistel_permutes(spark):
     all_ = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     assert all_.select(pii.feistel(F.col("v"), pii.LOWER[:10], "t", "k")).distinct().count() == 1000
