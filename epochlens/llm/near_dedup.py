@@ -259,7 +259,7 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
                 shingle, weight = np.frombuffer(packed, np.uint64), np.frombuffer(weights, np.uint32).astype(np.int64)
                 order = np.lexsort((shingle, shared.value[shingle >> np.uint64(64 - HASHED)]))
                 passed = np.cumsum(weight[order])
-                stop = int(np.searchsorted(passed, (1 - threshold) * total * (1 - 1e-9), side="right")) + 1
+                stop = int(np.searchsorted(passed, (1 - threshold) * total * (1 + 1e-9), side="right")) + 1
                 picked.append(shingle[order[:stop]].view(np.int64))
                 before.append((passed - weight[order])[:stop])
             n = [len(x) for x in picked]

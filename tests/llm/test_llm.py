@@ -95,6 +95,24 @@ def test_near(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_contained_pairs_at_the_threshold(spark):
+    # With one component as the only band, a pair that shares a bucket with a smaller third node meets only in the second pass.
+    rows, groups = [], 60
+    for g in range(groups):
+        own = [f"w{g}x{i}" for i in range(14)]
+        rows += [(3 * g + k, " ".join(own[:n])) for k, n in enumerate((14, 12, 9))]  # 10, 8 and 5 shingles
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1).collect()}
+    bags = near_dedup.shingle_bags([t for _, t in rows], 5)
+    first = near_dedup.signatures(*bags, len(rows), 1)[:, 0]
+    key = near_dedup.multiset_keys(*bags, len(rows))[0].view(np.int64)
+    met = [g for g in range(groups) if first[3 * g] == first[3 * g + 1]]
+    assert any(first[3 * g + 2] == first[3 * g] and key[3 * g + 2] < min(key[3 * g], key[3 * g + 1]) for g in met)
+    for g in range(groups):
+        a, b, c = (found[3 * g + k] for k in range(3))
+        assert c == 3 * g + 2 and b == 3 * g + 1 and a == (b if g in met else 3 * g)
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(2)
     doc = np.repeat([0, 1], 40)
