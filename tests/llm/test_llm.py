@@ -315,7 +315,7 @@ def test_search(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {table} as select * from '/root/testdata/sf0.001/{table}.parquet'")
     want = con.execute(queries.SQL[name]).df()
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()[list(want.columns)]
