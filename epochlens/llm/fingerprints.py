@@ -207,7 +207,7 @@ def _compared(k: int, words: int):
 
 
 def succession(docs: DataFrame, k: int = 128, words: int = 5, text: str = "text", doc_id: str = "doc_id",
-               sample: int = 100) -> DataFrame:
+               sample: int = 40) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The
     table is read twice; only where rows repeat both doc_id and text must it have the same partitions both times, as a
     stored table has. ``sample`` keys a range decide on the borders; they only shape the ranges."""
@@ -219,7 +219,9 @@ def succession(docs: DataFrame, k: int = 128, words: int = 5, text: str = "text"
     body = body.select("order", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     key = ["order", "hash", "uid"]
     keys = cut_lineage(body.select(*key))
-    drawn = sorted(tuple(r) for r in keys.orderBy(F.xxhash64(*key), *key).limit(sample * count).collect())
+    # A share of the keys by their hash: about ``sample`` for each range reach the driver, from all tasks together.
+    share = min(1.0, sample * count / max(1, keys.count()))
+    drawn = sorted(tuple(r) for r in keys.where(F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).collect())
     ranges = Ranges(sorted({drawn[len(drawn) * i // count] for i in range(1, count)}) if drawn else [])
     first = {r["range"]: tuple(r["first"]) for r in keys.withColumn("range", _range_of(ranges, False)(*key)[0]["range"]).groupBy(
         "range").agg(F.min(F.struct(*key)).alias("first")).collect()}  # a row for each range
