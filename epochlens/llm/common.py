@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochlens.session import cut_lineage
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+LINKS_PER_TASK = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,25 +58,64 @@ def string_sizes(column) -> np.ndarray:
     return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+class HashFilter:
+    """A bitmap over the leading bits of a set of 64-bit hashes: a row whose bit is not set is certainly not of the set and
+    need not be moved to find that out. Sixteen bits for each hash (one stranger in sixteen passes), up to 2**29 bits or
+    64 MB, whatever the size of the set; a larger set fills the bitmap and more strangers pass, which an exact join then
+    removes. Tasks build the bitmap in parts of 4 KB."""
+    PART = 15
+
+    def __init__(self, hashes: DataFrame, most: int = 29):
+        name = hashes.columns[0]
+        count = hashes.count()
+        self.bits = min(most, max(self.PART, (16 * count).bit_length()))
+        place = F.shiftrightunsigned(F.col(name), 64 - self.bits)
+
+        def parts(frame: pd.DataFrame) -> pd.DataFrame:
+            flags = np.zeros(1 << HashFilter.PART, np.uint8)
+            flags[frame.place.to_numpy() & ((1 << HashFilter.PART) - 1)] = 1
+            return pd.DataFrame({"part": [int(frame.place.iloc[0]) >> HashFilter.PART], "flags": [np.packbits(flags).tobytes()]})
+
+        built = hashes.select(place.alias("place")).distinct().groupBy(F.shiftright("place", self.PART)).applyInPandas(
+            parts, "part int, flags binary")
+        flags = np.zeros(1 << (self.bits - 3), np.uint8)
+        size = 1 << (self.PART - 3)
+        for row in built.collect():
+            flags[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["flags"], np.uint8)
+        self.shared = hashes.sparkSession.sparkContext.broadcast(flags)
+
+    def __call__(self, hashed: Column) -> Column:
+        shared, shift = self.shared, np.uint64(64 - self.bits)
+
+        def known(hashes: pd.Series) -> pd.Series:
+            place = (hashes.to_numpy().astype(np.int64).view(np.uint64) >> shift).astype(np.int64)
+            return pd.Series((shared.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0)
+
+        return F.pandas_udf(known, "boolean")(hashed)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that occurs in a link between long ids: the smallest id of its connected
     component. Alternating large-star and small-star rounds until the link set stays the same; each round is
     a grouping with map-side minimum and one join, so a node with very many links is split by the skew join.
     """
-    edges = cut_lineage(
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    edges = cut_lineage(edges)
+    # As many tasks as the links fill: the rounds below make several small exchanges each.
+    tasks = max(8, -(-edges.count() // LINKS_PER_TASK))
+    edges = edges.coalesce(tasks)
     mark = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.u", "e.v").where("u <> v").distinct()
-        edges = cut_lineage(small)
+        ).select("e.u", "e.v").where("u <> v").coalesce(tasks).distinct()
+        edges = cut_lineage(small.coalesce(tasks))
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(now) == mark:
             break
@@ -85,13 +126,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def subtract(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``decisions`` (doc_id, fp of the text, kept; it may leave rows out) does not
-    keep. The rows to drop are few and are subtracted by key. Where decisions keep some of several rows with equal
-    doc_id and text, one of them stays."""
+    keep. Rows that no decision can concern stay where they are; only the others are moved and compared by key. Where
+    decisions keep some of several rows with equal doc_id and text, one of them stays."""
     row = decisions.groupBy(F.col("doc_id").alias("__d"), F.col("fp").alias("__f")).agg(
         F.max("kept").alias("any"), F.min("kept").alias("every"))
     row = cut_lineage(row.where("not every"))
+    concerned = HashFilter(row.select(F.xxhash64("__d", "__f").alias("h")))
     marked = docs.withColumn("__fp", F.xxhash64(whole(docs["text"])))
-    same = marked["doc_id"].eqNullSafe(F.col("__d")) & (marked["__fp"] == F.col("__f"))
-    left = marked.join(row.select("__d", "__f"), same, "left_anti")
-    tied = marked.join(row.where("any").select("__d", "__f"), same, "left_semi")
-    return left.unionByName(tied.dropDuplicates(["doc_id", "__fp"])).drop("__fp")
+    marked = marked.withColumn("__maybe", concerned(F.xxhash64(F.col("doc_id").cast("long"), F.col("__fp"))))
+    maybe = marked.where("__maybe")
+    same = maybe["doc_id"].eqNullSafe(F.col("__d")) & (maybe["__fp"] == F.col("__f"))
+    left = maybe.join(row.select("__d", "__f"), same, "left_anti")
+    tied = maybe.join(row.where("any").select("__d", "__f"), same, "left_semi").dropDuplicates(["doc_id", "__fp"])
+    return marked.where("not __maybe").unionByName(left).unionByName(tied).drop("__fp", "__maybe")

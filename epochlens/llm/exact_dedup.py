@@ -4,8 +4,9 @@
 2. Every partition sorts its distinct fingerprints, cuts them at the owners' range borders and sends each owner
    one Golomb-Rice coded list and a bitmap of what it holds more than once itself.
 3. An owner decodes its lists, finds what occurs twice and answers each sender with a bitmap over the list it sent.
-4. The sender's rows take their bit. Only rows with a set bit are suspects; only their texts are shuffled, folded
-   by (fingerprint, SHA-256, text) before the shuffle, and compared byte for byte.
+4. The sender's rows take their bit. Only rows with a set bit are suspects. Their fingerprints' leading bits go out as a
+   bitmap of bounded size (``HashFilter``), by which every sender thins its texts; what is left, the suspects and one
+   stranger in sixteen, is shuffled, folded by (fingerprint, SHA-256, text) before that, and compared byte for byte.
 
 Defined results: a null text is the empty text; a null doc_id orders below every number; of rows that repeat both
 text and doc_id, the one read first stays. Other columns, whatever their names, are not touched. An empty table
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochlens.llm.common import cut_lineage, subtract, whole
+from epochlens.llm.common import HashFilter, cut_lineage, subtract, whole
 
 LOWEST = -(2**63)
 
@@ -116,7 +117,8 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     once = suspects.groupBy("fp", "sha", "ord").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
     groups = once.groupBy("fp", "sha").agg(
         F.max("ord").alias("keep"), F.sum("n").alias("size"), F.max_by("uid", "ord").alias("keep_uid"))
-    texts = hashed.join(suspects.select("fp").distinct(), "fp", "left_semi").groupBy("fp", "sha", "text").agg(
+    prints = cut_lineage(suspects.select("fp").distinct())
+    texts = hashed.where(HashFilter(prints)(F.col("fp"))).join(prints, "fp", "left_semi").groupBy("fp", "sha", "text").agg(
         F.count("*").alias("n")).groupBy("fp", "sha").agg(F.count("*").alias("texts"))
     checked = groups.join(texts, ["fp", "sha"]).withColumn(
         "size", F.when(F.col("texts") == 1, F.col("size")).otherwise(

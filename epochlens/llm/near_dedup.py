@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epochlens.llm.common import GOLDEN, byte_slices, components, cut_lineage, mix, string_sizes, subtract, whole
+from epochlens.llm.common import GOLDEN, HashFilter, byte_slices, components, cut_lineage, mix, string_sizes, subtract, whole
 
 LOWEST = -(2**63)
 SLICE_BYTES = 4 << 20
@@ -194,7 +194,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                           .where("low < high").select("band", "low"))
     members = cut_lineage(entries.join(buckets, "band").groupBy("band", "key").agg(F.min("low").alias("low")))
     involved = members.select("key").distinct().join(nodes, "key")
-    source = body.join(involved.select(F.col("doc_id").alias("_d")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    # Texts that are not needed stay where they are: a bitmap of the ids sorts most of them out before the join.
+    wanted = cut_lineage(involved.select(F.col("doc_id").alias("_d")).distinct())
+    source = body.where(HashFilter(wanted.select(F.xxhash64("_d").alias("h")))(F.xxhash64("doc_id"))).join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     sets = source.select("text").mapInArrow(
         _bags(words), "key long, key2 long, shingles binary, weights binary, total long, " + ", ".join(f"{b} long" for b in BITS))
     sets = sets.join(involved.select("key", "key2"), ["key", "key2"], "left_semi").dropDuplicates(["key"])
