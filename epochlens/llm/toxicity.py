@@ -190,6 +190,8 @@ def _votes(frames):
             seen |= {w[:k] + "*" for w in words for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1)}
             votes[int(label)].update(seen)
         entries = list(votes[0] | votes[1])
+        if not entries:
+            continue
         yield pd.DataFrame({"entry": entries, "clean": [votes[0][e] for e in entries], "toxic": [votes[1][e] for e in entries]})
 
 
@@ -257,11 +259,13 @@ def _measured(learned: dict[str, float]):
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = 20000) -> Model:
     """Learn from at most ``sample`` labelled documents, taken in the order of a hash of their ids. ``usable`` is a
-    condition on doc_id that keeps held-out rows out. Documents with equal texts count once."""
+    condition on doc_id that keeps held-out rows out. Documents with equal texts count once, as toxic if any is."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known if usable is None else known.where(usable)
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", whole().alias("text")).join(drawn, "doc_id").dropDuplicates(["text"]).select("text", "toxic")
+    # At most ``sample`` rows of two numbers are broadcast; no text moves to find out whether it was drawn.
+    rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(cut_lineage(drawn)), "doc_id").groupBy("text").agg(
+        F.max("toxic").alias("toxic"))
     rows = cut_lineage(rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not (sizes.get(0) and sizes.get(1)):
