@@ -225,15 +225,14 @@ def _kth(k: int):
 
 
 def _promising(frames):
-    for frame in frames:
-        c, d = np.array(frame.q_centre.tolist()), np.array(frame.centre.tolist())
-        if not len(frame):
-            continue
-        r, s = frame.q_radius.to_numpy(), frame.radius.to_numpy()
-        reach = (c * d).sum(1)
-        slack = np.sqrt((c * c).sum(1)) * s + r * (np.sqrt((d * d).sum(1)) + s)
-        keep = reach + slack + 1e-6 * (1 + np.abs(reach) + slack) >= frame.worst.to_numpy()
-        yield pd.DataFrame({"group": frame.group[keep], "block": frame.block[keep]})
+    for mixed in frames:
+        for _, frame in mixed.groupby("dim"):
+            c, d = np.array(frame.q_centre.tolist()), np.array(frame.centre.tolist())
+            r, s = frame.q_radius.to_numpy(), frame.radius.to_numpy()
+            reach = (c * d).sum(1)
+            slack = np.sqrt((c * c).sum(1)) * s + r * (np.sqrt((d * d).sum(1)) + s)
+            keep = reach + slack + 1e-6 * (1 + np.abs(reach) + slack) >= frame.worst.to_numpy()
+            yield pd.DataFrame({"group": frame.group[keep], "block": frame.block[keep]})
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, vector: str = "embedding", vec_id: str = "vec_id",
