@@ -1,9 +1,10 @@
 """Chat formatting: roles recovered by a hidden Markov model, then one canonical rendering per turn.
 
 States are the roles system, user and assistant; an observation is a line of a turn. Emissions come from a speaker
-marker at the line's start ("User:", "Q:", "### Assistant"), the given role if it is one, a question mark and the
+marker at the line's start ("User:", "Q:", "[Bot]", "### Assistant"), the given role if it is one, a question mark and the
 line's length; transitions from whether a turn or a marked line begins. Lengths and transitions are counted over all
-turns. The best path is found by Viterbi. A conversation may be of any length: its lines are cut into chunks, every
+turns. The best path is found by Viterbi. A conversation may be of any length: its turns are dealt out by ranges of
+(conversation, turn), not by conversation, and cut into chunks of at most ``CHUNK`` turns by their place there; every
 chunk becomes a max-plus transfer matrix, one pass over the matrices fixes the states at the chunks' borders and each
 chunk is then traced back on its own.
 
@@ -31,7 +32,12 @@ MARKERS = {
     "assistant": "assistant ai bot a answer agent model gpt response".split(),
 }
 NAMES = {name: i for i, role in enumerate(ROLES) for name in MARKERS[role]}
-MARKER = re.compile(r"\s*(?:[#*\[<>|(-]+\s*)?(" + "|".join(sorted(NAMES, key=len, reverse=True)) + r")(?:\s*[\])>|*]+)*\s*(?::|>|\n|$)(?:\*\*)?\s*", re.I)
+# A marker has a colon, or stands in brackets, or alone in a line as a heading or in bold. A bare word is text.
+NAMED = "|".join(sorted(NAMES, key=len, reverse=True))
+LONG = "|".join(sorted((n for n in NAMES if len(n) > 2 or n == "ai"), key=len, reverse=True))
+MARKER = re.compile(
+    rf"\s*(?:(?:[#>-]+\s*)?(?:\*\*|__)?({NAMED})(?:\*\*|__)?\s*:(?:\*\*|__)?"
+    rf"|<\|\s*({LONG})\s*\|>:?|\[\s*({LONG})\s*\]:?|#+\s*({LONG})\s*$|\*\*({LONG})\*\*\s*$)\s*", re.I)
 CHUNK = 256
 STAY = np.log(np.where(np.eye(3) > 0, 0.998, 0.001))
 MARKED = 9.0
@@ -43,7 +49,7 @@ def read_lines(text: str) -> list[tuple[int | None, str]]:
     lines = []
     for line in text.split("\n"):
         found = MARKER.match(line)
-        lines.append((NAMES[found.group(1).lower()], line[found.end():]) if found else (None, line))
+        lines.append((NAMES[found[found.lastindex].lower()], line[found.end():]) if found else (None, line))
     return lines
 
 
@@ -116,7 +122,7 @@ def counted(turns: DataFrame) -> dict:
 
 def _matrices(model: dict):
     def matrices(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["turn", "text"], na_position="first")
+        frame = frame.sort_values("place")
         scores, starts, _, _ = observe(frame, model)
         held = transfer(scores, starts, np.array(model["switch"]))
         return pd.DataFrame({"conv": [frame.conv_id.iloc[0]], "chunk": [int(frame.chunk.iloc[0])], "m": [held.ravel().tolist()]})
@@ -144,7 +150,7 @@ def _borders(model: dict):
 
 def _rendered(model: dict):
     def rendered(frame: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["turn", "text"], na_position="first")
+        frame = frame.sort_values("place")
         scores, starts, turns, parsed = observe(frame, model)
         path = trace(scores, starts, np.array(model["switch"]), np.array(border.entry.iloc[0], float), int(border["end"].iloc[0]))
         out, at = [], 0
@@ -169,9 +175,10 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     turns = conversations.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), whole().alias("text"),
     ).groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    turns = cut_lineage(turns)
-    # Chunks hold about CHUNK turns: by the turn's number, which is bounded for each conversation and number.
-    turns = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-1)).cast("long"))
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "text", "role")]
+    parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = turns.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    turns = cut_lineage(turns).withColumn("chunk", F.floor(F.col("place") / CHUNK))
     model = counted(turns)
     matrices = turns.groupBy("conv_id", "chunk").applyInPandas(_matrices(model), "conv long, chunk long, m array<double>")
     borders = matrices.groupBy("conv").applyInPandas(_borders(model), "conv long, chunk long, entry array<double>, end int")
