@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from epochlens.llm import exact_dedup, near_dedup, packing, pii, toxicity
 from epochlens.llm.common import shared_folder, table
-from epochlens.llm.queries import PSEUDONYM_KEY, vocabulary
+from epochlens.llm.queries import PSEUDONYM_KEY, held_out, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out())
     return toxicity.reject(docs, model).select(*COLUMNS)
 
 
