@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,38 +59,31 @@ def string_sizes(column) -> np.ndarray:
 
 class HashFilter:
     """A bitmap over the leading bits of a set of 64-bit hashes: a row whose bit is not set is certainly not of the set and
-    need not be moved to find that out. Sixteen bits for each hash (one stranger in sixteen passes), up to 2**29 bits or
-    64 MB, whatever the size of the set; a larger set fills the bitmap and more strangers pass, which an exact join then
-    removes. Tasks build the bitmap in parts of 4 KB."""
-    PART = 15
+    need not be moved to find that out. Sixteen bits for each hash (one stranger in sixteen passes), up to 2**27 bits,
+    which are at most two million words of 64 bits and the only thing that is broadcast, whatever the size of the set; a
+    larger set fills the bitmap and more strangers pass, which an exact join then removes."""
 
-    def __init__(self, hashes: DataFrame, most: int = 29):
-        name = hashes.columns[0]
-        count = hashes.count()
-        self.bits = min(most, max(self.PART, (16 * count).bit_length()))
-        place = F.shiftrightunsigned(F.col(name), 64 - self.bits)
+    def __init__(self, hashes: DataFrame, most: int = 27):
+        self.bits = min(most, max(6, (16 * hashes.count()).bit_length()))
+        word, bit = self._place(F.col(hashes.columns[0]))
+        self.words = cut_lineage(hashes.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(
+            F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__set")))
 
-        def parts(frame: pd.DataFrame) -> pd.DataFrame:
-            flags = np.zeros(1 << HashFilter.PART, np.uint8)
-            flags[frame.place.to_numpy() & ((1 << HashFilter.PART) - 1)] = 1
-            return pd.DataFrame({"part": [int(frame.place.iloc[0]) >> HashFilter.PART], "flags": [np.packbits(flags).tobytes()]})
+    def _place(self, hashed: Column) -> tuple[Column, Column]:
+        place = F.shiftrightunsigned(hashed, 64 - self.bits)
+        return F.shiftrightunsigned(place, 6), place.bitwiseAND(63).cast("int")
 
-        built = hashes.select(place.alias("place")).distinct().groupBy(F.shiftright("place", self.PART)).applyInPandas(
-            parts, "part int, flags binary")
-        flags = np.zeros(1 << (self.bits - 3), np.uint8)
-        size = 1 << (self.PART - 3)
-        for row in built.collect():
-            flags[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["flags"], np.uint8)
-        self.shared = hashes.sparkSession.sparkContext.broadcast(flags)
+    def _met(self, hashed: Column) -> Column:
+        word, bit = self._place(hashed)
+        return (word == F.col("__word")) & (F.getbit("__set", bit) == 1)
 
-    def __call__(self, hashed: Column) -> Column:
-        shared, shift = self.shared, np.uint64(64 - self.bits)
+    def passing(self, df: DataFrame, hashed: Column) -> DataFrame:
+        """The rows that may be of the set, and all that are."""
+        return df.join(F.broadcast(self.words), self._met(hashed), "left_semi")
 
-        def known(hashes: pd.Series) -> pd.Series:
-            place = (hashes.to_numpy().astype(np.int64).view(np.uint64) >> shift).astype(np.int64)
-            return pd.Series((shared.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0)
-
-        return F.pandas_udf(known, "boolean")(hashed)
+    def strangers(self, df: DataFrame, hashed: Column) -> DataFrame:
+        """The other rows."""
+        return df.join(F.broadcast(self.words), self._met(hashed), "left_anti")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -133,9 +125,9 @@ def subtract(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     row = cut_lineage(row.where("not every"))
     concerned = HashFilter(row.select(F.xxhash64("__d", "__f").alias("h")))
     marked = docs.withColumn("__fp", F.xxhash64(whole(docs["text"])))
-    marked = marked.withColumn("__maybe", concerned(F.xxhash64(F.col("doc_id").cast("long"), F.col("__fp"))))
-    maybe = marked.where("__maybe")
+    hashed = F.xxhash64(F.col("doc_id").cast("long"), F.col("__fp"))
+    maybe = concerned.passing(marked, hashed)
     same = maybe["doc_id"].eqNullSafe(F.col("__d")) & (maybe["__fp"] == F.col("__f"))
     left = maybe.join(row.select("__d", "__f"), same, "left_anti")
     tied = maybe.join(row.where("any").select("__d", "__f"), same, "left_semi").dropDuplicates(["doc_id", "__fp"])
-    return marked.where("not __maybe").unionByName(left).unionByName(tied).drop("__fp", "__maybe")
+    return concerned.strangers(marked, hashed).unionByName(left).unionByName(tied).drop("__fp")

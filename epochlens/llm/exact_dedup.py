@@ -118,7 +118,7 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     groups = once.groupBy("fp", "sha").agg(
         F.max("ord").alias("keep"), F.sum("n").alias("size"), F.max_by("uid", "ord").alias("keep_uid"))
     prints = cut_lineage(suspects.select("fp").distinct())
-    texts = hashed.where(HashFilter(prints)(F.col("fp"))).join(prints, "fp", "left_semi").groupBy("fp", "sha", "text").agg(
+    texts = HashFilter(prints).passing(hashed, F.col("fp")).join(prints, "fp", "left_semi").groupBy("fp", "sha", "text").agg(
         F.count("*").alias("n")).groupBy("fp", "sha").agg(F.count("*").alias("texts"))
     checked = groups.join(texts, ["fp", "sha"]).withColumn(
         "size", F.when(F.col("texts") == 1, F.col("size")).otherwise(

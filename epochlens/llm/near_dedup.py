@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     involved = members.select("key").distinct().join(nodes, "key")
     # Texts that are not needed stay where they are: a bitmap of the ids sorts most of them out before the join.
     wanted = cut_lineage(involved.select(F.col("doc_id").alias("_d")).distinct())
-    source = body.where(HashFilter(wanted.select(F.xxhash64("_d").alias("h")))(F.xxhash64("doc_id"))).join(
+    source = HashFilter(wanted.select(F.xxhash64("_d").alias("h"))).passing(body, F.xxhash64("doc_id")).join(
         wanted, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     sets = source.select("text").mapInArrow(
         _bags(words), "key long, key2 long, shingles binary, weights binary, total long, " + ", ".join(f"{b} long" for b in BITS))
