@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from epochlens.llm.common import GOLDEN, HashFilter, byte_slices, components, cut_lineage, mix, string_sizes, subtract, whole
 
 LOWEST = -(2**63)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 HASHED = 16
 PARITY = 8
 BITS = [f"p{i}" for i in range(PARITY)]

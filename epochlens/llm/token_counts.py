@@ -50,7 +50,7 @@ def splits_safely(path: str) -> bool:
 
 class PieceTable:
     """Ids of texts by their pieces, as little-endian 32-bit numbers in bytes."""
-    ENTRIES, LONGEST = 500_000, 48
+    ENTRIES, LONGEST = 250_000, 48
 
     def __init__(self, encode_batch):
         self.encode_batch = encode_batch

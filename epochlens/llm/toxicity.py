@@ -119,7 +119,7 @@ def grammar() -> Transducer:
 
 class Matcher(dict):
     """word -> index into ``classes``; filled on first sight, emptied when it grows large."""
-    LIMIT = 400_000
+    LIMIT = 150_000
     TRIM = re.compile(r"\W+|_+")
 
     def __init__(self, learned: dict[str, float]):
