@@ -9,8 +9,9 @@ from epochlens.functions import paths
 from epochlens.functions.ints import floor_div
 from epochlens.operators import compare, evaluate, fileaware, islands, stats, trust, verify
 from epochlens.operators.delta import block_extents
-from epochlens.operators.intervals import overlap_join, stab_join
+from epochlens.operators.intervals import longest_overlap, overlap_join, stab_join
 from epochlens.operators.versions import latest_at, latest_before, version_pairs
+from epochlens.sources.mutations import latest_epoch
 
 # ---- versions: events as block versions (user = block, day = epoch, event = version number) ----
 
@@ -32,29 +33,35 @@ def _(spark, d):
     return _mutations(spark, d).filter(F.col("day").between(5, 9)).select("id").distinct()
 
 
+def _window(spark, d):
+    """The later half of all versions as the window (S, E)."""
+    last = latest_epoch(_mutations(spark, d))
+    return last // 2, last
+
+
 @query("asof_before", """
     SELECT user_id AS id, arg_max(value, event_id) AS value, max(event_id) AS epoch
-    FROM events WHERE event_id < 5000 GROUP BY user_id""")
+    FROM events WHERE event_id < (SELECT max(event_id) // 2 FROM events) GROUP BY user_id""")
 def _(spark, d):
-    return latest_before(_mutations(spark, d), 5000, "value")
+    return latest_before(_mutations(spark, d), _window(spark, d)[0], "value")
 
 
 @query("asof_end", """
     SELECT user_id AS id, arg_max(value, event_id) AS value, max(event_id) AS epoch
-    FROM events WHERE event_id <= 7500 GROUP BY user_id""")
+    FROM events GROUP BY user_id""")
 def _(spark, d):
-    return latest_at(_mutations(spark, d), 7500, "value")
+    return latest_at(_mutations(spark, d), _window(spark, d)[1], "value")
 
 
 @query("changed_values", """
     WITH p AS (
       SELECT user_id AS id,
-             coalesce(arg_max(value, event_id) FILTER (WHERE event_id < 5000), 0.0) AS old,
+             coalesce(arg_max(value, event_id) FILTER (WHERE event_id < (SELECT max(event_id) // 2 FROM events)), 0.0) AS old,
              arg_max(value, event_id) AS new
-      FROM events WHERE event_id <= 7500 GROUP BY user_id)
+      FROM events GROUP BY user_id)
     SELECT id, old, new FROM p WHERE old <> new""")
 def _(spark, d):
-    pairs = version_pairs(_mutations(spark, d), 5000, 7500, "value", F.lit(0.0))
+    pairs = version_pairs(_mutations(spark, d), *_window(spark, d), "value", F.lit(0.0))
     return pairs.filter(F.col("old") != F.col("new"))
 
 
@@ -189,6 +196,21 @@ def _(spark, d):
     )
 
 
+@query("longest_overlap", """
+    WITH a AS (SELECT DISTINCT l_linenumber AS k, l_partkey * 10 AS s1, l_partkey * 10 + 39 AS e1 FROM lineitem),
+    b AS (SELECT p_size % 7 + 1 AS k, p_partkey * 10 AS s2, p_partkey * 10 + p_size AS e2, p_partkey FROM part),
+    j AS (SELECT a.*, least(e1, e2) - greatest(s1, s2) + 1 AS overlap, count(*) OVER (PARTITION BY a.k, s1) AS spans, p_partkey,
+                 row_number() OVER (PARTITION BY a.k, s1 ORDER BY least(e1, e2) - greatest(s1, s2) DESC, s2, p_partkey) AS place
+          FROM a JOIN b ON a.k = b.k AND s1 <= e2 AND s2 <= e1)
+    SELECT k, s1, e1, overlap, spans, p_partkey FROM j WHERE place = 1""")
+def _(spark, d):
+    first = F.col("l_partkey") * 10
+    a = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("k"), first.alias("s1"), (first + 39).alias("e1")).distinct()
+    at = F.col("p_partkey") * 10
+    b = table(spark, d, "part").select((F.col("p_size") % 7 + 1).alias("k"), at.alias("s2"), (at + F.col("p_size")).alias("e2"), "p_partkey")
+    return longest_overlap(a, b, ["k"], ("s1", "e1"), ("s2", "e2"), ["p_partkey"], bucket=256)
+
+
 @query("range_chunks", """
     WITH r AS (SELECT 'supp-' || l_suppkey AS file_path, l_partkey * 700 AS s,
                       l_partkey * 700 + CAST(l_quantity AS BIGINT) * 40 AS e FROM lineitem)

@@ -186,5 +186,36 @@ def test_changed_blocks_with_a_large_dirty_set(spark, monkeypatch):
     dirty = muts.filter("epoch = 20 AND id < 5").select("id").distinct()
     key = lambda df: sorted((r["block_id"], r["old"][0], r["new"][0]) for r in df.collect())
     small = key(changed_blocks(muts, dirty, 20, 20))
-    monkeypatch.setattr(versions, "DIRTY_BROADCAST", 1)
+    monkeypatch.setattr(versions, "FETCH_BROADCAST", 1)
     assert key(changed_blocks(muts, dirty, 20, 20)) == small == [(i, 19, 20) for i in range(5)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 1])
+def test_no_payload_is_aggregated(spark, monkeypatch, bound):
+    from epochlens.operators import versions
+    from epochlens.operators.scan import ScanConfig, suspicious_regions
+
+    monkeypatch.setattr(versions, "FETCH_BROADCAST", bound)
+    b = lambda v: bytearray([v] * 512)
+    rows = [(i, b((3 * i + e) % 7), e) for i in range(50) for e in range(1, 9) if (i + e) % 3]
+    muts = spark.createDataFrame(rows, "id bigint, block binary, epoch int")
+    dirty = muts.filter("epoch between 4 and 6").select("id").distinct()
+    changed = changed_blocks(muts, dirty, 4, 6)
+    restored = versions.restorable_blocks(muts, muts.filter("id % 5 <> 0").select("epoch", "id"), 6)
+    for df in (changed, restored, versions.latest_before(muts, 4)):
+        assert "SortAggregate" not in plan_of(df) and "ObjectHashAggregate" not in plan_of(df)
+    assert "SortAggregate" not in plan_of(suspicious_regions(extent_groups(changed), ScanConfig()))
+    held = {}
+    for i, block, e in rows:
+        held.setdefault(i, {})[e] = bytes(block)
+    pick = lambda v, last: v[max(e for e in v if e <= last)] if min(v) <= last else bytes(512)
+    want = {i: (pick(v, 3), pick(v, 6)) for i, v in held.items() if any(4 <= e <= 6 for e in v)}
+    got = {r.block_id: (bytes(r.old), bytes(r.new)) for r in changed.collect()}
+    assert got == {i: p for i, p in want.items() if p[0] != p[1]} and got
+    assert {r.id: bytes(r.block) for r in restored.collect()} == {i: pick(v, 6) for i, v in held.items() if i % 5}
+    before = {r.id: (r.epoch, bytes(r.block)) for r in versions.latest_before(muts, 4).collect()}
+    assert before == {i: (max(e for e in v if e < 4), pick(v, 3)) for i, v in held.items()}
