@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Keyed state with several parts needs a store with column families.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Batches are bounded by bytes so that multi-megabyte files cannot build a huge Arrow batch.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",

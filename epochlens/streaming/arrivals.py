@@ -1,5 +1,6 @@
-"""Epoch arrival as a file stream: new mutation files are appended to the epoch-partitioned table
-as they show up. The stream's own checkpoint takes the place of the skip-if-present test."""
+"""Epoch arrival as a file stream: new mutation files are added to a table as they show up. The stream's own checkpoint
+takes the place of the skip-if-present test. Every micro-batch is a partition of its own, so no epoch is rewritten and a
+replayed batch replaces only itself; ``read_arrived`` lets the newest batch win where a block came twice."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from epochlens import schemas
 from epochlens.session import cut_lineage
 from epochlens.sinks.device import write_mutation_table
 from epochlens.sources.mutations import EPOCH_IN_NAME, bytes_of
+from epochlens.streaming.versions import append_batch, current
 
 
 def arriving_mutations(spark: SparkSession, root: str) -> DataFrame:
@@ -24,25 +26,32 @@ def arriving_mutations(spark: SparkSession, root: str) -> DataFrame:
 
 
 def merge_epochs(arrived: DataFrame, table: str) -> None:
-    """Add a batch to the epochs it belongs to. Parts of one epoch may arrive in several runs, and a replayed batch
-    adds nothing new. The merged rows are written out first, as Spark does not overwrite what it still reads."""
+    """Merge a batch into an ``epoch=<e>/`` table. Parts of one epoch may arrive in several runs, a replayed batch
+    adds nothing new, and a block that is sent again replaces the one that was held. The merged rows are written out
+    first, as Spark does not overwrite what it still reads."""
     spark = arrived.sparkSession
     try:
         held = spark.read.parquet(table)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        write_mutation_table(arrived.distinct(), table)
+        write_mutation_table(arrived.dropDuplicates(["id", "epoch"]), table)
         return
     epochs = arrived.select("epoch").distinct()
-    before = held.join(epochs, "epoch", "left_semi").select(*arrived.columns)
-    write_mutation_table(cut_lineage(before.unionByName(arrived).distinct()), table)
+    before = held.join(epochs, "epoch", "left_semi").join(arrived.select("id", "epoch"), ["id", "epoch"], "left_anti")
+    merged = before.select(*arrived.columns).unionByName(arrived.dropDuplicates(["id", "epoch"]))
+    write_mutation_table(cut_lineage(merged), table)
+
+
+def read_arrived(spark: SparkSession, table: str) -> DataFrame:
+    """(id, block, epoch) of a table written by :func:`ingest`, one row for each (id, epoch)."""
+    return current(spark.read.parquet(table)).select("id", "block", "epoch")
 
 
 def ingest(spark: SparkSession, root: str, table: str, checkpoint: str) -> StreamingQuery:
     """Process everything that has arrived and stop."""
     return (
         arriving_mutations(spark, root).writeStream
-        .foreachBatch(lambda df, _: merge_epochs(df, table))
+        .foreachBatch(lambda df, batch: append_batch(df.dropDuplicates(["id", "epoch"]), table, batch))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -173,6 +173,53 @@ def test_stream_ingest(spark, snapshot, tmp_path):
     assert [(r["epoch"], r["count"]) for r in got] == [(1, 64), (3, 3)]
 
 
+def test_corrected_block_replaces_the_old_one(spark, tmp_path):
+    table, schema = str(tmp_path / "corrected"), "id long, block binary, epoch int"
+    merge_epochs(spark.createDataFrame([(1, bytearray(b"a"), 5), (2, bytearray(b"b"), 5)], schema), table)
+    merge_epochs(spark.createDataFrame([(1, bytearray(b"c"), 5)] * 2, schema), table)
+    assert sorted((r.id, bytes(r.block)) for r in spark.read.parquet(table).collect()) == [(1, b"c"), (2, b"b")]
+
+
+def test_versions_stream_with_late_epochs(spark, tmp_path):
+    from epochlens.operators.versions import changed_blocks
+    from epochlens.streaming import versions
+    from epochlens.streaming.arrivals import arriving_mutations, read_arrived
+
+    rnd = random.Random(5)
+    truth, root, log = {}, tmp_path / "in", str(tmp_path / "log")
+    root.mkdir()
+    windows = spark.createDataFrame([(2, 3), (3, 6), (6, 6)], "start_epoch int, end_epoch int")
+    batch_windows = []
+    for step, epoch in enumerate([1, 4, 6, 2, 3, 5]):  # 2, 3 and 5 are late
+        blocks = {i: bytes([rnd.randrange(3)]) * 512 for i in range(24) if rnd.random() < 0.6}
+        truth |= {(i, epoch): b for i, b in blocks.items()}
+        write_epoch(root, epoch, blocks, 24)
+        q = versions.follow(arriving_mutations(spark, str(root)), log, str(tmp_path / "ck"))
+        assert q.awaitTermination(120)
+        q = ingest(spark, str(root), str(tmp_path / "table"), str(tmp_path / "ck2"))
+        assert q.awaitTermination(120)
+        rows = versions.read_log(spark, log)
+        newest = rows.filter(rows.batch == rows.agg({"batch": "max"}).first()[0])
+        batch_windows.append({(r.start_epoch, r.end_epoch) for r in versions.affected_windows(newest, windows).collect()})
+    rows = versions.read_log(spark, log)
+    muts = spark.createDataFrame([(i, bytearray(b), e) for (i, e), b in truth.items()], "id bigint, block binary, epoch int")
+    key = lambda df: sorted((r.block_id, r.extent_id, bytes(r.old), bytes(r.new)) for r in df.collect())
+    for start, end in ((1, 6), (2, 3), (3, 6), (6, 6), (4, 5)):
+        dirty = muts.filter(f"epoch between {start} and {end}").select("id").distinct()
+        assert key(versions.window_changes(rows, start, end)) == key(changed_blocks(muts, dirty, start, end)) != []
+    by_id = {}
+    for i, e in sorted(truth):
+        by_id.setdefault(i, []).append(e)
+    assert sorted((r.id, r.epoch, r.before) for r in versions.current(rows).collect()) == [
+        (i, e, None if k == 0 else es[k - 1]) for i, es in sorted(by_id.items()) for k, e in enumerate(es)]
+    # Epoch 2 arrives after 4 and 6: it revises its successors, and so windows that do not hold it.
+    assert batch_windows[0] == set() and batch_windows[2] == {(3, 6), (6, 6)} and batch_windows[3] >= {(2, 3), (3, 6)}
+    assert {(r.id, r.epoch): bytes(r.block) for r in read_arrived(spark, str(tmp_path / "table")).collect()} == truth
+    # Nothing was rewritten: each batch holds only rows that came or changed with it.
+    per_batch = {r.batch: r["count"] for r in rows.groupBy("batch").count().collect()}
+    assert sum(per_batch.values()) < 2 * len(truth) and versions.read_log(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_small_helpers(spark, tmp_path):
     assert parse_formats("csv, parquet") == ("csv", "parquet") and parse_formats("none") == () == parse_formats("")
     with pytest.raises(ValueError):
