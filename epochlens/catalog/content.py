@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epochlens.catalog.registry import query, table
+from epochlens.catalog.scansql import adaptive_sql
+from epochlens.functions import tables
 from epochlens.functions.bytestats import byte_chi2, byte_entropy, byte_stats, printable_ratio, utf8_bytes
 from epochlens.functions.text import TEXT_PUNCTUATION, utf8_error_count
+from epochlens.operators import chunked
 from epochlens.operators.scan import ScanConfig, scan_content
 from epochlens.operators.windows import content_verdicts, text_verdicts
 from epochlens.session import spread
@@ -187,7 +190,33 @@ def _(spark, d):
     )
 
 
-@query("adaptive_scan")
+@query("fixed_windows", GRID_SQL)
 def _(spark, d):
-    cfg = ScanConfig(stride=4, min_expansions=2, max_chi2_var=75.0)
-    return scan_content(_files(spark, d), "doc_id", "content", cfg)
+    tables.register(spark)
+    return spark.sql("""
+        SELECT f.doc_id, w.start, w.end_exclusive, w.chi2_final
+        FROM {files} f, LATERAL fixed_windows(f.content, 16, 350D) w""", files=_files(spark, d))
+
+
+@query("chunked_verdict", _verdict_sql(512, 256, "overlap", "chi2", 6000))
+def _(spark, d):
+    # Chunks of 1,000 bytes, with the rest of the last window behind each.
+    files = _files(spark, d).withColumnRenamed("doc_id", "file_path")
+    v = chunked.content_verdicts(chunked.cut_chunks(files, 1000, 511), mode="chi2", window=512, stride=256, tail_mode="overlap",
+                                 chi2_threshold=6000.0).withColumnRenamed("file_path", "doc_id")
+    return v.select(*[F.round(c, 4).alias(c) if c in ("min_score", "max_score") else F.col(c) for c in VERDICT])
+
+
+ADAPTIVE = ScanConfig(stride=4, min_expansions=2, max_chi2_var=75.0)
+
+
+@query("adaptive_scan", f"""
+    WITH RECURSIVE base AS (
+        SELECT doc_id AS id, octet_length(encode(text)) AS n,
+               list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::UTINYINT) AS b FROM documents),
+    {adaptive_sql(ADAPTIVE)}
+    SELECT id AS doc_id, start, stop AS end_exclusive, round(lo, 6) AS chi2_min, round(hi, 6) AS chi2_max, round(var, 6) AS chi2_var,
+           round(final, 6) AS chi2_final FROM stretch""")
+def _(spark, d):
+    scores = ["chi2_min", "chi2_max", "chi2_var", "chi2_final"]
+    return scan_content(_files(spark, d), "doc_id", "content", ADAPTIVE).withColumns({c: F.round(c, 6) for c in scores})

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epochlens.catalog.registry import query, table
+from epochlens.catalog.scansql import adaptive_sql
 from epochlens.functions.bytestats import utf8_bytes
 from epochlens.functions.ints import ceil_div
 from epochlens.config import DetectConfig
-from epochlens.operators import fileaware
+from epochlens.operators import chunked, fileaware, trust
 from epochlens.operators.delta import delta_blocks, extent_groups
 from epochlens.operators.intervals import map_blocks
-from epochlens.operators.scan import ScanConfig, suspicious_regions
+from epochlens.operators.scan import ScanConfig, extent_metrics, suspicious_regions
 from epochlens.operators.versions import changed_blocks, restorable_blocks
 from epochlens.plans.detect import detect
 from epochlens.session import spread
@@ -184,12 +185,42 @@ def _(spark, d):
     )
 
 
-@query("detect_regions")
+ADAPTIVE = ScanConfig(stride=4, min_expansions=2, max_chi2_var=75.0)
+
+
+@query("detect_regions", f"""
+    WITH RECURSIVE {DELTA_SQL},
+    rh AS (SELECT extent_id, min(id) * 512 AS run_at, string_agg(w, '' ORDER BY id) AS hx FROM r GROUP BY extent_id, run),
+    dl AS (SELECT extent_id, row_number() OVER (PARTITION BY extent_id ORDER BY a) - 1 AS dn, a, b AS d_end, b - a AS n,
+                  substr(hx, 2 * (a - run_at) + 1, 2 * (b - a)) AS dx FROM d JOIN rh USING (extent_id, run_at)),
+    base AS (SELECT a AS id, list_transform(regexp_extract_all(dx, '..'), lambda x: ('0x' || x)::UTINYINT) AS b, n FROM dl),
+    {adaptive_sql(ADAPTIVE)},
+    reg AS (SELECT extent_id, dn, a, a + start AS x, a + stop - 1 AS y, lo, hi, var, final FROM stretch JOIN dl ON id = a)
+    SELECT extent_id, CAST(dn AS INTEGER) AS delta_block_id, x // 512 AS lba_start_block, y // 512 AS lba_end_block,
+           x AS byte_start, y AS byte_end_inclusive, CAST(x // 512 - a // 512 AS INTEGER) AS block_idx_start,
+           CAST(y // 512 - a // 512 AS INTEGER) AS block_idx_end,
+           '[' || array_to_string(range(x // 512, y // 512 + 1), ',') || ']' AS block_ids,
+           CAST(x % 512 AS INTEGER) AS first_block_offset, CAST(y % 512 AS INTEGER) AS last_block_offset,
+           CAST(y // 512 - x // 512 + 1 AS INTEGER) AS num_blocks, round(lo, 6) AS chi2_min, round(hi, 6) AS chi2_max,
+           round(var, 6) AS chi2_var, round(final, 6) AS chi2_final
+    FROM reg""")
 def _(spark, d):
-    cfg = ScanConfig(stride=4, min_expansions=2, max_chi2_var=75.0)
-    return suspicious_regions(extent_groups(_changed(spark, d)), cfg).withColumn(
+    scores = ["chi2_min", "chi2_max", "chi2_var", "chi2_final"]
+    return suspicious_regions(extent_groups(_changed(spark, d)), ADAPTIVE).withColumn(
         "block_ids", F.to_json("block_ids")
-    )
+    ).withColumns({c: F.round(c, 6) for c in scores})
+
+
+@query("extent_metrics", f"""
+    WITH {REGION_SQL},
+    b AS (SELECT extent_id, count(*) AS n_blocks FROM ch GROUP BY 1),
+    m AS (SELECT extent_id, count(*) AS n_deltas, sum(b - a) AS delta_bytes FROM d GROUP BY 1),
+    g AS (SELECT extent_id, count(*) AS n_regions, sum(y - x + 1) AS region_bytes FROM reg GROUP BY 1)
+    SELECT extent_id, n_blocks, n_deltas, CAST(delta_bytes AS BIGINT) AS delta_bytes, coalesce(n_regions, 0) AS n_regions,
+           CAST(coalesce(region_bytes, 0) AS BIGINT) AS region_bytes
+    FROM b JOIN m USING (extent_id) LEFT JOIN g USING (extent_id)""")
+def _(spark, d):
+    return extent_metrics(extent_groups(_changed(spark, d)), ScanConfig(expand=False)).drop("delta_seconds", "scan_seconds")
 
 
 EXTENT_SQL = f"""
@@ -272,7 +303,7 @@ EDGE_SQL = """
                           AND b[-1] BETWEEN '80' AND 'BF' THEN 3 ELSE 0 END AS cut FROM l)"""
 
 
-@query("text_decisions", f"""
+TEXT_SQL = f"""
     WITH t AS (SELECT DISTINCT sha256(text) AS sha256 FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
     {EDGE_SQL}
     SELECT '/t/' || c.doc_id || '.txt' AS file_path, i * 512 AS start,
@@ -280,8 +311,11 @@ EDGE_SQL = """
            CASE WHEN sha256(text) IN (SELECT sha256 FROM t) THEN 'text: trusted (sha256)'
                 WHEN cut > 0 THEN 'text: invalid UTF-8 in region (' || cut || ' errors)'
                 ELSE 'text: UTF-8 plaintext-like' END AS reason
-    FROM c JOIN documents d ON c.doc_id = d.doc_id""")
-def _(spark, d):
+    FROM c JOIN documents d ON c.doc_id = d.doc_id"""
+
+
+def _text_case(spark, d):
+    """(ranges of single blocks, text files, trusted hashes)."""
     docs = table(spark, d, "documents").filter("length(text) > 0")
     files = docs.select(
         F.concat(F.lit("/t/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"),
@@ -293,7 +327,22 @@ def _(spark, d):
     )
     good = table(spark, d, "labels").filter("quality = 1").select("doc_id")
     listed = docs.join(good, "doc_id", "left_semi").select(F.sha2("text", 256).alias("sha256"))
-    return fileaware.text_decisions(ranges, files, listed).select("file_path", "start", "keep_region", "reason")
+    return ranges, files, listed
+
+
+@query("text_decisions", TEXT_SQL)
+def _(spark, d):
+    return fileaware.text_decisions(*_text_case(spark, d)).select("file_path", "start", "keep_region", "reason")
+
+
+@query("chunked_text_ranges", TEXT_SQL)
+def _(spark, d):
+    ranges, files, listed = _text_case(spark, d)
+    trusted = files.withColumn("sha256", F.sha2("content", 256)).join(listed, "sha256", "left_semi").select("file_path")
+    # Chunks of 700 bytes: most ranges lie in two of them.
+    held = chunked.cut_chunks(files, 700, chunked.LOOKAHEAD)
+    load = lambda wanted: held.join(wanted, ["file_path", "chunk"], "left_semi")
+    return chunked.text_range_decisions(ranges, load, trusted, 700).select("file_path", "start", "keep_region", "reason")
 
 
 @query("media_decisions", """
@@ -312,3 +361,55 @@ def _(spark, d):
     good = table(spark, d, "labels").filter("quality = 1").select("doc_id")
     listed = docs.join(good, "doc_id", "left_semi").select(F.sha2("text", 256).alias("sha256"))
     return fileaware.file_decisions(fileaware.media_decisions(ranges, files, listed))
+
+
+TRUST_MANIFEST = """
+    media AS (SELECT doc_id, '/p/' || doc_id % 7 || '.docx' AS file_path, 'word/media/' || doc_id || '.png' AS entry,
+                     sha256(text) AS sha256 FROM documents),
+    manifest AS (
+        SELECT doc_id AS line, CASE WHEN doc_id % 5 = 0 THEN '/q/other.docx' ELSE '/p/' || doc_id % 7 || '.docx' END AS container,
+               CASE WHEN doc_id % 3 = 0 THEN 'ppt/media/' || doc_id || '.png' ELSE 'word/media/' || doc_id || '.png' END AS entry,
+               CASE WHEN lang = 'fr' THEN sha256(text || '!') ELSE sha256(text) END AS sha256
+        FROM documents WHERE lang <> 'es'),
+    h AS (SELECT sha256, arg_min(container, line) AS hc, arg_min(entry, line) AS he FROM manifest GROUP BY 1),
+    b AS (SELECT container, sha256, arg_min(entry, line) AS be FROM manifest GROUP BY 1, 2),
+    p AS (SELECT container, entry, arg_max(sha256, line) AS ps FROM manifest GROUP BY 1, 2),
+    j AS (SELECT media.*, hc, he, be, ps, media.entry || '); sha=' || media.sha256[:12] AS short FROM media
+          LEFT JOIN h ON h.sha256 = media.sha256 LEFT JOIN b ON b.container = file_path AND b.sha256 = media.sha256
+          LEFT JOIN p ON p.container = file_path AND p.entry = media.entry)"""
+BY_HASH = """WHEN he IS NOT NULL THEN 'ooxml: media trusted by sha (' || short || ' ↔ ' || he
+             || CASE WHEN hc = file_path THEN '' ELSE '; manifest container differs' END"""
+BY_PATH = """WHEN be IS NOT NULL THEN 'ooxml: media matches trusted manifest by sha (' || CASE WHEN be = entry THEN entry
+                  ELSE 'entry differs: saw ' || entry || ', manifest ' || be END || ')'
+             WHEN ps IS NULL THEN 'ooxml: media not in trusted manifest by path (' || short
+             WHEN ps <> sha256 THEN 'ooxml: media hash mismatch vs manifest (' || entry || '); got=' || sha256[:12] || ' expected=' || ps[:12]
+             ELSE 'ooxml: media matches trusted manifest by path (' || entry || ')'"""
+TIERS = {
+    "sha_only": ("he IS NOT NULL", BY_HASH + " ELSE 'ooxml: media sha not in trusted manifest (' || short"),
+    "sha_then_path": ("he IS NOT NULL OR be IS NOT NULL OR ps = sha256", BY_HASH + " " + BY_PATH),
+    "path_only": ("be IS NOT NULL OR ps = sha256", BY_PATH),
+}
+
+
+def _trust_query(mode: str):
+    known, why = TIERS[mode]
+
+    @query(f"media_trust_{mode}", f"""
+        WITH {TRUST_MANIFEST}
+        SELECT doc_id, coalesce({known}, FALSE) AS known, CASE {why} END AS why FROM j""")
+    def _(spark, d):
+        docs = table(spark, d, "documents")
+        number = F.col("doc_id").cast("string")
+        home = F.concat(F.lit("/p/"), (F.col("doc_id") % 7).cast("string"), F.lit(".docx"))
+        named = F.concat(F.lit("word/media/"), number, F.lit(".png"))
+        media = docs.select("doc_id", home.alias("file_path"), named.alias("entry"), F.sha2("text", 256).alias("sha256"))
+        manifest = docs.filter("lang <> 'es'").select(
+            F.col("doc_id").alias("line"), F.lit("OOXML").alias("Source"),
+            F.when(F.col("doc_id") % 5 == 0, "/q/other.docx").otherwise(home).alias("Container"),
+            F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ppt\\media\\"), number, F.lit(".png"))).otherwise(named).alias("Entry"),
+            F.upper(F.sha2(F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)).alias("SHA256"))
+        return trust.media_trust(media, manifest, mode, "line").select("doc_id", "known", "why")
+
+
+for _mode in TIERS:
+    _trust_query(_mode)

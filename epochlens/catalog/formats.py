@@ -128,3 +128,19 @@ def _(spark, d):
 def _(spark, d):
     z = pdf_report.zone_report(samples.pdf_files(spark, d)).filter("kind = 'stream'")
     return z.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# Half a file of each kind: nothing of it can be followed, and nothing of it is let go.
+@query("hostile_files", """
+    SELECT '/s/' || doc_id || ext AS file_path, TRUE AS keep_file
+    FROM documents, (SELECT unnest(['.zip', '.docx', '.pdf']) AS ext)""")
+def _(spark, d):
+    cut = lambda files: files.select("file_path", F.substring("content", F.lit(1), F.length("content") / 2).alias("content"))
+    none = spark.createDataFrame([], "sha256 string")
+    parts = []
+    for files, decide in ((samples.zip_files, ziparchive.zip_decisions), (samples.docx_files, ooxml_ranges.ooxml_decisions),
+                          (samples.pdf_files, pdf_ranges.pdf_decisions)):
+        half = cut(files(spark, d))
+        # Every range is kept, not only one.
+        parts.append(decide(_all_blocks(half), half, none).groupBy("file_path").agg(F.bool_and("keep_region").alias("keep_file")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -6,6 +6,7 @@ import os
 from dataclasses import dataclass, field
 
 from epochlens.operators.scan import ScanConfig
+from epochlens.operators.trust import TRUST_MODES
 
 
 def parse_formats(text: str | None) -> tuple[str, ...]:
@@ -31,6 +32,8 @@ class DetectConfig:
     # Files for which a handler reached no decision are kept; off drops them as soon as any other
     # file has range decisions.
     undecided_kept: bool = True
+    # How media parts of packages are looked up in a manifest: by hash, by hash and then path, or by container.
+    media_trust: str = "sha_only"
 
     @property
     def blocks_per_extent(self) -> int:
@@ -43,6 +46,8 @@ class DetectConfig:
             raise ValueError("extent size must be a multiple of the block size")
         if self.cluster_size % self.block_size:
             raise ValueError("cluster size must be a multiple of the block size")
+        if self.media_trust not in TRUST_MODES:
+            raise ValueError(f"media trust is one of {', '.join(TRUST_MODES)}")
         if self.scan.block_size != self.block_size:
             raise ValueError("scan and device block sizes differ")
         return self

@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epochlens.formats.zip import DEFLATE, members, payloads
+from epochlens.formats.zip import DEFLATE, members, payloads, uniform
 from epochlens.functions.bytestats import byte_stats
 from epochlens.functions.codec import packed_size
 from epochlens.operators.intervals import overlap_join
+from epochlens.operators.trust import media_trust
 from epochlens.session import cut_lineage
 
 # Part folders.
@@ -22,7 +23,9 @@ MEDIA_PREFIX = r"^((word|ppt|xl)/media/|docprops/thumbnail\.)"
 
 @dataclass(frozen=True)
 class PackageRules:
-    early: int = 64 * 1024
+    # Local headers are salvaged from the whole of a package that cannot be parsed, and its other bytes are kept; a number
+    # limits both to so many bytes at its start.
+    early: int | None = None
     chi2_uniform: float = 350.0
     ascii_min: float = 0.25
     token_min: float = 0.02
@@ -36,9 +39,9 @@ HEADER_SCHEMA = "file_path string, lfh_off bigint, data_start bigint, csz bigint
 
 
 def early_headers(files: DataFrame, rules: PackageRules = PackageRules()) -> DataFrame:
-    """Local headers found by signature in the first bytes of a file, whatever its directory says.
+    """Local headers found by signature in a file, whatever its directory says.
     The size of entries with a data descriptor is unknown and reported as 0."""
-    head = files.select("file_path", F.substring("content", 1, rules.early).alias("head"))
+    head = files.select("file_path", "content" if rules.early is None else F.substring("content", 1, rules.early).alias("head"))
 
     def scan(batches):
         for batch in batches:
@@ -78,22 +81,6 @@ def strict(s: Column, packed: Column, rules: PackageRules) -> Column:
     return flat(s, rules) & (s["distinct"] >= 128) & (s["peak"] <= 0.06 * s["n"]) & (packed >= 0.95 * s["n"])
 
 
-def uniform(s: Column, packed: Column) -> Column:
-    """The bands that random bytes fall into, wider for slices below 256 bytes: gap bytes."""
-    ascii_r, token_r, peak, ratio = (
-        s["printable_loose"] / s["n"], s["tokens"] / s["n"], s["peak"] / s["n"], packed / s["n"]
-    )
-    small = (
-        s["chi2"].between(120, 700) & ascii_r.between(0.28, 0.58) & token_r.between(0.02, 0.15)
-        & (s["distinct"] >= 120) & (peak <= 0.08) & (ratio >= 0.99)
-    )
-    large = (
-        s["chi2"].between(150, 600) & ascii_r.between(0.28, 0.48) & token_r.between(0.03, 0.12)
-        & (s["distinct"] >= 180) & (peak <= 0.06) & (ratio >= 0.98)
-    )
-    return (s["n"] > 0) & F.when(s["n"] < 256, small).otherwise(large)
-
-
 def xml_like(text_ok: Column, s: Column) -> Column:
     """A slice that reads as XML: valid UTF-8, tags, mostly printable, hardly any controls."""
     n = s["n"]
@@ -114,9 +101,12 @@ WORDS = {
 BAD = ["encrypted", "broken", "media untrusted", "text mixed", "text odd", "cipher"]
 
 
-def member_verdicts(rows: DataFrame, trusted: DataFrame, rules: PackageRules) -> DataFrame:
+def member_verdicts(
+    rows: DataFrame, trusted: DataFrame, rules: PackageRules, manifest: DataFrame | None = None, trust_mode: str = "sha_only",
+) -> DataFrame:
     """(file_path, idx, span_start, span_end, bad, reason) per member, decoded in one pass: XML
-    parts become one row per window, other parts one row with their head."""
+    parts become one row per window, other parts one row with their head. Media are looked up in ``manifest``
+    by the tiers of ``trust_mode``, or in the hashes of ``trusted`` where no manifest is given."""
     body = rows.filter("idx >= 0").withColumn("entry", F.col("name").cast("string")).filter(~F.col("entry").endswith("/"))
     crypt = F.col("flags").bitwiseAND(1) != 0
     n = F.length("payload")
@@ -147,7 +137,14 @@ def member_verdicts(rows: DataFrame, trusted: DataFrame, rules: PackageRules) ->
         F.max("sha256").alias("sha256"), F.bool_and(good).alias("all_ok"), F.bool_or(good).alias("any_ok"),
         F.bool_or(cipher).alias("cipher"),
     )
-    known = trusted.select("sha256").distinct().withColumn("_known", F.lit(True))
+    if manifest is None:
+        known = trusted.select("sha256").distinct().withColumn("_known", F.lit(True))
+        judged = rolled.join(known, "sha256", "left").withColumn("_why", F.lit(None).cast("string"))
+    else:
+        rolled = cut_lineage(rolled)
+        told = media_trust(rolled.filter("kind = 'media'").select("file_path", "idx", "entry", "sha256"), manifest, trust_mode)
+        judged = rolled.join(told.select("file_path", "idx", F.when(F.col("known"), True).alias("_known"), F.col("why").alias("_why")),
+                             ["file_path", "idx"], "left")
     verdict = (
         F.when(F.col("kind").isin("encrypted", "broken"), F.col("kind"))
         .when((F.col("kind") == "media") & F.col("_known").isNotNull(), "media trusted")
@@ -157,9 +154,10 @@ def member_verdicts(rows: DataFrame, trusted: DataFrame, rules: PackageRules) ->
         .when(F.col("cipher"), "cipher").otherwise("benign")
     )
     words = F.create_map(*[F.lit(x) for pair in WORDS.items() for x in pair])
-    return rolled.join(known, "sha256", "left").withColumn("v", verdict).select(
+    plain = F.concat(words[F.col("v")], F.lit(" ("), "entry", F.lit(")"))
+    return judged.withColumn("v", verdict).select(
         "file_path", "idx", "span_start", "span_end", F.col("v").isin(BAD).alias("bad"),
-        F.concat(words[F.col("v")], F.lit(" ("), "entry", F.lit(")")).alias("reason"),
+        F.when(F.col("kind") == "media", F.coalesce("_why", plain)).otherwise(plain).alias("reason"),
         (F.col("v") == "text plain").alias("scanned"),
     )
 
@@ -198,12 +196,13 @@ def metadata_verdicts(rows: DataFrame, early: DataFrame, files: DataFrame, rules
 
 def ooxml_decisions(
     ranges: DataFrame, files: DataFrame, trusted: DataFrame, rules: PackageRules = PackageRules(),
+    manifest: DataFrame | None = None, trust_mode: str = "sha_only",
 ) -> DataFrame:
     """Range decisions for packages."""
     rows = members(files, partial=True)
     slim = cut_lineage(rows.drop("data", "dd"))
     early = cut_lineage(early_headers(files, rules))
-    verdicts = cut_lineage(member_verdicts(rows, trusted, rules))
+    verdicts = cut_lineage(member_verdicts(rows, trusted, rules, manifest, trust_mode))
     heads = slim.filter("idx < 0").select("file_path", (F.col("status") != "ok").alias("broken"), "file_size")
     salvaged = early.join(heads.filter("broken"), "file_path", "left_semi").join(
         slim.filter("idx >= 0").select("file_path", "data_start"), ["file_path", "data_start"], "left_anti"
@@ -224,7 +223,7 @@ def ooxml_decisions(
     )
     j = keyed.join(hit, key, "left")
     on_member = F.col("bad").isNotNull()
-    early_error = F.col("broken") & (F.col("start") < rules.early)
+    early_error = F.col("broken") & (F.lit(True) if rules.early is None else F.col("start") < rules.early)
     decided = j.select(
         *key,
         F.when(F.col("bad"), F.concat(F.lit("ooxml: suspicious overlapping members: "), "bad_reason"))

@@ -20,7 +20,7 @@ from epochlens.functions.pdffilters import DECODED, decode_filters, decode_parms
 from epochlens.functions.pdftext import (
     HIGH, MIN_OPERAND, broken_zlib, hex_body, readable_island, string_operands, zones,
 )
-from epochlens.operators.intervals import overlap_join
+from epochlens.operators.intervals import longest_overlap
 from epochlens.session import cut_lineage
 
 UNDECODABLE = "pdf: nested metadata encrypted (stream undecodable)"
@@ -245,13 +245,12 @@ def pdf_decisions(
     spans = stream_verdicts(raw, trusted, rules).unionByName(
         outside_anomalies(files, rules).withColumn("bad", F.lit(True))
     )
-    hit = overlap_join(good, cut_lineage(spans), ["file_path"], ("start", "e"), ("span_start", "span_end")).groupBy(*key).agg(
-        F.bool_or("bad").alias("bad"), F.min(F.when(F.col("bad"), F.col("reason"))).alias("bad_reason"),
-        F.min("reason").alias("ok_reason"),
-    )
-    decided = good.join(hit, key, "left").select(
-        *key, F.coalesce("bad", F.lit(False)).alias("keep_region"),
-        F.coalesce("bad_reason", "ok_reason", F.lit("pdf: prelude syntactically valid")).alias("reason"),
+    # Of several spans in a range a bad one decides, and the one that covers most of the range speaks for it.
+    hit = longest_overlap(good.distinct(), cut_lineage(spans).withColumn("fine", ~F.col("bad")), ["file_path"], ("start", "e"),
+                          ("span_start", "span_end"), ["fine", "reason"], first="fine")
+    decided = good.join(hit, ["file_path", "start", "e"], "left").select(
+        *key, (~F.coalesce("fine", F.lit(True))).alias("keep_region"),
+        F.coalesce("reason", F.lit("pdf: prelude syntactically valid")).alias("reason"),
     )
     return broken.unionByName(decided).select(
         *key, F.lit("pdf").alias("handler"), "keep_region", "reason",

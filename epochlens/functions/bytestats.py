@@ -77,12 +77,12 @@ def histograms(data: np.ndarray, off: np.ndarray):
         yield lo, hi, np.bincount(row + part, minlength=256 * (hi - lo)).reshape(-1, 256)
 
 
-def _chi2(sum_sq: np.ndarray, n: np.ndarray) -> np.ndarray:
+def chi2_of(sum_sq: np.ndarray, n: np.ndarray) -> np.ndarray:
     safe = np.maximum(n, 1)
     return np.where(n > 0, 256.0 * (sum_sq / safe) - n, 0.0)
 
 
-def _entropy(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+def entropies(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     p = counts / np.maximum(n, 1)[:, None]
     logs = np.zeros_like(p)
     np.log2(p, out=logs, where=p > 0)
@@ -92,10 +92,10 @@ def _entropy(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
 def stats_of_counts(counts: np.ndarray) -> dict[str, np.ndarray]:
     """The statistics of histograms, one row of 256 counts each."""
     n = counts.sum(axis=1)
-    out = {"n": n, "sum_sq": (counts * counts).sum(axis=1), "entropy": _entropy(counts, n),
+    out = {"n": n, "sum_sq": (counts * counts).sum(axis=1), "entropy": entropies(counts, n),
            "distinct": (counts > 0).sum(axis=1), "peak": counts.max(axis=1, initial=0)}
     out |= {name: counts[:, table].sum(axis=1) for name, table in CLASSES.items()}
-    return out | {"chi2": _chi2(out["sum_sq"], n)}
+    return out | {"chi2": chi2_of(out["sum_sq"], n)}
 
 
 def stats_of(arr: pa.Array) -> dict[str, np.ndarray]:
@@ -119,7 +119,7 @@ def _chi2_udf(arr: pa.Array) -> pa.Array:
     sum_sq = np.zeros(len(off) - 1, np.int64)
     for lo, hi, counts in histograms(data, off):
         sum_sq[lo:hi] = (counts * counts).sum(axis=1)
-    return pa.array(_chi2(sum_sq, np.diff(off)), mask=_null_mask(arr))
+    return pa.array(chi2_of(sum_sq, np.diff(off)), mask=_null_mask(arr))
 
 
 @arrow_udf(returnType=T.DoubleType())
@@ -128,7 +128,7 @@ def _entropy_udf(arr: pa.Array) -> pa.Array:
     n = np.diff(off)
     ent = np.zeros(len(n))
     for lo, hi, counts in histograms(data, off):
-        ent[lo:hi] = _entropy(counts, n[lo:hi])
+        ent[lo:hi] = entropies(counts, n[lo:hi])
     return pa.array(ent, mask=_null_mask(arr))
 
 

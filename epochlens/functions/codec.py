@@ -32,12 +32,17 @@ CONTENT = T.StructType([
 ])
 
 
+GZIP = 31
+GZIP_MAGIC = b"\x1f\x8b"
+
+
 def inflated(data: bytes, bits: int, complete: bool = False) -> Iterator[bytes]:
     """Decompressed output in pieces of at most ``CHUNK`` bytes. A value that ends early gives what it holds, or an
-    error if it has to be ``complete``."""
-    engine, view = zlib.decompressobj(bits), memoryview(data)
-    for at in range(0, len(view), CHUNK):
+    error if it has to be ``complete``. Gzip members that follow one another are one value; zero bytes may pad them."""
+    engine, view, at = zlib.decompressobj(bits), memoryview(data), 0
+    while at < len(view):
         rest = view[at: at + CHUNK]
+        at += len(rest)
         while not engine.eof:
             out = engine.decompress(rest, CHUNK)
             if out:
@@ -45,6 +50,13 @@ def inflated(data: bytes, bits: int, complete: bool = False) -> Iterator[bytes]:
             rest = engine.unconsumed_tail
             if not rest and len(out) < CHUNK:
                 break
+        if engine.eof:
+            at -= len(engine.unused_data)
+            while bits == GZIP and at < len(view) and not view[at]:
+                at += 1
+            if bits != GZIP or view[at: at + 2] != GZIP_MAGIC:
+                return
+            engine = zlib.decompressobj(bits)
     if complete and not engine.eof:
         raise zlib.error("incomplete stream")
 
@@ -135,4 +147,4 @@ def zlib_inflate(data: Column) -> Column:
 
 
 def gunzip(data: Column) -> Column:
-    return _unpack(data, F.lit(31))
+    return _unpack(data, F.lit(GZIP))

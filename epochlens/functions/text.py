@@ -159,6 +159,20 @@ def _text_score_udf(arr: pa.Array) -> pa.Array:
     return _masked(arr, text_scores(*flat_bytes(arr)))
 
 
+@arrow_udf(returnType=T.LongType())
+def _utf8_covered_udf(arr: pa.Array, own: pa.Array) -> pa.Array:
+    data, off = flat_bytes(arr)
+    row, length = _utf8_scan(data, off)
+    limit = own.to_numpy(zero_copy_only=False).astype(np.int64)
+    mine = np.arange(off[0], off[-1]) - off[:-1][row] < limit[row]
+    return _masked(arr, np.bincount(row[mine], weights=length[mine], minlength=len(off) - 1).astype(np.int64))
+
+
+def utf8_covered(content: Column, own: Column) -> Column:
+    """Bytes that well-formed UTF-8 sequences cover which start in the first ``own`` bytes; they may reach further."""
+    return _utf8_covered_udf(content, own)
+
+
 def utf8_error_count(content: Column) -> Column:
     return _utf8_errors_udf(content)
 

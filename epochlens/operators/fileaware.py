@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from epochlens.functions.ints import floor_div
 from epochlens.functions.paths import extension
 from epochlens.functions.text import utf8_error_count
+from epochlens.operators.chunked import text_reason
 from epochlens.operators.trust import REGION_KEY
 
 # Extensions and leading bytes per handler, in dispatch order.
@@ -31,9 +32,6 @@ EXTENSIONS = {
 MEDIA = ["jpeg", "png", "mp3", "mp4"]
 PNG_SIGNATURE = "89504E470D0A1A0A"
 
-SAMPLE_BYTES = 64 * 1024
-
-
 def _starts(magic: Column, hex_prefix: str) -> Column:
     return F.hex(magic).startswith(hex_prefix)
 
@@ -98,12 +96,12 @@ def without_mount(ranges: DataFrame, handler: Column) -> DataFrame:
 
 def media_decisions(ranges: DataFrame, files: DataFrame, trusted: DataFrame) -> DataFrame:
     """JPEG, PNG, MP3, MP4: trusted content is dropped, everything else escalates. ``files`` has
-    (file_path, handler, content); only its hash and first bytes reach the join."""
-    facts = files.filter(F.col("handler").isin(MEDIA)).select(
-        "file_path", "handler",
-        F.sha2("content", 256).alias("sha256"),
-        F.substring("content", 1, 8).alias("magic"),
-    )
+    (file_path, handler) with either the content, of which only its hash and first bytes reach the join, or these two as
+    ``sha256`` and ``magic``."""
+    facts = files.filter(F.col("handler").isin(MEDIA))
+    if "content" in files.columns:
+        facts = facts.withColumns({"sha256": F.sha2("content", 256), "magic": F.substring("content", 1, 8)})
+    facts = facts.select("file_path", "handler", "sha256", "magic")
     known = trusted.select("sha256").distinct().withColumn("_known", F.lit(True))
     signed = reduce(
         lambda acc, k: acc.when(F.col("handler") == k, media_signature(k, F.col("magic"))),
@@ -122,27 +120,32 @@ def media_decisions(ranges: DataFrame, files: DataFrame, trusted: DataFrame) ->
     )
 
 
-def centred_sample(content: Column, start: Column, end: Column, limit: int = SAMPLE_BYTES) -> Column:
-    """At most ``limit`` bytes from the middle of an inclusive range, cut at the end of file."""
+def centred_sample(content: Column, start: Column, end: Column, limit: int | None = None) -> Column:
+    """The bytes of an inclusive range, cut at the end of file; with a ``limit`` at most so many from its middle."""
     size = F.length(content).cast("bigint")
     s = F.greatest(start, F.lit(0).cast("bigint"))
     e = F.least(end, size - 1)
     span = e - s + 1
+    if limit is None:
+        return F.when(span > 0, content.substr((s + 1).cast("int"), span.cast("int"))).otherwise(F.lit(b""))
     centred = F.greatest(s, s + floor_div(span, 2) - limit // 2)
     at = F.when(span <= limit, s).otherwise(F.least(centred, F.greatest(e - limit + 1, F.lit(0).cast("bigint"))))
     take = F.least(span, F.lit(limit).cast("bigint"))
     return F.when(span > 0, content.substr((at + 1).cast("int"), take.cast("int"))).otherwise(F.lit(b""))
 
 
-def text_decisions(ranges: DataFrame, files: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Text: trusted files are dropped; a range is kept when its sample is not valid UTF-8."""
+def text_decisions(
+    ranges: DataFrame, files: DataFrame, trusted: DataFrame, sample_bytes: int | None = None,
+) -> DataFrame:
+    """Text: trusted files are dropped; a range is kept when it is not valid UTF-8. With ``sample_bytes`` only so many
+    bytes from the middle of a range are looked at."""
     known = trusted.select("sha256").distinct().withColumn("_known", F.lit(True))
     facts = files.filter(F.col("handler") == "text").select(
         "file_path", "content", F.sha2("content", 256).alias("sha256")
     ).join(known, "sha256", "left")
     sampled = ranges.join(facts, "file_path").select(
         "file_path", "start", "end", F.col("_known").isNotNull().alias("trusted"),
-        centred_sample(F.col("content"), F.col("start"), F.col("end")).alias("sample"),
+        centred_sample(F.col("content"), F.col("start"), F.col("end"), sample_bytes).alias("sample"),
     )
     scored = sampled.select(
         "file_path", "start", "end", "trusted",
@@ -150,13 +153,7 @@ def text_decisions(ranges: DataFrame, files: DataFrame, trusted: DataFrame) -> D
         utf8_error_count(F.col("sample")).alias("errors"),
     )
     bad = F.col("blank") | (F.col("errors") > 0)
-    reason = (
-        F.when(F.col("trusted"), F.lit("text: trusted (sha256)"))
-        .when(F.col("blank"), F.lit("text: unreadable; escalate"))
-        .when(F.col("errors") > 0,
-              F.concat(F.lit("text: invalid UTF-8 in region ("), F.col("errors").cast("string"), F.lit(" errors)")))
-        .otherwise("text: UTF-8 plaintext-like")
-    )
+    reason = text_reason(F.col("trusted"), F.col("blank"), F.col("errors"))
     return scored.select(
         "file_path", "start", "end", F.lit("text").alias("handler"),
         (~F.col("trusted") & bad).alias("keep_region"), reason.alias("reason"),

@@ -59,6 +59,22 @@ def overlap_join(
     ).drop("_b")
 
 
+def longest_overlap(
+    left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str],
+    carry: list[str], first: str | None = None, *, bucket: int = 65536,
+) -> DataFrame:
+    """Each left span with the right span that covers most of it (of equal cover the one that starts first, then the
+    smallest ``carry``): (keys, left span, overlap, spans, carry); ``spans`` counts all that it meets. A column
+    ``first`` of the right side, smallest value first, goes before the cover. The choice is an aggregate, so spans that
+    meet many others fold before they are moved."""
+    (ls, le), (rs, re_) = left_span, right_span
+    pairs = overlap_join(left.select(*keys, ls, le), right.select(*keys, rs, re_, *carry), keys, left_span, right_span, bucket=bucket)
+    cover = F.least(le, re_) - F.greatest(ls, rs) + 1
+    ranked = F.struct(*([F.col(first).alias("_f")] if first else []), (-cover).alias("_c"), F.col(rs).alias("_s"), *carry)
+    return pairs.groupBy(*keys, ls, le).agg(F.min(ranked).alias("_b"), F.count("*").alias("spans")).select(
+        *keys, ls, le, (-F.col("_b._c")).alias("overlap"), "spans", *(F.col("_b")[c].alias(c) for c in carry))
+
+
 def map_blocks(
     blocks: DataFrame, extents: DataFrame, *, cluster_size: int, block_size: int = 512,
     blocks_per_extent: int = 8, partition_offset_blocks: int = 0, bucket: int = 4096,

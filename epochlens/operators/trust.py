@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REGION_KEY = ["extent_id", "delta_block_id", "byte_start"]
@@ -98,3 +100,64 @@ def drop_trusted(
         mappings.join(paths, "file_path", "left_anti"),
         regions.join(keep, REGION_KEY, "left_semi"),
     )
+
+
+TRUST_MODES = ("sha_only", "sha_then_path", "path_only")
+
+
+def _posix(name: Column) -> Column:
+    return F.replace(F.coalesce(name, F.lit("")), F.lit("\\"), F.lit("/"))
+
+
+def manifest_index(manifest: DataFrame, order: str | None = None, source: str = "ooxml") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three lookups of one manifest: by hash, by container and hash, by container and entry, each with one row per
+    key. Rows without a hash, container or entry are no evidence. Of repeated keys the first row names the entry, and
+    the last row states the hash of a path; ``order`` is the column that says which row is first (else the smallest)."""
+    df = lower_columns(manifest)
+    rows = df.filter(F.lower(F.trim("source")) == source).select(
+        F.lower(F.trim("sha256")).alias("sha256"), F.col("container"), _posix(F.col("entry")).alias("entry"),
+        (F.col(order) if order else F.lit(0)).alias("_o"),
+    ).filter("sha256 <> '' AND container <> '' AND entry <> ''")
+    place = F.struct("_o", "container", "entry")
+    by_hash = rows.groupBy("sha256").agg(F.min(place).alias("x")).select(
+        "sha256", F.col("x.container").alias("hash_container"), F.col("x.entry").alias("hash_entry"))
+    by_both = rows.groupBy("container", "sha256").agg(F.min(F.struct("_o", "entry")).alias("x")).select(
+        "container", "sha256", F.col("x.entry").alias("both_entry"))
+    by_path = rows.groupBy("container", "entry").agg(F.max(F.struct("_o", "sha256")).alias("x")).select(
+        "container", "entry", F.col("x.sha256").alias("path_sha256"))
+    return by_hash, by_both, by_path
+
+
+def media_trust(media: DataFrame, manifest: DataFrame, mode: str = "sha_only", order: str | None = None) -> DataFrame:
+    """``media`` (file_path, entry, sha256, ...) with ``known`` and ``why``. The first tier that has an answer gives it:
+    the hash anywhere, the hash in the same container, the path in the same container."""
+    if mode not in TRUST_MODES:
+        raise ValueError(f"unknown trust mode {mode!r}")
+    by_hash, by_both, by_path = manifest_index(manifest, order)
+    sha, entry = F.lower("sha256"), _posix(F.col("entry"))
+    rows = media.withColumns({"_sha": sha, "_entry": entry})
+    tiers: list[tuple[Column, Column, str | Column]] = []  # (has an answer, the answer, its words)
+    short = F.concat(F.lit(" ("), "_entry", F.lit("); sha="), F.substring("_sha", 1, 12))
+    if mode != "path_only":
+        rows = rows.join(by_hash.withColumnRenamed("sha256", "_sha"), "_sha", "left")
+        other = F.when(F.col("hash_container") == F.col("file_path"), "").otherwise("; manifest container differs")
+        tiers.append((F.col("hash_entry").isNotNull(), F.lit(True),
+                      F.concat(F.lit("ooxml: media trusted by sha"), short, F.lit(" ↔ "), "hash_entry", other)))
+    if mode != "sha_only":
+        rows = rows.join(by_both.select(F.col("container").alias("file_path"), F.col("sha256").alias("_sha"), "both_entry"), ["file_path", "_sha"], "left")
+        rows = rows.join(by_path.select(F.col("container").alias("file_path"), F.col("entry").alias("_entry"), "path_sha256"), ["file_path", "_entry"], "left")
+        seen = F.concat(F.lit("ooxml: media matches trusted manifest by sha ("), F.when(
+            F.col("both_entry") == F.col("_entry"), F.col("_entry")).otherwise(F.concat(
+                F.lit("entry differs: saw "), "_entry", F.lit(", manifest "), "both_entry")), F.lit(")"))
+        tiers += [
+            (F.col("both_entry").isNotNull(), F.lit(True), seen),
+            (F.col("path_sha256").isNull(), F.lit(False), F.concat(F.lit("ooxml: media not in trusted manifest by path"), short)),
+            (F.col("path_sha256") != F.col("_sha"), F.lit(False), F.concat(
+                F.lit("ooxml: media hash mismatch vs manifest ("), "_entry", F.lit("); got="), F.substring("_sha", 1, 12),
+                F.lit(" expected="), F.substring("path_sha256", 1, 12))),
+            (F.lit(True), F.lit(True), F.concat(F.lit("ooxml: media matches trusted manifest by path ("), "_entry", F.lit(")"))),
+        ]
+    tiers.append((F.lit(True), F.lit(False), F.concat(F.lit("ooxml: media sha not in trusted manifest"), short)))
+    known = reduce(lambda acc, t: acc.when(t[0], t[1]), tiers[1:], F.when(tiers[0][0], tiers[0][1]))
+    why = reduce(lambda acc, t: acc.when(t[0], t[2]), tiers[1:], F.when(tiers[0][0], tiers[0][2]))
+    return rows.select(*media.columns, known.alias("known"), why.alias("why"))

@@ -98,18 +98,11 @@ def rollup_verdicts(
     )
 
 
-def content_verdicts(
-    df: DataFrame, key: str = "file_path", content: str = "content", *, mode: str = "entropy",
-    window: int = 4096, stride: int | None = None, tail_mode: str = "ignore",
+def judge_content(
+    scored: DataFrame, key: str, *, mode: str, window: int, stride: int, tail_mode: str,
     entropy_threshold: float = 7.5, chi2_threshold: float = 10000.0,
 ) -> DataFrame:
-    """Windowed entropy or chi-square verdict for every file."""
-    stride = stride or window
-    if mode not in ("entropy", "chi2"):
-        raise ValueError(f"unknown mode {mode!r}")
-    windows = byte_windows(df.select(key, content), content, window, stride, tail_mode)
-    score = byte_entropy if mode == "entropy" else byte_chi2
-    scored = windows.select(key, "file_size", "window_start", score(F.col("window_bytes")).alias("score"))
+    """Entropy or chi-square verdict for every file out of its scored windows (key, file_size, window_start, score)."""
     threshold = entropy_threshold if mode == "entropy" else chi2_threshold
     hit = F.col("score") >= threshold if mode == "entropy" else F.col("score") <= threshold
     return rollup_verdicts(
@@ -118,17 +111,25 @@ def content_verdicts(
     )
 
 
-def text_verdicts(
-    df: DataFrame, key: str = "file_path", content: str = "content", *, window: int = 4096,
-    stride: int | None = None, tail_mode: str = "ignore", score_threshold: int = 0,
+def content_verdicts(
+    df: DataFrame, key: str = "file_path", content: str = "content", *, mode: str = "entropy",
+    window: int = 4096, stride: int | None = None, tail_mode: str = "ignore", **thresholds: float,
 ) -> DataFrame:
-    """Windowed text validity verdict: a window is suspicious when no supported encoding reads it
-    as text and it has more UTF-8 errors than the threshold."""
+    """Windowed entropy or chi-square verdict for every file."""
     stride = stride or window
+    if mode not in ("entropy", "chi2"):
+        raise ValueError(f"unknown mode {mode!r}")
     windows = byte_windows(df.select(key, content), content, window, stride, tail_mode)
-    scored = windows.select(
-        key, "file_size", "window_start", text_score(F.col("window_bytes")).alias("score")
-    )
+    score = byte_entropy if mode == "entropy" else byte_chi2
+    scored = windows.select(key, "file_size", "window_start", score(F.col("window_bytes")).alias("score"))
+    return judge_content(scored, key, mode=mode, window=window, stride=stride, tail_mode=tail_mode, **thresholds)
+
+
+def judge_text(
+    scored: DataFrame, key: str, *, window: int, stride: int, tail_mode: str, score_threshold: int = 0,
+) -> DataFrame:
+    """Text validity verdict for every file out of its scored windows: a window is suspicious when no supported encoding
+    reads it as text and it has more UTF-8 errors than the threshold."""
     verdict = rollup_verdicts(
         scored, key, mode="txt_fav", window=window, stride=stride, tail_mode=tail_mode,
         threshold=score_threshold, suspicious=F.col("score") > score_threshold,
@@ -140,3 +141,14 @@ def text_verdicts(
         "note",
         F.when(clean_tail, F.lit("tail_ignored_but_windows_all_valid")).otherwise(F.col("note")),
     )
+
+
+def text_verdicts(
+    df: DataFrame, key: str = "file_path", content: str = "content", *, window: int = 4096,
+    stride: int | None = None, tail_mode: str = "ignore", score_threshold: int = 0,
+) -> DataFrame:
+    """Windowed text validity verdict of whole contents."""
+    stride = stride or window
+    windows = byte_windows(df.select(key, content), content, window, stride, tail_mode)
+    scored = windows.select(key, "file_size", "window_start", text_score(F.col("window_bytes")).alias("score"))
+    return judge_text(scored, key, window=window, stride=stride, tail_mode=tail_mode, score_threshold=score_threshold)

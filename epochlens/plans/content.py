@@ -12,8 +12,10 @@ from epochlens import schemas
 from epochlens.formats.ooxml import OoxmlConfig, ooxml_verdicts
 from epochlens.formats.pdf import PdfConfig, flatten_whitelist, pdf_verdicts, stream_whitelist, whitelist_json
 from epochlens.formats.zip import ZipConfig, zip_verdicts
+from epochlens.operators import chunked
 from epochlens.operators.windows import content_verdicts, text_verdicts
 from epochlens.sinks.tables import new_run_dir, score_text
+from epochlens.sources.chunks import read_chunks
 from epochlens.sources.files import read_files, require_path
 
 
@@ -40,12 +42,19 @@ def verdicts(files: DataFrame, mode: str, **options) -> DataFrame:
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def chunk_verdicts(spark: SparkSession, path: str, mode: str, **options) -> DataFrame:
+    """Window verdicts of files of any size: they are read in chunks with the rest of the last window behind each."""
+    chunks = read_chunks(spark, path, halo=options.get("window", 4096) - 1)
+    return chunked.text_verdicts(chunks, **options) if mode == "text" else chunked.content_verdicts(chunks, mode=mode, **options)
+
+
 def run(spark: SparkSession, path: str, out: str, mode: str, **options) -> str:
     """Verdicts of a file or flat directory, written into a new run directory."""
-    files = read_files(spark, require_path(path))
+    require_path(path)
     told = {k: asdict(v) if is_dataclass(v) else v for k, v in options.items() if not isinstance(v, DataFrame)}
     folder = new_run_dir(out, mode, {"input": path, "mode": mode, **told})
-    result = verdicts(files, mode, **options)
+    windowed = mode in ("entropy", "chi2", "text")
+    result = chunk_verdicts(spark, path, mode, **options) if windowed else verdicts(read_files(spark, path), mode, **options)
     if mode in ("entropy", "chi2"):
         result = score_text(result)
     result.write.mode("overwrite").option("header", True).csv(os.path.join(folder, "results.csv"))

@@ -17,13 +17,16 @@ from epochlens.formats.ooxml_ranges import ooxml_decisions
 from epochlens.formats.pdf_ranges import pdf_decisions
 from epochlens.formats.zip import zip_decisions
 from epochlens.operators import compare, fileaware, trust
+from epochlens.operators.chunked import LOOKAHEAD, text_range_decisions
 from epochlens.operators.delta import extent_groups
 from epochlens.operators.intervals import map_blocks
 from epochlens.operators.scan import suspicious_regions
 from epochlens.operators.versions import changed_blocks, dirty_ids, extent_id, latest_at, only_dirty
+from epochlens.plans.observe import Totals, described
 from epochlens.session import cut_lineage
 from epochlens.sinks.tables import write_json, write_table
 from epochlens.sources.audit import audit_offsets, read_audit
+from epochlens.sources.chunks import CHUNK, mounted_chunks, mounted_facts
 from epochlens.sources.files import mounted_files
 
 @dataclass
@@ -39,7 +42,9 @@ class Detection:
     files: DataFrame | None = None
 
 
-def find_regions(mutations: DataFrame, bits: DataFrame, cfg: DetectConfig) -> tuple[DataFrame, DataFrame]:
+def find_regions(
+    mutations: DataFrame, bits: DataFrame, cfg: DetectConfig, totals: Totals | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(changed blocks, suspicious regions). Changed blocks are a small part of the device; regions
     are read by every later stage and are materialised once."""
     dirty = dirty_ids(bits, cfg.start_epoch, cfg.end_epoch)
@@ -47,8 +52,11 @@ def find_regions(mutations: DataFrame, bits: DataFrame, cfg: DetectConfig) -> tu
         mutations, dirty, cfg.start_epoch, cfg.end_epoch,
         block_size=cfg.block_size, blocks_per_extent=cfg.blocks_per_extent,
     )
-    regions = cut_lineage(suspicious_regions(extent_groups(changed), cfg.scan))
-    return changed, regions
+    regions = suspicious_regions(extent_groups(changed), cfg.scan)
+    if totals is not None:
+        regions = totals.watch("regions", regions, bytes=F.sum(F.col("byte_end_inclusive") - F.col("byte_start") + 1),
+                               blocks=F.sum("num_blocks"))
+    return changed, cut_lineage(regions)
 
 
 def map_regions(regions: DataFrame, extents: DataFrame, cfg: DetectConfig) -> DataFrame:
@@ -71,49 +79,68 @@ def loader(files: DataFrame | None, mount_root: str | None) -> Loader | None:
     return (lambda paths: mounted_files(paths, mount_root)) if mount_root else None
 
 
-def file_facts(suspects: DataFrame, load: Loader) -> DataFrame:
-    """(file_path, sha256, size_bytes, handler): the one full read of every suspect file."""
-    return cut_lineage(load(suspects).select(
-        "file_path", F.sha2("content", 256).alias("sha256"), F.length("content").cast("bigint").alias("size_bytes"),
-        fileaware.handler_name(F.col("file_path"), F.substring("content", 1, 8)).alias("handler"),
-    ))
-
-
-def decide_ranges(ranges: DataFrame, routes: DataFrame, load: Loader, trusted: DataFrame) -> DataFrame:
-    """Range decisions of all handlers. ``routes`` names the handler of every readable file; other
+def file_facts(suspects: DataFrame, load: Loader, mount_root: str | None = None) -> DataFrame:
+    """(file_path, sha256, size_bytes, magic, handler): the one full read of every suspect file. Under a mount files are
+    read in pieces, so they may be of any size."""
+    if mount_root:
+        facts = mounted_facts(suspects, mount_root)
+    else:
+        facts = load(suspects).select(
+            "file_path", F.sha2("content", 256).alias("sha256"), F.length("content").cast("bigint").alias("size_bytes"),
+            F.substring("content", 1, 8).alias("magic"))
+    return cut_lineage(facts.withColumn("handler", fileaware.handler_name(F.col("file_path"), F.col("magic"))))
+
+
+def text_ranges(ranges: DataFrame, text: DataFrame, load: Loader, trusted: DataFrame, mount_root: str | None) -> DataFrame:
+    """Decisions on the ranges of text files; under a mount only the chunks that hold ranges are read."""
+    if not mount_root:
+        return fileaware.text_decisions(ranges, load(text).withColumn("handler", F.lit("text")), trusted)
+    known = text.join(trusted.select("sha256").distinct(), "sha256", "left_semi")
+    own = ranges.join(text.select("file_path"), "file_path", "left_semi")
+    return text_range_decisions(
+        own, lambda wanted: mounted_chunks(wanted, mount_root, chunk=CHUNK, halo=LOOKAHEAD), known, CHUNK)
+
+
+def decide_ranges(
+    ranges: DataFrame, routes: DataFrame, load: Loader, trusted: DataFrame, mount_root: str | None = None,
+    manifest: DataFrame | None = None, trust_mode: str = "sha_only",
+) -> DataFrame:
+    """Range decisions of all handlers. ``routes`` has the facts and the handler of every readable file; other
     files are kept. Only handlers that some file needs are planned, and each reads its own files."""
     present = {r["handler"] for r in routes.select("handler").distinct().collect()}
-    mine = lambda names: routes.filter(F.col("handler").isin(names)).select("file_path", "handler")
+    mine = lambda names: routes.filter(F.col("handler").isin(names))
     parts = [ranges.join(routes, "file_path", "left_anti").select(
         "file_path", "start", "end", F.lit("generic").alias("handler"), F.lit(True).alias("keep_region"),
         F.lit("unreadable; escalate").alias("reason"), F.lit("unreadable; escalate").alias("file_reason"),
     )]
     if present & set(fileaware.MEDIA):
-        media = mine(fileaware.MEDIA)
-        parts.append(fileaware.media_decisions(ranges, load(media).join(media, "file_path"), trusted))
+        parts.append(fileaware.media_decisions(ranges, mine(fileaware.MEDIA), trusted))
     if "text" in present:
-        text = mine(["text"])
-        parts.append(fileaware.text_decisions(ranges, load(text).withColumn("handler", F.lit("text")), trusted))
+        parts.append(text_ranges(ranges, mine(["text"]), load, trusted, mount_root))
     if "generic" in present:
         parts.append(fileaware.generic_decisions(ranges, routes))
     for name, decide in CONTAINERS.items():
         if name in present:
             paths = mine([name])
-            parts.append(decide(ranges.join(paths.select("file_path"), "file_path", "left_semi"), load(paths), trusted))
+            more = {"manifest": manifest, "trust_mode": trust_mode} if name == "ooxml" and manifest is not None else {}
+            parts.append(decide(ranges.join(paths.select("file_path"), "file_path", "left_semi"), load(paths), trusted, **more))
     return reduce(DataFrame.unionByName, parts)
 
 
 def detect(
     mutations: DataFrame, bits: DataFrame, extents: DataFrame, cfg: DetectConfig, *,
     mount_root: str | None = None, files: DataFrame | None = None, manifest: DataFrame | None = None,
-    inventory: DataFrame | None = None,
+    inventory: DataFrame | None = None, totals: Totals | None = None,
 ) -> Detection:
     """The whole detection. File contents come from ``files`` or from a mount; trust needs contents
-    and known hashes."""
+    and known hashes. ``totals`` collects counts of what is materialised on the way."""
     cfg.validate()
     spark = mutations.sparkSession
-    changed, scanned = find_regions(mutations, bits, cfg)
-    regions, mappings = scanned, cut_lineage(map_regions(scanned, extents, cfg))
+    watch = (lambda name, df, **sums: df) if totals is None else totals.watch
+    with described(spark, "scan changed blocks"):
+        changed, scanned = find_regions(mutations, bits, cfg, totals)
+    with described(spark, "map regions to files"):
+        regions, mappings = scanned, cut_lineage(watch("mappings", map_regions(scanned, extents, cfg)))
     scanned_mappings = mappings
     load = loader(files, mount_root)
     hashes = spark.createDataFrame([], "sha256 string")
@@ -125,7 +152,8 @@ def detect(
     else:
         if inventory is not None:
             listed = listed.unionByName(inventory.filter("trusted").select("sha256")).distinct()
-        facts = file_facts(mappings.select("file_path").distinct(), load)
+        under = mount_root if files is None else None
+        facts = file_facts(mappings.select("file_path").distinct(), load, under)
         seen = cut_lineage(trust.flag_trusted(facts, listed))
         previous = inventory if inventory is not None else spark.createDataFrame([], schemas.INVENTORY)
         new_inventory = trust.update_inventory(previous, seen, cfg.end_epoch)
@@ -133,10 +161,14 @@ def detect(
         if not good.isEmpty():
             mappings, regions = trust.drop_trusted(mappings, regions, good)
             mappings = cut_lineage(mappings)
-        routes = facts.select("file_path", "handler").join(good, "file_path", "left_anti")
-        decisions = decide_ranges(fileaware.file_ranges(mappings, cfg.block_size), routes, load, components)
-    decisions = cut_lineage(decisions)
-    kept = cut_lineage(fileaware.apply_region_decisions(mappings, decisions, cfg.block_size, cfg.undecided_kept))
+        routes = facts.join(good, "file_path", "left_anti")
+        by_path = manifest if cfg.media_trust != "sha_only" else None
+        decisions = decide_ranges(
+            fileaware.file_ranges(mappings, cfg.block_size), routes, load, components, under, by_path, cfg.media_trust)
+    with described(spark, "decide file ranges"):
+        decisions = cut_lineage(watch("decisions", decisions, kept=F.count_if("keep_region")))
+        kept = cut_lineage(watch("kept_mappings", fileaware.apply_region_decisions(
+            mappings, decisions, cfg.block_size, cfg.undecided_kept)))
     window = {"start_epoch": F.lit(cfg.start_epoch), "end_epoch": F.lit(cfg.end_epoch)}
     return Detection(
         changed=changed, scanned=scanned, scanned_mappings=scanned_mappings,

@@ -15,6 +15,7 @@ from epochlens.operators.manifest import build_manifest
 
 TEXT = "Some plain sentence with words.\n" * 60
 NOISE = bytes(random.Random(1).randrange(256) for _ in range(8192))
+RANDOM = random.Random(7).randbytes(256 * 1024)
 
 
 def files(spark, items):
@@ -92,9 +93,91 @@ def test_zip_ranges(spark):
         why.setdefault(r["file_path"], set()).add(r["reason"])
     assert not any(k for _, k in kept["/ok.zip"]) and any(k for _, k in kept["/enc.zip"])
     assert "zip: media type mismatch (in.zip/deep.jpg)" in why["/nested.zip"]
-    # A broken archive is kept only where it touches its last 128 KiB.
-    assert {k for s, k in kept["/tail.zip"] if s + 511 < len(items["/tail.zip"]) - 131072} == {False}
-    assert {k for s, k in kept["/tail.zip"] if s >= len(items["/tail.zip"]) - 131072} == {True}
+    # A broken archive is kept whole, or by rule only where it touches its last 128 KiB.
+    assert {k for _, k in kept["/tail.zip"]} == {True}
+    broken = [("/tail.zip", items["/tail.zip"])]
+    guarded = za.zip_decisions(ranges_of(spark, broken), files(spark, broken), spark.createDataFrame([], "sha256 string"),
+                               za.LeafRules(tail_guard=131072)).collect()
+    assert {r["keep_region"] for r in guarded if r["start"] + 511 < len(broken[0][1]) - 131072} == {False}
+    assert {r["keep_region"] for r in guarded if r["start"] >= len(broken[0][1]) - 131072} == {True}
+
+
+def test_zip_gaps_count_as_a_whole(spark):
+    plain = build_zip([("a.txt", TEXT.encode(), 8)])
+    at = plain.find(b"PK\x01\x02")
+
+    def gapped(filler: bytes) -> bytes:
+        """The filler lies between the member and the directory."""
+        eocd = plain.rfind(b"PK\x05\x06")
+        tail = plain[eocd:eocd + 16] + struct.pack("<I", at + len(filler)) + plain[eocd + 20:]
+        return plain[:at] + filler + plain[at:eocd] + tail
+
+    cases = {"/wide.zip": gapped(RANDOM), "/small.zip": gapped(RANDOM[:4096]), "/zeros.zip": gapped(bytes(256 * 1024))}
+    dec = za.zip_decisions(ranges_of(spark, cases.items()), files(spark, cases.items()), spark.createDataFrame([], "sha256 string"))
+    kept = {}
+    for r in dec.collect():
+        if at + 512 <= r["start"] < len(cases[r["file_path"]]) - 2048:
+            kept.setdefault(r["file_path"], set()).add(r["keep_region"])
+    # A single range of random bytes is told apart by bands that one in some hundred misses.
+    assert kept["/small.zip"] == kept["/zeros.zip"] == {False} and True in kept["/wide.zip"]
+    wide = [r["keep_region"] for r in dec.collect() if r["file_path"] == "/wide.zip" and at + 512 <= r["start"] < at + 255 * 1024]
+    assert sum(wide) > 0.8 * len(wide)
+
+
+def test_deep_nesting_ends(spark):
+    inner = build_zip([("deep.jpg", b"not a jpeg at all", 8)])
+    for k in range(5):
+        inner = build_zip([(f"l{k}.zip", inner, 8)])
+    import gzip
+    two = gzip.compress(b"\x50" * 10) + bytes(7) + gzip.compress(NOISE)
+    items = {"/deep.zip": inner, "/gz.zip": build_zip([("t.gz", two, 0)])}
+    dec = za.zip_decisions(ranges_of(spark, items.items()), files(spark, items.items()), spark.createDataFrame([], "sha256 string")).collect()
+    assert "zip: media type mismatch (l4.zip/l3.zip/l2.zip/l1.zip/l0.zip/deep.jpg)" in {r["reason"] for r in dec if r["keep_region"]}
+    few = za.zip_decisions(ranges_of(spark, items.items()), files(spark, items.items()), spark.createDataFrame([], "sha256 string"),
+                           za.LeafRules(max_depth=2)).collect()
+    assert not any("deep.jpg" in r["reason"] for r in few)
+
+
+def test_gzip_members_are_one_value(spark):
+    import gzip
+
+    from epochlens.functions.codec import gunzip
+    parts = [b"first " * 10, b"", NOISE * 3, b"last"]
+    cases = {
+        "two": (b"".join(map(gzip.compress, parts)), b"".join(parts)),
+        "padded": (gzip.compress(b"a") + bytes(70000) + gzip.compress(b"b"), b"ab"),
+        "garbage": (gzip.compress(b"a") + b"garbage", b"a"), "one": (gzip.compress(b"x" * 3_000_000), b"x" * 3_000_000),
+    }
+    df = spark.createDataFrame([(k, bytearray(v)) for k, (v, _) in cases.items()], "k string, v binary")
+    got = {r.k: bytes(r.v) for r in df.select("k", gunzip(df.v).alias("v")).collect()}
+    assert got == {k: want for k, (_, want) in cases.items()}
+
+
+def test_a_failing_archive_keeps_its_ranges(spark, monkeypatch):
+    def fails(buf, partial=False):
+        raise RuntimeError("no such luck")
+
+    monkeypatch.setattr(za, "walk_archive", fails)
+    head, entries = za.read_archive(b"PK")
+    assert head["status"] == "exception: RuntimeError: no such luck" and entries == []
+
+
+def test_bytes_behind_64_kib_count(spark):
+    """Damage outside the middle of a long text range, and members far behind the start of a broken package."""
+    from epochlens.operators.fileaware import text_decisions
+    body = bytearray(b"plain text " * 20000)
+    body[:200] = RANDOM[:200]
+    df = spark.createDataFrame([("/a.txt", body, "text")], "file_path string, content binary, handler string")
+    ranges = spark.createDataFrame([("/a.txt", 0, len(body) - 1)], "file_path string, start bigint, end bigint")
+    none = spark.createDataFrame([], "sha256 string")
+    assert text_decisions(ranges, df, none).first()["keep_region"]
+    assert not text_decisions(ranges, df, none, sample_bytes=65536).first()["keep_region"]
+    cut = docx(extra=[("word/filler.bin", NOISE * 20, 0), ("word/media/late.png", NOISE, 0)])
+    cut = cut[:cut.rfind(b"PK\x01\x02") - 2000]
+    items = {"/b.docx": cut[:cut.find(b"word/media/late.png") + 3000]}
+    for rules, far in ((ooxml_ranges.PackageRules(), True), (ooxml_ranges.PackageRules(early=65536), False)):
+        dec = ooxml_ranges.ooxml_decisions(ranges_of(spark, items.items()), files(spark, items.items()), none, rules).collect()
+        assert any(r["keep_region"] for r in dec if r["start"] > 65536) == far
 
 
 def docx(changes=None, drop=(), extra=()):
