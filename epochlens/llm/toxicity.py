@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -300,10 +301,11 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with all their columns; nothing is shuffled."""
     learned, weights = model.learned, model.weights
 
-    def scores(texts: pd.Series) -> pd.Series:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(learned)
-        rows = [features(n, [s for s, _ in found]) for n, found in map(matcher.clauses, texts)]
-        z = np.array(rows, float).reshape(len(rows), len(weights)) @ weights
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        for texts in batches:
+            rows = [features(n, [s for s, _ in found]) for n, found in map(matcher.clauses, texts)]
+            z = np.array(rows, float).reshape(len(rows), len(weights)) @ weights
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return docs.where(F.pandas_udf(scores, "double")(whole(docs["text"])) < threshold)
