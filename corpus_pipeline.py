@@ -11,6 +11,15 @@ from epochlens.llm.common import shared_folder, table
 from epochlens.llm.queries import PSEUDONYM_KEY, held_out, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Texts make wide rows: batches of Spark's default length are tens of megabytes each, in the executor and in its workers.
+BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": 1024, "spark.sql.execution.arrow.maxRecordsPerBatch": 1024}
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Lower the session's batch lengths; what is lower already stays."""
+    for name, rows in BATCH_ROWS.items():
+        if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+            spark.conf.set(name, rows)
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +50,16 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary())
 
 
-STAGES = [
-    ("toxicity", clean_of_toxicity),
-    ("exact_dedup", exact_once),
-    ("near_dedup", near_once),
-    ("pii", pseudonymous),
-    ("packing", packed),
-]
+def staged(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        narrow_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, staged(stage)) for name, stage in (
+    ("toxicity", clean_of_toxicity), ("exact_dedup", exact_once), ("near_dedup", near_once), ("pii", pseudonymous), ("packing", packed))]
 
 ORACLE_SQL = None  # learned scores, signatures and a packing search are not SQL; tests hold brute-force versions
 
