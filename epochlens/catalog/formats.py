@@ -144,3 +144,11 @@ def _(spark, d):
         # Every range is kept, not only one.
         parts.append(decide(_all_blocks(half), half, none).groupBy("file_path").agg(F.bool_and("keep_region").alias("keep_file")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# The raw data lie behind seventy heads that lead nowhere; raw output of less than 1,024 bytes is taken for chance.
+@query("pdf_islands", """
+    SELECT doc_id, 'raw' AS kind, octet_length(encode(text)) AS size FROM documents WHERE octet_length(encode(text)) >= 1024
+    UNION ALL SELECT doc_id, 'zlib', greatest(1, least(100, octet_length(encode(text)))) FROM documents""")
+def _(spark, d):
+    return _with_doc(pdf_report.island_report(samples.island_files(spark, d))).select("doc_id", "kind", "size")

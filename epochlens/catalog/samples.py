@@ -124,6 +124,25 @@ def pdf_image_bytes() -> Column:
     return body
 
 
+DECOY = b"\x78\x9c" + b"\xff" * 6
+
+
+def build_island_pdf(text: str) -> bytes:
+    """One stream without a filter: seventy zlib heads with nothing behind them, raw DEFLATE data, a zlib value."""
+    packer = zlib.compressobj(wbits=-15)
+    raw = packer.compress(text.encode()) + packer.flush()
+    body = DECOY * 70 + raw + b"|" + zlib.compress(text.encode()[:100] or b"-")
+    return (b"%PDF-1.4\n1 0 obj\n<< /Length " + str(len(body)).encode() + b" >>\nstream\n" + body
+            + b"\nendstream\nendobj\ntrailer\n<< /Size 2 >>\nstartxref\n0\n%%EOF\n")
+
+
+_island_pdf = _builder(build_island_pdf)
+
+
+def island_files(spark, d):
+    return _files(spark, d, _island_pdf, ".pdf")
+
+
 def _files(spark, d, build, ext: str):
     docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text"))
     return docs.select(

@@ -7,6 +7,8 @@ import os
 
 from epochlens.config import DetectConfig, check_inputs, parse_formats
 from epochlens.operators.scan import ScanConfig
+from epochlens.operators.trust import TRUST_MODES
+from epochlens.plans.observe import Totals
 from epochlens.session import build_session
 
 
@@ -49,6 +51,8 @@ def parser() -> argparse.ArgumentParser:
     _arg(p, "block-debug", action="store_true")
     _arg(p, "block-debug-path-match", choices=["basename", "full"], default="basename")
     _arg(p, "no-expand", action="store_true")
+    _arg(p, "media-trust", choices=TRUST_MODES, default="sha_only", help="how media parts are looked up in the manifest")
+    _arg(p, "profile", action="store_true", help="write run totals and extent metrics beside the results")
 
     p = sub.add_parser("evaluate", help="score a run against its audit comparisons")
     for name in ("gt-base", "mappings-dir", "out-dir"):
@@ -100,15 +104,19 @@ def _detect(spark, a) -> None:
     check_inputs(a.snapshot_path, a.start_epoch, a.end_epoch, a.trusted_manifest, a.end_mount_root)
     scan = ScanConfig(a.width, a.stride, a.chi2_threshold, a.min_expansions, a.max_chi2_var,
                       expand=not a.no_expand, min_gap=a.min_gap_length, block_size=a.block_size)
-    cfg = DetectConfig(a.start_epoch, a.end_epoch, a.block_size, a.extent_size, a.cluster_size, scan=scan).validate()
+    cfg = DetectConfig(a.start_epoch, a.end_epoch, a.block_size, a.extent_size, a.cluster_size, scan=scan,
+                       media_trust=a.media_trust).validate()
     formats, audit_formats = parse_formats(a.out_formats), parse_formats(a.audit_formats)
     muts = mutations.assert_epochs(mutations.read_mutation_files(spark, a.snapshot_path, a.end_epoch))
     bits = bitmaps.read_bitmaps(spark, a.snapshot_path, a.start_epoch, a.end_epoch)
     ext = extents.read_extents(spark, a.extents)
     manifest = audit.read_manifest(spark, a.trusted_manifest) if a.trusted_manifest else None
-    inventory = spark.read.parquet(a.inventory) if a.inventory else None
-    found = plan.detect(muts, bits, ext, cfg, mount_root=a.end_mount_root, manifest=manifest, inventory=inventory)
+    inventory = audit.read_inventory(spark, a.inventory) if a.inventory else None
+    totals = Totals() if a.profile else None
+    found = plan.detect(muts, bits, ext, cfg, mount_root=a.end_mount_root, manifest=manifest, inventory=inventory, totals=totals)
     plan.write_detection(found, a.output_path, cfg, formats, audit_formats)
+    if totals is not None:
+        plan.write_profile(found, totals, a.output_path, cfg)
     if a.block_debug:
         out = a.block_debug_outdir or os.path.join(a.output_path, "block_debug")
         plan.compare_with_audit(spark, muts, bits, ext, found, cfg, out,

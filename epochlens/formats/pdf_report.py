@@ -14,25 +14,24 @@ from pyspark.sql.pandas.functions import arrow_udf
 from epochlens.formats import pdf
 from epochlens.formats.pdf_ranges import zlib_head_ok
 from epochlens.functions.bytestats import byte_stats
-from epochlens.functions.codec import packed_size
+from epochlens.functions.codec import inflated, packed_size
+from epochlens.functions.islands import compressed_islands
 from epochlens.functions.pdffilters import decode_filters, decode_parms, filter_names
 from epochlens.functions.pdftext import ZLIB_HEADS, hex_body, zones
 from epochlens.operators.intervals import overlap_join
 
-PROBE_CAP = 1 << 20
-MAX_HITS = 64
 HITS = T.ArrayType(T.StructType([
     T.StructField("rel", T.LongType()), T.StructField("ok", T.BooleanType()), T.StructField("size", T.LongType()),
 ]))
 
 
 def zlib_hits(raw: bytes) -> list[dict]:
-    """Places that look like a zlib header and whether data inflates from there."""
+    """Places that look like a zlib header, whether data inflates from there and to how many bytes."""
     found = []
-    for m in list(ZLIB_HEADS.finditer(raw))[:MAX_HITS]:
+    for m in ZLIB_HEADS.finditer(raw):
         try:
-            out = zlib.decompressobj().decompress(raw[m.start():], PROBE_CAP)
-            found.append({"rel": m.start(), "ok": True, "size": len(out)})
+            size = sum(map(len, inflated(memoryview(raw)[m.start():], 15)))
+            found.append({"rel": m.start(), "ok": True, "size": size})
         except zlib.error:
             found.append({"rel": m.start(), "ok": False, "size": 0})
     return found
@@ -57,6 +56,16 @@ def stream_report(files: DataFrame) -> DataFrame:
     )
 
 
+def island_report(files: DataFrame) -> DataFrame:
+    """(file_path, idx, island_start, island_end, kind, size, texty, operators): zlib and raw DEFLATE data at any offset of
+    streams that no filter explains; ends inclusive."""
+    raw = pdf.stream_bytes(pdf.stream_lengths(pdf.pieces(files)), files)
+    bare = raw.filter(F.size(filter_names(F.col("dict"))) == 0)
+    found = bare.select("file_path", "idx", "start", F.explode(compressed_islands(F.col("raw"))).alias("i"))
+    return found.select("file_path", "idx", (F.col("start") + F.col("i.rel")).alias("island_start"),
+                        (F.col("start") + F.col("i.stop") - 1).alias("island_end"), "i.kind", "i.size", "i.texty", "i.operators")
+
+
 ZONE_SCHEMA = "file_path string, kind string, zone_start bigint, zone_end bigint, body binary"
 
 

@@ -74,10 +74,11 @@ def operands(buf: bytes) -> list[bytes]:
 
 
 def has_readable_island(data: bytes) -> bool:
-    """Whether some embedded zlib stream inflates to text or content operators."""
-    for m in list(ZLIB_HEADS.finditer(data))[:ISLANDS]:
+    """Whether some embedded zlib stream inflates to text or content operators; all of them are tried, and their first MiB
+    is what is read."""
+    for m in ZLIB_HEADS.finditer(data):
         try:
-            out = zlib.decompressobj().decompress(data[m.start():], 1 << 20)
+            out = zlib.decompressobj().decompress(memoryview(data)[m.start():], 1 << 20)
         except zlib.error:
             continue
         if not out:

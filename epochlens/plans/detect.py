@@ -20,7 +20,7 @@ from epochlens.operators import compare, fileaware, trust
 from epochlens.operators.chunked import LOOKAHEAD, text_range_decisions
 from epochlens.operators.delta import extent_groups
 from epochlens.operators.intervals import map_blocks
-from epochlens.operators.scan import suspicious_regions
+from epochlens.operators.scan import extent_metrics, suspicious_regions
 from epochlens.operators.versions import changed_blocks, dirty_ids, extent_id, latest_at, only_dirty
 from epochlens.plans.observe import Totals, described
 from epochlens.session import cut_lineage
@@ -193,6 +193,15 @@ def write_detection(found: Detection, out: str, cfg: DetectConfig, formats=("par
         found.inventory.write.mode("overwrite").parquet(os.path.join(out, f"file_inventory_{tag}.parquet"))
 
 
+def write_profile(found: Detection, totals: Totals, out: str, cfg: DetectConfig) -> None:
+    """Totals that were observed on the way, and one row of scan metrics per extent with the ten slowest beside them."""
+    tag = f"{cfg.start_epoch}_{cfg.end_epoch}"
+    metrics = cut_lineage(extent_metrics(extent_groups(found.changed), cfg.scan))
+    write_table(metrics, os.path.join(out, f"extent_metrics_{tag}"), ("parquet",))
+    slowest = metrics.orderBy(F.desc(F.col("delta_seconds") + F.col("scan_seconds")), "extent_id").limit(10)
+    write_json(os.path.join(out, f"run_metrics_{tag}.json"), totals.read() | {"slowest_extents": [r.asDict() for r in slowest.collect()]})
+
+
 def compare_with_audit(
     spark: SparkSession, mutations: DataFrame, bits: DataFrame, extents: DataFrame, found: Detection,
     cfg: DetectConfig, out: str, audit_path: str | None, match: str = "basename",

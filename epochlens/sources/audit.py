@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,22 @@ def read_file_decisions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_inventory(spark: SparkSession, path: str) -> DataFrame | None:
+    """The file inventory of an earlier run. One that is missing, empty, not readable or of another shape is none, with a
+    warning: a run starts fresh rather than fail on it. Rows are counted once, so that damage behind the footer shows here."""
+    try:
+        held = spark.read.parquet(path)
+        kept = held.select(*schemas.INVENTORY.names)
+        for field in schemas.INVENTORY.fields:
+            if kept.schema[field.name].dataType != field.dataType:
+                raise ValueError(f"{field.name} is {kept.schema[field.name].dataType.simpleString()}")
+        kept.write.format("noop").mode("overwrite").save()
+        return kept
+    except Exception as error:
+        warnings.warn(f"inventory {path} is not usable ({type(error).__name__}); starting without one", stacklevel=2)
+        return None
+
+
 def decisions_path(mappings_dir: str) -> str:
     """Directory of file decisions that belongs to a directory of block mappings."""
     root, _, name = mappings_dir.rstrip("/").rpartition("/")

@@ -399,3 +399,19 @@ def test_xml_parts_are_parsed_in_pieces(spark):
     assert read([]) is None and read([b"<a>"]) is None and read([b"<a>&none;</a>"]) is None and read([b"<a/>"]) == []
     long = {"word/document.xml": "<w>" + "<p>text</p>" * 1_700_000 + "</w>"}
     assert verdicts(ooxml.ooxml_verdicts(files(spark, [("/long.docx", docx(long))])))["/long.docx"][0] == "benign"
+
+
+def test_islands_at_any_offset():
+    from epochlens.functions import islands
+    text = "".join(random.Random(k).choice("abcdefgh \n") for k in range(5000)).encode()
+    packer = zlib.compressobj(wbits=-15)
+    raw = packer.compress(text) + packer.flush()
+    head = RANDOM[:777].replace(b"\x78", b"\x77")
+    data = head + b"\x78\x9c\xff\xff" * 100 + raw + RANDOM[1000:1300] + zlib.compress(b"short one") + RANDOM[2000:2100]
+    got = islands.islands(data)
+    raws = [i for i in got if i["kind"] == "raw"]
+    assert [(i["rel"], i["stop"], i["size"], i["texty"]) for i in raws] == [(777 + 400, 777 + 400 + len(raw), 5000, True)]
+    assert [(i["size"], i["stop"] - i["rel"]) for i in got if i["kind"] == "zlib"] == [(9, len(zlib.compress(b"short one")))]
+    assert islands.islands(b"") == islands.islands(b"x") == [] and islands.islands(raw[:-40]) == []
+    big = zlib.compress(bytes(5_000_000))
+    assert islands.islands(b"\x00" + big) == [{"rel": 1, "stop": 1 + len(big), "kind": "zlib", "size": 5_000_000, "texty": True, "operators": 0}]

@@ -103,6 +103,30 @@ def test_nothing_changed_writes_empty_tables(spark, snapshot):
     assert not (out / "suspicious_regions_2_2_csv").exists()
 
 
+def test_profile_and_unusable_inventories(spark, snapshot):
+    out = snapshot / "profile"
+    base = ["detect", "--start-epoch", "2", "--end-epoch", "3", "--snapshot-path", str(snapshot / "snap"), "--output-path", str(out),
+            "--extents", str(snapshot / "extents.parquet"), "--end-mount-root", str(snapshot / "mount"), "--profile"]
+    (snapshot / "torn.parquet").write_bytes(b"PAR1 but not really")
+    (snapshot / "hollow.parquet").write_bytes(b"")
+    spark.range(3).write.parquet(str(snapshot / "other.parquet"))
+    for name in ("none", "torn", "hollow", "other"):
+        with pytest.warns(UserWarning, match="starting without one"):
+            assert audit.read_inventory(spark, str(snapshot / f"{name}.parquet")) is None
+    with pytest.warns(UserWarning):
+        cli._detect(spark, cli.parser().parse_args([*base, "--inventory", str(snapshot / "torn.parquet")]))
+    again = audit.read_inventory(spark, str(out / "file_inventory_2_3.parquet"))
+    assert again.count() == 1 and not again.first()["trusted"]
+    told = json.load(open(out / "run_metrics_2_3.json"))
+    assert told["regions"]["rows"] == spark.read.parquet(str(out / "suspicious_regions_2_3.parquet")).count()
+    assert told["decisions"]["kept"] == told["kept_mappings"]["rows"] == 2
+    metrics = spark.read.parquet(str(out / "extent_metrics_2_3.parquet")).collect()
+    assert sum(r["n_blocks"] for r in metrics) == 2
+    assert [r["extent_id"] for r in metrics] == [2] and told["slowest_extents"][0]["n_regions"] >= 1
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args([*base, "--media-trust", "never"])
+
+
 def test_trusted_files_are_dropped(spark, snapshot):
     import hashlib
     sha = hashlib.sha256((snapshot / "mount/d/b.txt").read_bytes()).hexdigest()
