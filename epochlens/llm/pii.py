@@ -4,7 +4,7 @@ A value is found by one pattern, validated (Luhn sum, octets below 256, a date o
 its symbols are permuted by a keyed Feistel network over an alphabet of its own: decimal digits stay digits, hex stays
 hex, separators and letter case stay in place, and check digits are computed anew, so the pseudonym is again valid.
 The permutation depends on the key and the kind alone: equal values stay equal in all documents and different values
-stay different. What fails its validation (a number without a right check digit, a version number) is left alone.
+stay different, but that values which differ in the case of a letter only become equal where it turns into a digit. What fails its validation (a number without a right check digit, a version number) is left alone.
 
 Kinds: email (the name before the @), phone, ip, card, ssn, iban, date, secret (a quoted or assigned key of 20 or
 more characters). Defined results: a null text stays null, an empty one empty; rows are independent, so ties and
