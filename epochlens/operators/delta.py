@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epochlens.functions.batches import slices_of
 from epochlens.functions.bytestats import flat_bytes
 
 DELTA_SCHEMA = (
@@ -40,7 +41,8 @@ def extent_groups(changed: DataFrame) -> DataFrame:
 
 @dataclass
 class RunBatch:
-    """All runs of an Arrow batch of extents, as flat buffers."""
+    """All runs of an Arrow batch of extents, as flat buffers. What is computed from it takes many times its bytes, so the
+    batches are slices of bounded size."""
 
     extent: np.ndarray        # extent id per run
     first_block: np.ndarray   # index of the run's first block in block_id
@@ -132,9 +134,7 @@ def delta_blocks(extents: DataFrame, min_gap: int = 16, block_size: int = 512) -
     within an extent; ``end_offset`` is inclusive."""
 
     def cut(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices_of(batches):
             runs = RunBatch.of(batch)
             data, off, row, start, end = batch_deltas(
                 runs.old, runs.old_off, runs.new, runs.new_off, min_gap
