@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
+from epochlens.functions.batches import row_slices
 from epochlens.functions.bytestats import flat_bytes, histograms
 
 # Punctuation that counts as text next to letters, digits and white space.
@@ -64,10 +65,13 @@ def _utf8_scan(data: np.ndarray, off: np.ndarray):
 
 def utf8_errors(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Errors per row when a strict decoder resumes one byte after each error. Well-formed
-    sequences never overlap, so every byte outside them is one error."""
-    row, length = _utf8_scan(data, off)
-    covered = np.bincount(row, weights=length, minlength=len(off) - 1).astype(np.int64)
-    return np.diff(off) - covered
+    sequences never overlap, so every byte outside them is one error. Rows are taken in slices, as a scan holds many
+    times their bytes."""
+    errors = np.diff(off)
+    for lo, hi in row_slices(errors):
+        row, length = _utf8_scan(data, off[lo: hi + 1])
+        errors[lo:hi] -= np.bincount(row, weights=length, minlength=hi - lo).astype(np.int64)
+    return errors
 
 
 def _codepoints(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -127,6 +131,11 @@ def _cp1252_tables():
 
 def text_scores(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """0 for rows that read as text in UTF-8, UTF-16 or CP1252, else their UTF-8 error count."""
+    parts = [_slice_scores(data, off[lo: hi + 1]) for lo, hi in row_slices(np.diff(off))]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _slice_scores(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = np.diff(off)
     errors = utf8_errors(data, off)
     row, length = _utf8_scan(data, off)
@@ -162,10 +171,14 @@ def _text_score_udf(arr: pa.Array) -> pa.Array:
 @arrow_udf(returnType=T.LongType())
 def _utf8_covered_udf(arr: pa.Array, own: pa.Array) -> pa.Array:
     data, off = flat_bytes(arr)
-    row, length = _utf8_scan(data, off)
     limit = own.to_numpy(zero_copy_only=False).astype(np.int64)
-    mine = np.arange(off[0], off[-1]) - off[:-1][row] < limit[row]
-    return _masked(arr, np.bincount(row[mine], weights=length[mine], minlength=len(off) - 1).astype(np.int64))
+    covered = np.zeros(len(arr), np.int64)
+    for lo, hi in row_slices(np.diff(off)):
+        part = off[lo: hi + 1]
+        row, length = _utf8_scan(data, part)
+        mine = np.arange(part[0], part[-1]) - part[:-1][row] < limit[lo:hi][row]
+        covered[lo:hi] = np.bincount(row[mine], weights=length[mine], minlength=hi - lo)
+    return _masked(arr, covered)
 
 
 def utf8_covered(content: Column, own: Column) -> Column:
