@@ -85,13 +85,11 @@ def valid_url(url: Column) -> Column:
     return ~url.rlike(r"[\s\x00-\x1F\x7F]") & (url != "") & ~brackets
 
 
-def _parts(rows: DataFrame) -> DataFrame:
-    """(file_path, part, rels, types, well_formed): one row per member, parsed whole in one pass; only the facts
-    leave the worker."""
-    body = rows.filter(F.col("idx") >= 0).withColumn("part", F.col("name").cast("string"))
-    kind = F.when(F.col("part").endswith(".rels"), "rels").when(F.col("part") == CONTENT_TYPES_PART, "types")
-    facts = xmlparts.part_facts(F.col("data"), F.col("method") == DEFLATE, kind)
-    return body.select("file_path", "part", facts.alias("x")).select("file_path", "part", "x.rels", "x.types", "x.well_formed")
+def _xml_facts() -> Column:
+    """What a member says as an XML part, parsed whole in one pass; only the facts leave the worker."""
+    part = F.col("name").cast("string")
+    kind = F.when(part.endswith(".rels"), "rels").when(part == CONTENT_TYPES_PART, "types")
+    return xmlparts.part_facts(F.col("data"), F.col("method") == DEFLATE, kind)
 
 
 def _problems(df: DataFrame, *checks: tuple[int, Column, Column | str]) -> DataFrame:
@@ -246,11 +244,12 @@ CHECKS_WHEN_CLEAN = 7
 
 def ooxml_verdicts(files: DataFrame, cfg: OoxmlConfig = OoxmlConfig(), zcfg: ZipConfig = ZipConfig()) -> DataFrame:
     """Validator verdict per file: the container must pass first, then the package checks; the
-    first failed check decides."""
-    rows = members(files, zcfg)
-    container = cut_lineage(verdicts_of(cut_lineage(check_members(rows, zcfg)), zcfg, force_intent=True))
+    first failed check decides. Files are read once: their members are checked and parsed in the same pass."""
+    checked = cut_lineage(check_members(members(files, zcfg).withColumn("x", _xml_facts()), zcfg))
+    container = cut_lineage(verdicts_of(checked.drop("x"), zcfg, force_intent=True))
     sound = container.filter("verdict = 'benign'").select("file_path")
-    parts = cut_lineage(_parts(members(files.join(sound, "file_path", "left_semi"), zcfg, lenient=True)))
+    parts = cut_lineage(checked.filter(F.col("idx") >= 0).join(sound, "file_path", "left_semi").select(
+        "file_path", F.col("entry").alias("part"), "x.rels", "x.types", "x.well_formed"))
     first = package_problems(parts, cfg).groupBy("file_path").agg(
         F.min(F.struct("o", "reason")).alias("p")
     ).select("file_path", F.col("p.reason").alias("package"))
