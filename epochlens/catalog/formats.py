@@ -10,6 +10,7 @@ from epochlens.formats import ooxml, ooxml_ranges, pdf, pdf_ranges, pdf_report
 from epochlens.formats import zip as ziparchive
 from epochlens.operators.fileaware import file_decisions
 from epochlens.operators.manifest import build_manifest
+from epochlens.session import cut_lineage
 
 
 def _with_doc(df):
@@ -140,7 +141,7 @@ def _(spark, d):
     parts = []
     for files, decide in ((samples.zip_files, ziparchive.zip_decisions), (samples.docx_files, ooxml_ranges.ooxml_decisions),
                           (samples.pdf_files, pdf_ranges.pdf_decisions)):
-        half = cut(files(spark, d))
+        half = cut_lineage(cut(files(spark, d)))  # written once: building the files takes longer than reading them
         # Every range is kept, not only one.
         parts.append(decide(_all_blocks(half), half, none).groupBy("file_path").agg(F.bool_and("keep_region").alias("keep_file")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
