@@ -3,9 +3,10 @@
 Batches are balanced by bytes. Texts are split at safe boundaries: before a white-space character that follows another
 kind of character. The byte-level pre-tokenizer always starts a token there, so the pieces' tokens are the text's
 tokens. Long texts are first cut into parts at such boundaries, then parts into pieces of about a word (also before
-punctuation that follows letters); every distinct piece of a batch is encoded once, and a bounded table keeps the ids
-of short pieces for later batches. Where the vocabulary file does not say that this is safe (another pre-tokenizer, a
-normaliser, a sentencepiece model), whole texts are encoded.
+punctuation that follows letters). A piece is encoded when it is first met, and a bounded table keeps the ids of short
+pieces; pieces that are one pre-token (plain words and numbers) go straight to the library's model. Where the
+vocabulary file does not say that this is safe (another pre-tokenizer, a normaliser, a sentencepiece model), whole
+texts are encoded.
 
 Defined results: a null text is the empty text (0 bytes, 0 tokens); rows that repeat are counted each; other columns
 are not touched; an empty table gives no rows.
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epochlens.llm.bpe import byte_letters
 from epochlens.llm.common import byte_slices, string_sizes, whole
 
 BATCH_BYTES = 1 << 20
@@ -33,7 +35,11 @@ SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 BOUNDARY = re.compile(f"(?<={OTHER})(?={SPACE})")
 # A run of letters ends a pre-token where ASCII punctuation follows.
 LETTER, MARK = "[A-Za-zÀ-ÖØ-öø-ɏ]", r"[!-/:-@\[-`{-~]"
-PIECES = re.compile(f"{SPACE}*+(?:{LETTER}++(?={MARK})|{OTHER}++)|{SPACE}+")
+# The first case is the common one, found in one pass; the second would cut it the same way.
+PIECES = re.compile(f" ?+{LETTER}++(?={MARK}|{SPACE}|\\Z)|{SPACE}*+(?:{LETTER}++(?={MARK})|{OTHER}++)|{SPACE}+")
+# Pieces that the pre-tokenizer leaves whole. No added token is part of one: all begin with punctuation.
+SINGLE = re.compile(f" ?(?:{LETTER}+|[0-9]+)")
+LETTERS = str.maketrans(dict(enumerate(byte_letters())))
 
 
 def splits_safely(path: str) -> bool:
@@ -48,29 +54,40 @@ def splits_safely(path: str) -> bool:
         for t in content.get("added_tokens") or [])
 
 
-class PieceTable:
-    """Ids of texts by their pieces, as little-endian 32-bit numbers in bytes."""
+class PieceTable(dict):
+    """Ids of texts by their pieces, as little-endian 32-bit numbers in bytes. Entries not used while a generation of
+    ``ENTRIES`` new or used ones came in are forgotten, so frequent pieces stay however many rare ones pass."""
     ENTRIES, LONGEST = 250_000, 48
 
-    def __init__(self, encode_batch):
-        self.encode_batch = encode_batch
-        self.known: dict[str, bytes] = {}
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        short = len(piece) <= self.LONGEST
+        found = self.older.get(piece)
+        if found is None:
+            if short and SINGLE.fullmatch(piece):
+                plain = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
+                ids = [t.id for t in self.model.tokenize(plain)]
+            else:
+                ids = self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if short:
+            self[piece] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [(i, part) for i, text in enumerate(texts) for part in safe_pieces(text)]
-        found: list[list[bytes]] = [[] for _ in texts]
-        for start, stop in byte_slices(np.array([len(part) for _, part in parts]), BATCH_BYTES):
-            cut = [PIECES.findall(part) for _, part in parts[start:stop]]
-            if len(self.known) > self.ENTRIES:
-                self.known.clear()
-            fresh = list(set().union(*cut).difference(self.known))
-            self.known.update(zip(fresh, (struct.pack(f"<{len(ids)}I", *ids) for ids in self.encode_batch(fresh))))
-            for (i, _), pieces in zip(parts[start:stop], cut):
-                found[i].append(b"".join(map(self.known.__getitem__, pieces)))
-            for piece in fresh:
-                if len(piece) > self.LONGEST:
-                    del self.known[piece]
-        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
+        found = []
+        for text in texts:
+            ids = []
+            for part in safe_pieces(text):
+                if len(self) > self.ENTRIES:
+                    self.older = dict(self)
+                    self.clear()
+                ids.append(b"".join(map(self.__getitem__, PIECES.findall(part))))
+            found.append(np.frombuffer(b"".join(ids), "<u4"))
+        return found
 
 
 @functools.lru_cache(maxsize=4)
@@ -91,7 +108,7 @@ def encoder(path: str):
     def encode_batch(texts):
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return PieceTable(encode_batch).encode if splits_safely(path) else encode_batch
+    return PieceTable(tokenizer).encode if splits_safely(path) else encode_batch
 
 
 def safe_pieces(text: str, limit: int = PIECE_CHARS) -> list[str]:

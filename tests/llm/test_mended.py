@@ -1,4 +1,5 @@
-"""Cases that once failed: sparse partitions, mixed dimensions, bare words in chats, hot or unnumbered conversations."""
+"""Cases that once failed: sparse partitions, mixed dimensions, bare words in chats, hot or unnumbered conversations,
+frequent words that were encoded again and again."""
 
 import random
 from collections import Counter
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from epochlens.llm import chat, common, toxicity, topk_search
+from epochlens.llm import chat, common, queries, token_counts, toxicity, topk_search
 
 
 def test_hash_filter_lets_all_members_pass(spark):
@@ -164,3 +165,47 @@ def test_long_and_unnumbered_conversations_equal_one_pass(spark, monkeypatch):
                 body.append(line)
     assert Counter((r.conv_id, r.turn, r.part, r.role, r.rendered) for r in got) == want
     assert chat.format_chats(plain.limit(0)).count() == 0
+
+
+class CountedTokenizer:
+    """The library's tokenizer, which notes what it is asked for; ``split`` is what went through the pre-tokenizer."""
+
+    def __init__(self, library):
+        self.library, self.model, self.asked, self.split = library, self, Counter(), set()
+
+    def tokenize(self, letters):
+        self.asked[letters.replace("Ġ", " ")] += 1
+        return self.library.model.tokenize(letters)
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked.update(texts)
+        self.split.update(texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+    def no_truncation(self):
+        self.library.no_truncation()
+
+    no_padding = no_truncation
+
+
+def test_frequent_words_are_encoded_once_and_plain_ones_whole(monkeypatch):
+    import tokenizers
+
+    path = queries.vocabulary()
+    library = tokenizers.Tokenizer.from_file(path)
+    counted = CountedTokenizer(library)
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Tokenizer", (), {"from_file": staticmethod(lambda _: counted)}))
+    monkeypatch.setattr(token_counts.PieceTable, "ENTRIES", 60)
+    encode = token_counts.encoder.__wrapped__(path)
+    draw = random.Random(9)
+    frequent = [" the", " of", " Well", " 17", ","]
+    letters = [chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha()]
+    rare = lambda: " " + "".join(draw.choices(letters + list("abcdefghijklmnopqrstuvwxyz") * 20, k=8))
+    for _ in range(200):
+        text = "".join(w for f in frequent for w in (f, rare(), rare()))
+        assert encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    every = [f"{space}x{c}" for c in letters for space in ("", " ", "\n", "  ")] + ["<|endoftext|>", " a<|endoftext|>b", "1²", "x\x1cy", "q" * 60]
+    assert [i.tolist() for i in encode(every)] == [library.encode(t, add_special_tokens=False).ids for t in every]
+    assert all(counted.asked[w] == 1 for w in frequent)
+    assert not counted.split & {" the", " of", " Well", " 17"}
+    assert len(encode.__self__) <= 61 and len(encode.__self__.older) <= 61
