@@ -31,9 +31,14 @@ def byte_windows(
     df: DataFrame, content: str, window: int, stride: int, tail_mode: str = "ignore",
 ) -> DataFrame:
     """One row per (file, window): adds ``file_size``, ``window_start`` and ``window_bytes``.
-    Files without a full window keep a single row with null window columns."""
+    Files without a full window keep a single row with null window columns. The bytes are cut by a generator of their
+    own: as a plain expression they would be cut in the Python step, whose row queue then keeps the file for every window."""
     others = [c for c in df.columns if c != content]
     size = F.length(F.col(content)).cast("bigint")
+    cut = F.when(
+        F.col("window_start").isNotNull(),
+        F.col(content).substr((F.col("window_start") + 1).cast("int"), F.lit(window)),
+    )
     return (
         df.select(*others, F.col(content), size.alias("file_size"))
         .select(
@@ -41,15 +46,7 @@ def byte_windows(
             F.explode_outer(window_starts(F.col("file_size"), window, stride, tail_mode))
             .alias("window_start"),
         )
-        .select(
-            *others, "file_size", "window_start",
-            F.when(
-                F.col("window_start").isNotNull(),
-                F.col(content).substr(
-                    (F.col("window_start") + 1).cast("int"), F.lit(window)
-                ),
-            ).alias("window_bytes"),
-        )
+        .select(*others, "file_size", "window_start", F.explode(F.array(cut)).alias("window_bytes"))
     )
 
 

@@ -1,10 +1,12 @@
 import random
+import re
 
 import models
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from epochlens.catalog import QUERIES
 from epochlens.functions import bytestats, paths, text
 from epochlens.operators import compare, evaluate, fileaware, islands, stats, trust, verify
 from epochlens.operators.intervals import map_blocks, overlap_join, stab_join
@@ -114,6 +116,40 @@ def test_window_verdicts(spark):
     assert txt["plain"]["note"] == "tail_ignored_but_windows_all_valid"
 
 
+@pytest.mark.parametrize("name", ["window_verdict_entropy", "window_verdict_chi2", "window_verdict_overlap", "text_verdict"])
+def test_the_python_step_of_windows_gets_no_whole_file(spark, tmp_path, name):
+    spark.createDataFrame([(1, "plain text " * 900)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    query = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution()
+    plan = query.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    # Its row queue keeps every input column once for every window.
+    assert [sorted(re.findall(r"(\w+)#", columns)) for columns in re.findall(r"ArrowEvalPython\nInput \[\d+\]: \[(.*)\]", plan)] == [
+        ["doc_id", "file_size", "window_bytes", "window_start"]]
+
+
+def test_overlapping_windows_of_documents(spark, tmp_path):
+    rnd = random.Random(4)
+    texts = ["", "x", *["".join(rnd.choices("abcdé漢 ", k=n)) for n in (511, 512, 700, 5000, 60000)], "a" * 512, "a" * 513, "b" * 768, None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[4])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, t in rows:
+        body = None if t is None else t.encode()
+        size = len(body or b"")
+        starts = sorted({*range(0, size - 511, 256), *([size - 512] if size >= 512 else [])})
+        counts = [[body[s:s + 512].count(b) for b in range(256)] for s in starts]
+        own = want.setdefault(i, (None if body is None else size, []))
+        own[1].extend(256 * sum(c * c for c in cs) / 512 - 512 for cs in counts)
+    got = {r["doc_id"]: r for r in QUERIES["window_verdict_overlap"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys()
+    for i, (size, scores) in want.items():
+        bad = sum(s <= 6000 for s in scores)
+        r = got[i]
+        assert (r["file_size"], r["num_windows"], r["num_suspicious_windows"]) == (size, len(scores), bad)
+        assert (r["min_score"], r["max_score"]) == ((round(min(scores), 4), round(max(scores), 4)) if scores else (None, None))
+        assert r["verdict"] == ("not_evaluated" if not scores else "encrypted" if bad else "benign")
+        assert r["note"] == ("" if scores else "file_smaller_than_window")
+
+
 def test_paths(spark):
     rows = [("\\Users\\A\\x.TXT:Zone",), ("//a//b",), ("",), ("rel/../b/./c.tar.gz",)]
     got = [tuple(r) for r in spark.createDataFrame(rows, "p string").select(
